@@ -248,12 +248,13 @@ def _blocking(freq: np.ndarray, wide: str):
             ids, at = ids.view(wide), at // np.dtype(wide).itemsize
             parts = batch["_mid"].to_numpy() >> 33
             i, n = 0, len(batch)
+            run_end = np.append(np.flatnonzero(np.diff(parts)) + 1, n)  # a task may read several files, in any order
             while i < n:
                 if held and (parts[i] != part or count >= BLOCK_TOKENS):
                     yield block()
                     held, count = [], 0
                 part = int(parts[i])
-                j = min(int(np.searchsorted(parts, part, "right")), max(i + 1, int(np.searchsorted(at, at[i] + BLOCK_TOKENS - count))))
+                j = min(int(run_end[np.searchsorted(run_end, i, "right")]), max(i + 1, int(np.searchsorted(at, at[i] + BLOCK_TOKENS - count))))
                 held.append((batch.slice(i, j - i), np.diff(at[i : j + 1]), ids[at[i] : at[j]]))
                 count += int(at[j] - at[i])
                 i = j
