@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substring, tokens
+from . import isomedia, mixing, reshard, substring, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,23 @@ def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(spark, path)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, cap=2.0).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = isomedia.probe(isomedia.stored_media(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The old layout: 16 shards by a hash of doc_id.
+    old = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(16))
+    found = reshard.reshard(table(spark, sf_dir, "documents").select("doc_id", "text"), old, shards=24)
+    text = F.coalesce("row.text", F.lit(""))
+    return found.select("row.doc_id", "size", F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "moved")
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.dedup_substrings(table(spark, sf_dir, "documents"), k=35)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -27,10 +44,26 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_tokens": op1_tokens,
+    "op6_mixing": op6_mixing,
+    "op7_media": op7_media,
+    "op8_shards": op8_shards,
     "op9_substrings": op9_substrings,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+     s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+     w AS (SELECT *, [3.0, 1.0, 2.0][((place - 1) % 3) + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS most FROM s),
+     l AS (SELECT *, most / weight AS level FROM w),
+     h AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE - coalesce(sum(most) OVER (ORDER BY level, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+              / sum(weight) OVER (ORDER BY level, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM l),
+     x AS (SELECT *, (SELECT share FROM h WHERE level > share ORDER BY level, place LIMIT 1) AS water FROM h),
+     t AS (SELECT source, source_size, least(most, coalesce(water * weight, most)) AS target,
+                  ('0x' || substr(md5('7:' || coalesce(source, 'null')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM x),
+     r AS (SELECT d.doc_id, d.size, t.*, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS LAST) AS k,
+                  CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS e FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, ((floor(u + k * e) - floor(u + (k - 1) * e)) * size)::BIGINT AS taken FROM r""",
     "op9_substrings": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
      p AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +34,13 @@ _LOW, _U32, _SHIFT = np.uint64(1 << 31), np.uint64(32), np.uint64(SCALE)
 
 
 class Tokenizer:
-    """Token ids of texts, with one call into the library for each distinct piece of a batch.
+    """Token ids of texts; the library encodes each distinct piece once.
 
-    The byte-level pattern always begins a new piece where white space follows a character that is not white space,
-    so a text is cut there and equal pieces are encoded once.
+    The byte-level pattern always begins a new piece where white space follows a character that is not white space, and
+    where a comma or full stop follows a letter, so a text is cut there. A worker keeps the ids of KEPT pieces.
     """
 
+    KEPT = 1_500_000
     _loaded: dict[str, "Tokenizer"] = {}
 
     def __init__(self, path: str):
@@ -52,6 +54,8 @@ class Tokenizer:
         n = self.library.get_vocab_size()
         # In this vocabulary each character of a token's text stands for one byte.
         self.width = np.array([len(self.library.id_to_token(i) or "") for i in range(n)], np.int64)
+        self.known = pa.array([], pa.large_binary())
+        self.known_ids, self.known_at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     @classmethod
     def of(cls, path: str) -> "Tokenizer":
@@ -71,6 +75,8 @@ class Tokenizer:
         lead[:2], lead[2:] = 32, data[:-2]
         # After ASCII, or a character of two bytes but those that begin with C2, where two white spaces are.
         cut = space & ((before > 32) & (before < 127) | (before >= 0x80) & (before < 0xC0) & (lead >= 0xC3) & (lead < 0xE0))
+        letter = (before | 32 >= 97) & (before | 32 <= 122) | (lead == 0xC3) & (before != 0x97) & (before != 0xB7)
+        cut |= letter & ((data == 44) | (data == 46))
         cut[at[:-1][at[:-1] < n]] = True
         piece_at = np.append(np.flatnonzero(cut), n)
         if n >= 1 << 31:
@@ -84,6 +90,21 @@ class Tokenizer:
         return out, out_at[np.searchsorted(piece_at, at)]
 
     def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        seen = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(pc.is_null(seen))
+        ids, at = self._new(new)
+        place = seen.fill_null(-1).to_numpy().astype(np.int64)
+        place[place < 0] = len(self.known) + np.arange(len(new))
+        ids, at = np.concatenate([self.known_ids, ids]), np.concatenate([self.known_at, self.known_at[-1] + at[1:]])
+        if len(self.known) < self.KEPT:
+            self.known, self.known_ids, self.known_at = pa.concat_arrays([self.known, new]), ids, at
+        size = np.diff(at)[place]
+        out_at = np.append(0, np.cumsum(size))
+        return ids[np.repeat(at[:-1][place] - out_at[:-1], size) + np.arange(out_at[-1])], out_at
+
+    def _new(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(pieces):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         data, at = textcore.flat(pieces)
         spaced = textcore._SPACE[data[at[:-1]]]
         safe = np.flatnonzero(spaced)
@@ -95,14 +116,14 @@ class Tokenizer:
             part = safe[lo:hi]
             bytes_at = np.append(0, np.cumsum(np.diff(at)[part]))
             text = data[np.repeat(at[part] - bytes_at[:-1], np.diff(at)[part]) + np.arange(bytes_at[-1])].tobytes().decode()
-            ids = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.append(0, np.cumsum(self.width[ids]))
             ids_at = np.searchsorted(ends, bytes_at)
             if not np.array_equal(ends[ids_at], bytes_at):
                 raise ValueError("a token crosses two pieces")
             size[part] = np.diff(ids_at)
             found.append(ids)
-        alone = [np.array(e.ids, np.uint32) for e in self.library.encode_batch([data[at[i] : at[i + 1]].tobytes().decode() for i in bare], add_special_tokens=False)] if len(bare) else []
+        alone = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast([data[at[i] : at[i + 1]].tobytes().decode() for i in bare], add_special_tokens=False)] if len(bare) else []
         size[bare] = [len(x) for x in alone]
         flat = np.concatenate([*found, *alone, np.zeros(0, np.uint32)])
         order = np.concatenate([safe, bare])
