@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import isomedia, mixing, reshard, substring, tokens
+from . import iblt, isomedia, mixing, reshard, secrets, substring, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,23 @@ def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(spark, path)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = iblt.fingerprints(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = secrets.BASE + secrets.MORE
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), rules)
+
+    def count(n: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == n)).cast("long")
+
+    counts = [count(n).alias(f"n_{r.kind}") for n, r in enumerate(secrets.BASE)]
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE))
+    return found.select("row.doc_id", *counts, F.sha2(secrets.listed(base, rules), 256).alias("base_sha256"), secrets.listed(F.col("spans"), rules).alias("spans"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, cap=2.0).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,13 +61,33 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_tokens": op1_tokens,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_secrets": op4_secrets,
     "op6_mixing": op6_mixing,
     "op7_media": op7_media,
     "op8_shards": op8_shards,
     "op9_substrings": op9_substrings,
 }
 
+# The kinds and regexes of op4_secrets, as DuckDB writes them; the least length of a group is in the last place.
+_KINDS = [(r.kind, r.regex.replace("'", "''"), r.group, r.least) for r in secrets.BASE + secrets.MORE]
+_MATCHES = " UNION ALL ".join(
+    f"SELECT doc_id, {n} AS k, string_split_regex(t, '{regex}') AS g, regexp_extract_all(t, '{regex}', 0) AS f, regexp_extract_all(t, '{regex}', {group}) AS v, {least} AS least FROM d WHERE regexp_matches(t, '{regex}')"
+    for n, (_, regex, group, least) in enumerate(_KINDS)
+)
+
 ORACLES: dict[str, str] = {
+    "op4_secrets": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+     m AS ({_MATCHES}),
+     i AS (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM m),
+     p AS (SELECT doc_id, k, (list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN f[1:i - 1]]), 0))::BIGINT AS a, length(f[i]) AS n FROM i WHERE length(v[i]) >= least),
+     s AS (SELECT doc_id, k, a, [{", ".join(f"'{kind}'" for kind, *_ in _KINDS)}][k + 1] || ':' || a || ':' || (a + n) AS span FROM p),
+     x AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+                  string_agg(span, ',' ORDER BY a, k) FILTER (k < {len(secrets.BASE)}) AS base, string_agg(span, ',' ORDER BY a, k) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN x USING (doc_id)""",
     "op6_mixing": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
      s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
