@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iblt, isomedia, mixing, reshard, secrets, substring, tokens
+from . import iblt, isomedia, mixing, reshard, secrets, substring, tokens, triejoin
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *counts, F.sha2(secrets.listed(base, rules), 256).alias("base_sha256"), secrets.listed(F.col("spans"), rules).alias("spans"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triejoin.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, cap=2.0).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op1_tokens": op1_tokens,
     "op3_fingerprints": op3_fingerprints,
     "op4_secrets": op4_secrets,
+    "op5_ngram_join": op5_ngram_join,
     "op6_mixing": op6_mixing,
     "op7_media": op7_media,
     "op8_shards": op8_shards,
@@ -88,6 +93,18 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN x USING (doc_id)""",
+    "op5_ngram_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     e AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                                 ELSE [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] END) AS g FROM d),
+     s AS (SELECT DISTINCT doc_id, g FROM e),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+     l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+     t AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+     r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, t.y FROM r JOIN t ON t.x = r.reached)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m.least AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reached) AS least FROM r GROUP BY doc_id) m USING (doc_id)""",
     "op6_mixing": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
      s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
