@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iblt, isomedia, mixing, reshard, secrets, substring, tokens, triejoin
+from . import iblt, isomedia, mixing, reshard, secrets, substring, tokens, toxicity, triejoin
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,11 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     "op1_tokens": op1_tokens,
     "op3_fingerprints": op3_fingerprints,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op7_media": op7_media,
     "op8_shards": op8_shards,
     "op9_substrings": op9_substrings,
+    "op10_toxicity": op10_toxicity,
 }
 
 # The kinds and regexes of op4_secrets, as DuckDB writes them; the least length of a group is in the last place.
