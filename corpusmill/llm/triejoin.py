@@ -3,10 +3,12 @@
 Global order: a counting sketch of fixed size over all documents tells frequent n-grams from others; n-grams stand by
 frequency class, then by hash, so that the frequent ones come last in every set. Sets that reach the threshold share an
 n-gram among the first of this order (the prefix filter), so the documents of each such n-gram, cut where sizes differ
-too much, are one star around its least member. The members of a star are stored in a trie of their ordered sets: a
-traversal carries the overlap of the path, shared by all sets below, and leaves a subtree when the n-grams passed in vain
-and the lengths below rule the threshold out, or when all sets below are linked already. Every candidate pair meets in
-some star, no set is cut, and equal sets are one node throughout. Verified links go to a connected-components loop.
+too much, are one star around its least member. Stars fall apart where parity bitmaps of the sets (about a bit for each
+n-gram) differ in more places than linked sets can; most chance meetings end here, before any text is sent.
+The members of what is left are stored in a trie of their ordered sets: a traversal carries the overlap of the path,
+shared by all sets below, and leaves a subtree when the n-grams passed in vain and the lengths below rule the threshold
+out, or when all sets below are linked already. Every linked pair meets in some star, no set is cut, and equal sets are
+one node throughout. Verified links go to a connected-components loop.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from .common import staged, text_or_empty, utf8_total
 
 SKETCH_BITS = 18
 SLICES = 16
-_BYTES = 8 << 20
+_BYTES = 4 << 20
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -55,21 +57,32 @@ def signature(grams: np.ndarray) -> int:
     return int(textcore.mix(total)[0] >> np.uint64(1))
 
 
+def parity_bitmap(grams: np.ndarray) -> bytes:
+    """Each n-gram flips one of 2**j bits, at least 64 and about as many as n-grams: two sets' bitmaps differ in no more places than the sets.
+
+    Xor of its halves is the bitmap of half the bits.
+    """
+    bits = 1 << max(6, int(len(grams)).bit_length() - 1)
+    flips = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
 def least_overlap(size: int, percent: int) -> int:
     return -(-size * percent // 100)
 
 
 def _surveying(k: int):
     """Of each batch: a row per document, and its part of the sketch in slices."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("bits", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             n, sig = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            bits: list[bytes] = [b""] * len(batch)
             held: list[np.ndarray] = []
             for i, grams in ngram_sets(batch["text"], k):
-                n[i], sig[i] = len(grams), signature(grams)
+                n[i], sig[i], bits[i] = len(grams), signature(grams), parity_bitmap(grams)
                 held.append(grams)
                 if len(held) == 1000:
                     total += np.bincount(_counter(np.concatenate(held)), minlength=len(total))
@@ -77,9 +90,9 @@ def _surveying(k: int):
             if held:
                 total += np.bincount(_counter(np.concatenate(held)), minlength=len(total))
             none = pa.nulls(len(batch), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["key"], pa.array(n), pa.array(sig), none, pa.nulls(len(batch), pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["key"], pa.array(n), pa.array(sig), pa.array(bits, pa.binary()), none, pa.nulls(len(batch), pa.binary())], schema=schema)
         parts = [x.astype("<i8").tobytes() for x in np.split(total, SLICES)]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, pa.int64()) for _ in range(4)), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, pa.int64()) for _ in range(4)), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
     return run
 
@@ -167,6 +180,55 @@ def _starring(percent: int):
     return run
 
 
+def _narrowing(percent: int):
+    """Takes a star apart into what hangs together by sizes and bitmaps; each part is a star around its least member."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sig, n = table["sig"].to_numpy(), table["n"].to_numpy()
+        raw = [x.as_py() for x in table["bits"]]
+        width = np.array([len(x) for x in raw])
+        # Members of one width are one array of words; a narrower asker folds it.
+        groups = {w: (own := np.flatnonzero(width == w), np.frombuffer(b"".join(raw[i] for i in own), np.uint64).reshape(len(own), -1)) for w in np.unique(width).tolist()}
+        folded = {w: {w: bits} for w, (_, bits) in groups.items()}
+
+        def at_width(w: int, to: int) -> np.ndarray:
+            if to not in folded[w]:
+                wide = at_width(w, 2 * to)
+                half = wide.shape[1] // 2
+                folded[w][to] = wide[:, :half] ^ wide[:, half:]
+            return folded[w][to]
+
+        place = np.zeros(len(sig), np.int64)
+        for own, _ in groups.values():
+            place[own] = np.arange(len(own))
+        new = np.ones(len(sig), bool)
+        out: list[np.ndarray] = []
+        for first in range(len(sig)):
+            if not new[first]:
+                continue
+            new[first] = False
+            part, todo = [first], [first]
+            while todo:
+                i = todo.pop()
+                for w, (own, _) in groups.items():
+                    ask = new[own] & (100 * np.minimum(n[own], n[i]) >= percent * np.maximum(n[own], n[i]))
+                    at = np.flatnonzero(ask)
+                    if not len(at):
+                        continue
+                    to = min(w, int(width[i]))
+                    apart = np.bitwise_count(at_width(w, to)[at] ^ at_width(int(width[i]), to)[place[i]]).sum(1, dtype=np.int64)
+                    near = own[at[apart * (100 + percent) <= (100 - percent) * (n[own[at]] + n[i])]]
+                    new[near] = False
+                    part += near.tolist()
+                    todo += near.tolist()
+            if len(part) > 1:
+                out.append(np.array(part))
+        least = [np.full(len(x), sig[x].min()) for x in out]
+        return pa.table({"center": pa.array(np.concatenate([*least, np.zeros(0, np.int64)]), pa.int64()), "sig": pa.array(np.concatenate([*(sig[x] for x in out), np.zeros(0, np.int64)]), pa.int64())})
+
+    return run
+
+
 class Node:
     __slots__ = ("label", "children", "sets", "low", "high", "tag")
 
@@ -289,8 +351,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, bucket_bytes: int = 12 << 20, block_grams: int = 1_500_000) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the least doc_id that links reach, itself included) and class_id
-    (which is equal for documents with equal sets).
+    """Per document: doc_id, n_shingles, component_id (the least doc_id that links reach, itself included), class_id
+    (equal for documents with equal sets), label (equal for documents of one component) and key (of doc_id and text).
 
     A text is lower-cased (A-Z), cut into words, and its set has the distinct runs of k words; with fewer words, all of
     them as one. Two link when 100 * intersection >= percent * union. Null and empty texts have empty sets, link with
@@ -300,24 +362,40 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, bucket_by
     bucket_bytes of text give one bucket of prefix entries; a star of over block_grams n-grams is dealt into blocks,
     of which each pair is a group. Sets are told apart by 63-bit signatures.
     """
-    texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), text_or_empty().alias("text"))
-    survey = staged(texts.mapInArrow(_surveying(k), "doc_id long, key long, n long, sig long, slice int, counts binary"), "ngram-survey")
+    texts = docs.select("doc_id", F.xxhash64("doc_id", text_or_empty()).alias("key"), text_or_empty().alias("text"))
+    survey = staged(texts.mapInArrow(_surveying(k), "doc_id long, key long, n long, sig long, bits binary, slice int, counts binary"), "ngram-survey")
     classes = frequency_classes(survey)
     rows = survey.where("slice IS NULL").select("doc_id", "key", "n", "sig")
     buckets = max(1, -(-utf8_total(docs) // bucket_bytes))
     entries = texts.select("text").mapInArrow(_prefixing(k, percent, classes, buckets), "bucket int, data binary")
     arms = staged(entries.groupBy("bucket").applyInArrow(_starring(percent), "center long, sig long").distinct(), "stars")
+    bitmaps = survey.where("n > 0").groupBy("sig").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
+    stars = arms.unionByName(arms.select("center", F.col("center").alias("sig")).distinct()).join(bitmaps, "sig")
+    near = staged(stars.groupBy("center").applyInArrow(_narrowing(percent), "center long, sig long").distinct(), "near-stars")
     # Every member of a star, with the key of one row that has its set.
     chosen = rows.where("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.max("n").alias("n"))
-    members = arms.unionByName(arms.select("center", F.col("center").alias("sig")).distinct()).join(chosen, "sig")
+    members = near.join(chosen, "sig")
     sizes = members.groupBy("center").agg(F.ceil(F.sum("n") / F.lit(block_grams)).cast("int").alias("blocks"))
     members = members.join(sizes, "center").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi")))
     members = staged(members.select("center", "sig", "key", F.explode(others).alias("pair")).select("center", "sig", "key", "pair.lo", "pair.hi"), "star-members")
-    groups = texts.select("key", "text").join(members, "key").groupBy("center", "lo", "hi")
+    # By partitions of the key at every size: members grow with the documents, so they are never broadcast.
+    groups = texts.select("key", "text").join(members.hint("merge"), "key").groupBy("center", "lo", "hi")
     links = staged(groups.applyInArrow(_joining(k, percent, classes), "a long, b long"), "ngram-links")
     labels = components(links)
-    labelled = rows.join(labels, rows.sig == labels.node, "left").select("doc_id", "n", "sig", F.coalesce("label", "sig").alias("label"))
+    labelled = rows.join(labels, rows.sig == labels.node, "left").select("doc_id", "key", "n", "sig", F.coalesce("label", "sig").alias("label"))
     least = labelled.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = labelled.join(least, "label", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.col("sig").alias("class_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.col("sig").alias("class_id"), "label", "key")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> DataFrame:
+    """docs with one row of each component: that of the least doc_id (null last), then of the least hash of its text.
+
+    Rows without words are no one's copies and stay, but rows with equal doc_id and text are one. Columns stay as they are.
+    """
+    found = staged(jaccard_components(docs, k, percent, **options), "components")
+    chosen = found.where("n_shingles > 0").groupBy("label").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("chosen_key")).select("chosen_key")
+    chosen = chosen.unionByName(found.where("n_shingles = 0").select(F.col("key").alias("chosen_key"))).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("doc_id", text_or_empty()).alias("key"))
+    return rows.join(chosen, F.col("key") == F.col("chosen_key"), "left_semi").dropDuplicates(["key"]).select("row.*")
