@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iblt, isomedia, mixing, reshard, secrets, substring, tokens, toxicity, triejoin
+from . import iblt, isomedia, mixing, reshard, secrets, sentencepieces, substring, tokens, toxicity, triejoin
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(spark, path)
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    back = sentencepieces.decode(sentencepieces.encode(table(spark, sf_dir, "documents"), path), path)
+    return back.select("doc_id", "n_pieces", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = iblt.fingerprints(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -70,6 +78,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_tokens": op1_tokens,
+    "op2_pieces": op2_pieces,
     "op3_fingerprints": op3_fingerprints,
     "op4_secrets": op4_secrets,
     "op5_ngram_join": op5_ngram_join,

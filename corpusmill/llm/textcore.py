@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -53,6 +54,40 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)), at - at[0]
 
 
+def ragged_take(values: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows `which` of the ragged array (values, offsets), as another."""
+    size = np.diff(at)[which]
+    out_at = np.append(0, np.cumsum(size))
+    return values[np.repeat(at[:-1][which] - out_at[:-1], size) + np.arange(out_at[-1])], out_at
+
+
+class Memo:
+    """Ids of distinct byte strings; a worker keeps those of the first `most`, and computes others when they come."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.most, self.known = most, pa.array([], pa.large_binary())
+        self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def __call__(self, pieces: pa.Array, compute) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of distinct pieces; compute gives both for those that aren't known."""
+        seen = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(pc.is_null(seen))
+        ids, at = compute(new) if len(new) else (np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        place = seen.fill_null(-1).to_numpy().astype(np.int64)
+        place[place < 0] = len(self.known) + np.arange(len(new))
+        ids, at = np.concatenate([self.ids, ids]), np.concatenate([self.at, self.at[-1] + at[1:]])
+        if len(self.known) < self.most:
+            self.known, self.ids, self.at = pa.concat_arrays([self.known, new]), ids, at
+        return ragged_take(ids, at, place)
+
+
+def cut(data: np.ndarray, at: np.ndarray) -> pa.DictionaryArray:
+    """The byte strings between these offsets, as codes of the distinct ones."""
+    if len(data) >= 1 << 31:
+        raise ValueError("a batch of texts of 2 GB or more")
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+
+
 @dataclass
 class Words:
     data: np.ndarray  # bytes of all texts

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +36,9 @@ class Tokenizer:
     """Token ids of texts; the library encodes each distinct piece once.
 
     The byte-level pattern always begins a new piece where white space follows a character that is not white space, and
-    where a comma or full stop follows a letter, so a text is cut there. A worker keeps the ids of KEPT pieces.
+    where a comma or full stop follows a letter, so a text is cut there.
     """
 
-    KEPT = 1_500_000
     _loaded: dict[str, "Tokenizer"] = {}
 
     def __init__(self, path: str):
@@ -54,8 +52,7 @@ class Tokenizer:
         n = self.library.get_vocab_size()
         # In this vocabulary each character of a token's text stands for one byte.
         self.width = np.array([len(self.library.id_to_token(i) or "") for i in range(n)], np.int64)
-        self.known = pa.array([], pa.large_binary())
-        self.known_ids, self.known_at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.memo = textcore.Memo()
 
     @classmethod
     def of(cls, path: str) -> "Tokenizer":
@@ -79,32 +76,12 @@ class Tokenizer:
         cut |= letter & ((data == 44) | (data == 46))
         cut[at[:-1][at[:-1] < n]] = True
         piece_at = np.append(np.flatnonzero(cut), n)
-        if n >= 1 << 31:
-            raise ValueError("a batch of texts of 2 GB or more")
-        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(piece_at) - 1, [None, pa.py_buffer(piece_at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        ids, ids_at = self._distinct(pieces.dictionary)
-        which = pieces.indices.to_numpy()
-        size = np.diff(ids_at)[which]
-        out_at = np.append(0, np.cumsum(size))
-        out = ids[np.repeat(ids_at[:-1][which] - out_at[:-1], size) + np.arange(out_at[-1])]
+        pieces = textcore.cut(data, piece_at)
+        ids, ids_at = self.memo(pieces.dictionary, self._new)
+        out, out_at = textcore.ragged_take(ids, ids_at, pieces.indices.to_numpy())
         return out, out_at[np.searchsorted(piece_at, at)]
 
-    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        seen = pc.index_in(pieces, value_set=self.known)
-        new = pieces.filter(pc.is_null(seen))
-        ids, at = self._new(new)
-        place = seen.fill_null(-1).to_numpy().astype(np.int64)
-        place[place < 0] = len(self.known) + np.arange(len(new))
-        ids, at = np.concatenate([self.known_ids, ids]), np.concatenate([self.known_at, self.known_at[-1] + at[1:]])
-        if len(self.known) < self.KEPT:
-            self.known, self.known_ids, self.known_at = pa.concat_arrays([self.known, new]), ids, at
-        size = np.diff(at)[place]
-        out_at = np.append(0, np.cumsum(size))
-        return ids[np.repeat(at[:-1][place] - out_at[:-1], size) + np.arange(out_at[-1])], out_at
-
     def _new(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if not len(pieces):
-            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         data, at = textcore.flat(pieces)
         spaced = textcore._SPACE[data[at[:-1]]]
         safe = np.flatnonzero(spaced)
@@ -127,11 +104,7 @@ class Tokenizer:
         size[bare] = [len(x) for x in alone]
         flat = np.concatenate([*found, *alone, np.zeros(0, np.uint32)])
         order = np.concatenate([safe, bare])
-        placed = np.append(0, np.cumsum(size[order]))
-        back = np.argsort(order, kind="stable")
-        start, size = placed[:-1][back], size
-        ids_at = np.append(0, np.cumsum(size))
-        return flat[np.repeat(start - ids_at[:-1], size) + np.arange(ids_at[-1])], ids_at
+        return textcore.ragged_take(flat, np.append(0, np.cumsum(size[order])), np.argsort(order, kind="stable"))
 
 
 def normalized(counts: np.ndarray) -> np.ndarray:
@@ -222,7 +195,7 @@ def _tokenizing(path: str, end: int):
         tokenizer = Tokenizer.of(path)
         wide = np.uint16 if len(tokenizer.width) <= 1 << 16 else np.uint32
         for batch in batches:
-            for lo, hi in textcore._spans(textcore.flat(batch["text"])[1], 16 << 20):
+            for lo, hi in textcore._spans(textcore.flat(batch["text"])[1], 8 << 20):
                 part = batch.slice(lo, hi - lo)
                 ids, at = tokenizer.encode(part["text"])
                 size = np.diff(at)
