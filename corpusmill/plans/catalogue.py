@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from corpusmill.plans import cleaning, grading
+
+_PARTS = (cleaning, grading)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+ORACLES: dict[str, str] = {k: sql for part in _PARTS for k, sql in part.ORACLES.items()}
