@@ -75,3 +75,32 @@ def cached(spark: SparkSession, root: str, spec: dict, build: Callable[[], DataF
 def write_exam(rows: DataFrame, path: str, again: bool = False) -> None:
     """Writes a frozen exam once; a second time only if asked to."""
     rows.write.mode("overwrite" if again else "errorifexists").json(path)
+
+
+def write_split(docs: DataFrame, path: str, provenance_row: DataFrame) -> None:
+    """train and heldout as JSON lines below path, from (…, heldout), and the provenance; docs should be staged, as it is read twice."""
+    for name, rows in (("train.jsonl", docs.where("NOT heldout")), ("heldout.jsonl", docs.where("heldout"))):
+        rows.drop("heldout").write.mode("overwrite").json(f"{path}/{name}")
+    provenance_row.coalesce(1).write.mode("overwrite").json(f"{path}/provenance.json")
+
+
+def write_index(entities: DataFrame, path: str) -> None:
+    """Entities, a folder for each building."""
+    entities.write.mode("overwrite").partitionBy("building").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
+    """The index at path, built first if it isn't there."""
+    if rebuild or not _exists(spark, f"{path}/_SUCCESS"):
+        write_index(build(), path)
+    return spark.read.parquet(path)
+
+
+def best_checkpoint(pointer: DataFrame | None, explicit: str | None = None) -> str:
+    """The explicit path, else that of the one-row pointer (stage, metric, value, path); without either an error."""
+    if explicit:
+        return explicit
+    row = pointer.select("path").first() if pointer is not None else None
+    if row is None:
+        raise FileNotFoundError("no best checkpoint")
+    return row["path"]

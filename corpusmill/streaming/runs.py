@@ -19,11 +19,21 @@ def latest_stream(events: DataFrame) -> DataFrame:
     return telemetry.run_latest(telemetry.run_series(events))
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Everything that is there now, through the stream, as the table `name`."""
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Everything that is there now, through the stream; its latest complete result is kept at path.
+
+    Each micro-batch writes a folder of its own number, so that a repeated one replaces itself.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    done: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        done.append(number)
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(schema).parquet(f"{path}/batch={max(done)}") if done else spark.createDataFrame([], schema)
 
 
 def append_events(events: DataFrame, path: str) -> None:
