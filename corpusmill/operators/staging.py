@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+@cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="corpusmill-")
+
+
+def _own_folder(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _local_folder(spark.sparkContext.applicationId)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names; a local session without one gets a folder of its own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        where = tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set("spark.checkpoint.dir", where)
+    where = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
     return f"{where.rstrip('/')}/corpusmill/{name}-{uuid.uuid4().hex}"
 
 
