@@ -30,7 +30,7 @@ def bound(value: Column, use) -> Column:
 def paragraph_digests(text: Column) -> Column:
     """Distinct 64-bit digests of the trimmed paragraphs that aren't blank."""
     pieces = F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{PIECE}}}(?=\s|\z)|[^\n]{{{PIECE}}}"), F.lit(0))
-    return F.array_distinct(F.transform(F.filter(F.transform(pieces, F.trim), lambda p: p != ""), lambda p: F.xxhash64(p)))
+    return F.array_distinct(F.transform(F.filter(F.transform(pieces, lambda p: F.trim(p)), lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
 def _check(key: Column) -> Column:
