@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,17 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a local session without one gets a folder of its own."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        where = tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = _local_folder(spark.sparkContext.applicationId)
     return where.rstrip("/")
 
 
+@cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="corpusmill-")
+
+
 @contextlib.contextmanager
 def _shuffles_freed(spark: SparkSession):
     """Within the block, a query's shuffle files go when it ends: what it wrote is in the shared folder."""

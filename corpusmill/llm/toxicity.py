@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textcore
 from .common import staged, text_or_empty
@@ -265,9 +266,9 @@ def _measuring(model: Model, keep: list[str]):
 
 def measure(texts: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The kept columns of texts, and heaviest_clause, clause_sum, n_clauses and score of the column text."""
-    kinds = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "heaviest_clause double, clause_sum double, n_clauses long, score double"])
-    return texts.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_measuring(model, keep), schema)
+    kept = [f for f in texts.schema.fields if f.name in keep]
+    made = [T.StructField(n, T.LongType() if n == "n_clauses" else T.DoubleType()) for n in ("heaviest_clause", "clause_sum", "n_clauses", "score")]
+    return texts.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_measuring(model, [f.name for f in kept]), T.StructType([*kept, *made]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, least_gain: float = 18.0, lexicon: int = 400, precision: float = 0.4) -> Model:
@@ -316,5 +317,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def rejected(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """docs without the rows that score at least `threshold`; rows and columns otherwise as they were."""
-    found = measure(docs, model, docs.columns)
-    return found.where(F.col("score") < threshold).select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    return measure(rows, model, ["row"]).where(F.col("score") < threshold).select("row.*")
