@@ -41,6 +41,22 @@ def grounding_gate(rows: DataFrame, system_prompt: str, generate: Callable[[Colu
     return kept.select("id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("intent", "persona", "source")), chat.alias("messages"), F.size("in_slice").cast("long").alias("n_anchors"))
 
 
+def reward_rows(rows: DataFrame, system_prompt: str) -> DataFrame:
+    """(id, messages, anchors) for reward training: questions with anchors, enough of which their slice states."""
+    kept = rows.where(F.size("anchors") > 0).withColumn("in_slice", T.anchors_in(F.col("anchors"), F.col("slice"))).where(enough_in_slice(F.col("in_slice")))
+    chat = T.messages(system=F.lit(system_prompt), user=T.grounded_prompt(F.col("slice"), F.col("question")))
+    return kept.select("id", chat.alias("messages"), F.col("in_slice").alias("anchors"))
+
+
+def quiz_counts(quiz: DataFrame) -> DataFrame:
+    return quiz.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_terminator(text: Column, mark: str) -> Column:
+    """A training document and the mark that ends it."""
+    return F.concat(text, F.lit(mark))
+
+
 def rejection_sample(samples: DataFrame, prediction: str = "prediction", gold: str = "gold") -> DataFrame:
     """Samples that the number grader calls right."""
     return samples.where(grading.number_correct(F.col(prediction), F.col(gold)))
@@ -72,8 +88,13 @@ def parse_items(reply: Column) -> Column:
     return F.when(F.coalesce(F.size(first), F.lit(0)) > 0, first).otherwise(F.coalesce(second, none))
 
 
-def minted_ids(items: DataFrame, corpus_col: str, place_col: str) -> Column:
-    return F.format_string("%s-%02d", F.substring(items[corpus_col], 1, 3), items[place_col])
+def minted_id(corpus: Column, place: Column) -> Column:
+    """The corpus's first three characters and the item's place, of two digits or more."""
+    return F.format_string("%s-%02d", F.substring(corpus, 1, 3), place)
+
+
+def quiz_id(document: Column, window: Column) -> Column:
+    return F.format_string("cq-%03d-%d", document, window)
 
 
 def augmented(docs: DataFrame, reply_col: str = "reply") -> DataFrame:

@@ -69,3 +69,31 @@ def latest_meta(updates: DataFrame) -> DataFrame:
     """The last of each run's meta rows by `updated`."""
     rest = [c for c in updates.columns if c not in (*RUN, "updated")]
     return updates.groupBy(*RUN).agg(F.max_by(F.struct(*rest), "updated").alias("m")).select(*RUN, "m.*")
+
+
+def run_events(events: DataFrame, exp: str, run_id: str) -> DataFrame:
+    """The events of one run, by both of its keys as values; a run that isn't there has none."""
+    return events.where((F.col("exp") == exp) & (F.col("run_id") == run_id))
+
+
+def series_keys(events: DataFrame) -> DataFrame:
+    """The metrics of each run that have a value at some step."""
+    return run_series(events).select(*RUN, "metric").distinct()
+
+
+def duration_text(seconds: Column) -> Column:
+    """1h 2m 03s, without hours below one; a dash for null."""
+    s = F.greatest(F.lit(0), F.floor(seconds)).cast("long")
+    hours = F.floor(s / 3600)
+    text = F.concat(F.when(hours > 0, F.concat(hours, F.lit("h "))).otherwise(""), F.floor(F.pmod(s, F.lit(3600)) / 60), F.lit("m "), F.lpad(F.pmod(s, F.lit(60)).cast("string"), 2, "0"), F.lit("s"))
+    return F.when(seconds.isNull() | F.isnan(seconds.cast("double")), "\u2014").otherwise(text)
+
+
+def number_text(x: Column, digits: int = 3) -> Column:
+    """No digits after the point from 1000 on, `digits` from 1 on, below that three significant ones; a dash for null."""
+    a = F.abs(x)
+    fixed = lambda n: F.regexp_replace(F.format_number(x, n), ",", "")
+    small = fixed(12)
+    for power in range(9, 0, -1):  # 0.1 to 1 has three places, each power of ten below it one more
+        small = F.when(a >= 10.0**-power, fixed(power + 2)).otherwise(small)
+    return F.when(x.isNull() | F.isnan(x), "\u2014").when(a >= 1000, fixed(0)).when(a >= 1, fixed(digits)).when(a == 0, "0").otherwise(small)

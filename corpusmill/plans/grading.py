@@ -184,6 +184,20 @@ def sft_render_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", F.md5(F.array_join(F.transform(chat, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")).alias("chat_md5"))
 
 
+def reward_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = gating.reward_rows(GATES.frame(spark), "sys")
+    return found.select("id", F.array_join("anchors", "|").alias("anchors"), F.size("messages").cast("long").alias("n_messages"))
+
+
+def minted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents")
+    return rows.select("doc_id", gating.minted_id(F.col("source"), F.col("doc_id")).alias("minted"), gating.quiz_id(F.col("doc_id"), F.lit(1)).alias("quiz_id"), F.md5(gating.with_terminator(F.col("text"), "<end>")).alias("ended_md5"))
+
+
+def quiz_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gating.quiz_counts(CHOICES.frame(spark))
+
+
 def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source the first good and the first other document by label, as a preferred and a rejected text."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
@@ -242,7 +256,7 @@ _AUGMENTED = rf"""d AS (SELECT doc_id, source AS topic, {_STRIP.format(c="text")
 QUERIES = {f.__name__: f for f in (
     gsm_extract, gsm_reward, building_reward, anchor_match, anchor_reward, grounding_gate, judge_scores, judge_summary, judge_by_intent, mcq_parse, mcq_accuracy, mcq_validity, majority_baseline,
     accuracy_by_kind, parse_llm_object, parse_llm_array, augment_docs, augmentation_ratio, sft_messages, sft_render_gold, preference_pairs, rejection_sample, exam_rows, intent_counts, backend_parts,
-    perplexity, dataset_id,
+    reward_rows, minted_ids, quiz_counts, perplexity, dataset_id,
 )}
 ORACLES = {
     "gsm_extract": f"WITH r AS (SELECT doc_id, text AS prediction FROM documents UNION ALL SELECT -id, prediction FROM {NUMBERS.sql}) SELECT doc_id, {_NUM.format(c='prediction')} AS number FROM r",
@@ -274,6 +288,9 @@ ORACLES = {
     "augmentation_ratio": f"WITH {_AUGMENTED} SELECT count(*) AS n, count(*) FILTER (ok) AS n_ok, sum(length(text))::BIGINT AS chars_out, round(sum(length(text)) / greatest(1, sum(length(body))), 9)::DOUBLE AS ratio FROM a",
     "sft_messages": "SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles, md5(string_agg(text, chr(10) ORDER BY turn)) AS content_md5 FROM conversations GROUP BY conv_id",
     "sft_render_gold": f"SELECT item_id, md5('system:sys' || chr(10) || 'user:' || {_PROMPT.format(c=chr(39) + 'ctx' + chr(39), q='text')} || chr(10) || 'assistant:' || md5(text)) AS chat_md5 FROM benchmark",
+    "reward_rows": f"WITH {_GATED} SELECT id, array_to_string(in_slice, '|') AS anchors, 2::BIGINT AS n_messages FROM k",
+    "minted_ids": "SELECT doc_id, substr(source, 1, 3) || '-' || lpad(doc_id::VARCHAR, greatest(2, length(doc_id::VARCHAR))::INT, '0') AS minted, 'cq-' || lpad(doc_id::VARCHAR, greatest(3, length(doc_id::VARCHAR))::INT, '0') || '-1' AS quiz_id, md5(text || '<end>') AS ended_md5 FROM documents",
+    "quiz_counts": f"SELECT topic, count(*) AS n FROM {CHOICES.sql} GROUP BY topic",
     "preference_pairs": """SELECT source AS prompt, min(md5(text)) FILTER (quality = 1) AS chosen, min(md5(text)) FILTER (quality <> 1) AS rejected FROM documents JOIN labels USING (doc_id)
       GROUP BY source HAVING chosen IS NOT NULL AND rejected IS NOT NULL""",
     "rejection_sample": f"SELECT id::BIGINT AS id, sample::BIGINT AS sample, prediction FROM {SAMPLES.sql} WHERE {_NUM.format(c='prediction')} = {_NUM.format(c='gold')}",

@@ -56,6 +56,19 @@ def logged_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("m IS NOT NULL").select("event_id", F.explode("m").alias("metric", "value"))
 
 
+def one_runs_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.run_series(telemetry.run_events(_events(spark, sf_dir), "e", "7"))
+
+
+def series_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.series_keys(_events(spark, sf_dir))
+
+
+def duration_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 7.5).alias("seconds"))
+    return rows.select("event_id", telemetry.duration_text(F.col("seconds")).alias("duration"))
+
+
 def artifact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as an artifact, found again by the pointer, and read."""
     root = shared_path(spark, "artifacts")
@@ -77,7 +90,7 @@ def stream_run_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SERIES = "s AS (SELECT 'e' AS exp, user_id::VARCHAR AS run_id, event_type AS metric, event_id AS step, value FROM events WHERE event_id % 11 <> 0)"
 _LATEST = f"WITH {_SERIES} SELECT exp, run_id, metric, arg_max(value, step) AS value, max(step) AS step FROM s GROUP BY exp, run_id, metric"
-QUERIES = {f.__name__: f for f in (run_leaderboard, run_summary, best_run, run_series, run_latest, run_series_scaled, logged_metrics, artifact_roundtrip, stream_run_latest)}
+QUERIES = {f.__name__: f for f in (run_leaderboard, run_summary, best_run, run_series, run_latest, run_series_scaled, logged_metrics, one_runs_events, series_keys, duration_text, artifact_roundtrip, stream_run_latest)}
 ORACLES = {
     "run_leaderboard": """WITH m AS (SELECT user_id::VARCHAR AS run_id, min(event_id)::DOUBLE AS started, max(value) AS after, 'e' AS exp FROM events GROUP BY user_id)
       SELECT *, row_number() OVER (ORDER BY coalesce(started, 0) DESC, exp, run_id) AS place FROM m""",
@@ -90,6 +103,10 @@ ORACLES = {
     "run_series_scaled": f"""WITH {_SERIES}, w AS (SELECT *, min(value) OVER p AS lo, max(value) OVER p AS hi FROM s WINDOW p AS (PARTITION BY run_id, metric))
       SELECT run_id, metric, step, round(CASE WHEN hi = lo THEN 0.5 ELSE (value - lo) / (hi - lo) END, 9)::DOUBLE AS y FROM w""",
     "logged_metrics": """SELECT event_id, CASE event_type WHEN 'click' THEN 'loss' ELSE 'reward' END AS metric, value FROM events WHERE event_type IN ('click', 'view') AND event_id % 11 <> 0""",
+    "one_runs_events": f"WITH {_SERIES} SELECT * FROM s WHERE run_id = '7'",
+    "series_keys": f"WITH {_SERIES} SELECT DISTINCT exp, run_id, metric FROM s",
+    "duration_text": """WITH s AS (SELECT event_id, floor(event_id * 7.5)::BIGINT AS s FROM events)
+      SELECT event_id, CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' ELSE '' END || ((s % 3600) // 60) || 'm ' || lpad((s % 60)::VARCHAR, 2, '0') || 's' AS duration FROM s""",
     "artifact_roundtrip": "SELECT doc_id, lang, n_chars, (SELECT count(*) FROM documents) AS n_rows FROM documents",
     "stream_run_latest": _LATEST,
 }

@@ -85,3 +85,15 @@ def test_best_pointer_replay_compares_with_rounded_values():
     assert telemetry.best_replay([(1, 0.51236), (2, 0.51238), (3, 0.5)]) == (1, 0.5124)
     assert telemetry.best_replay([(1, 0.51234), (2, 0.512339)]) == (2, 0.5123)
     assert telemetry.best_replay([]) is None
+
+
+@pytest.mark.parametrize(("x", "text"), [(1234.6, "1235"), (12.34567, "12.346"), (0.0, "0"), (0.123456, "0.123"), (0.00123456, "0.00123"), (-0.5, "-0.500"), (None, "\u2014")])
+def test_number_text(spark, x, text):
+    row = spark.createDataFrame([(x,)], "x double")
+    assert row.select(telemetry.number_text(F.col("x")).alias("t")).first().t == text
+
+
+@pytest.mark.parametrize(("x", "text"), [(3723.9, "1h 2m 03s"), (59.0, "0m 59s"), (-5.0, "0m 00s"), (None, "\u2014")])
+def test_duration_text(spark, x, text):
+    row = spark.createDataFrame([(x,)], "x double")
+    assert row.select(telemetry.duration_text(F.col("x")).alias("t")).first().t == text
