@@ -47,8 +47,13 @@ def retrieve(questions: DataFrame, chunks: DataFrame, heads: DataFrame, budget:
 
 
 def corpus_heads(texts: DataFrame, budget: int, rank_col: str = "rank", separator: str = "\n\n") -> DataFrame:
-    """(corpus_id, head): (corpus_id, rank, text) joined in order and cut. Texts that begin beyond the cut are left out first."""
+    """(corpus_id, head): (corpus_id, rank, text) joined in order and cut. Texts that begin beyond the cut are left out first.
+
+    Each text takes its separator at least, so that more than budget / separator of them can't begin before the cut:
+    that limit is met where texts are read, before a large corpus comes together.
+    """
     order = Window.partitionBy("corpus_id").orderBy(rank_col)
+    texts = texts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= budget // max(1, len(separator)) + 1)
     before = F.coalesce(F.sum(F.length("text").cast("long") + len(separator)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     needed = texts.withColumn("before", before).where(F.col("before") < budget)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank_col, "text"))), lambda x: x["text"]), separator)

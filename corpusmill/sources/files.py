@@ -60,18 +60,18 @@ def corpus_texts(files: DataFrame, max_chars: int = 48_000) -> DataFrame:
     books, others = known.where("suffix = '.xlsx'"), known.where("suffix <> '.xlsx'")
     bodies = others.withColumn("body", valid_text(F.col("content"))).drop("content").unionByName(books.withColumn("body", workbook_text(F.col("content"))).drop("content"))
     rows = bodies.withColumn("piece", F.when(F.col("suffix").isin(*TEXT_RANKS), F.concat(F.lit("# FILE: "), path, F.lit("\n"), F.col("body")))).drop("body")
+    # A piece has its heading's ten characters at least: files beyond that many can't begin before the cut.
     order = Window.partitionBy("building").orderBy("rank", "rel_path")
+    first = rows.where("piece IS NOT NULL").withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_chars // 10 + 1)
     before = F.coalesce(F.sum(F.length("piece").cast("long") + 2).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = rows.withColumn("before", before)
-    piece = F.when(F.col("piece").isNotNull() & (F.col("before") < max_chars), F.struct("rank", "rel_path", "piece"))
-    name = F.substring_index(path, "/", -1)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["piece"]), "\n\n")
-    skip = F.col("suffix").isin(*SKIPPED)
-    return kept.groupBy("building").agg(
-        F.substring(text, 1, max_chars).alias("text"),
-        F.transform(F.array_sort(F.collect_list(F.when(skip, F.struct("rank", "rel_path", name.alias("name"))))), lambda x: x["name"]).alias("skipped"),
-        F.array_sort(F.collect_list(F.when(~skip & F.col("piece").isNull(), name))).alias("ignored"),
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "rel_path", "piece"))), lambda x: x["piece"]), "\n\n")
+    texts = first.withColumn("before", before).where(F.col("before") < max_chars).groupBy("building").agg(F.substring(joined, 1, max_chars).alias("text"))
+    skip, name = F.col("suffix").isin(*SKIPPED), F.substring_index(path, "/", -1)
+    names = rows.select("building", "rank", "rel_path", name.alias("name"), skip.alias("skip"), F.col("piece").isNull().alias("unread")).groupBy("building").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("skip"), F.struct("rank", "rel_path", "name")))), lambda x: x["name"]).alias("skipped"),
+        F.array_sort(F.collect_list(F.when(~F.col("skip") & F.col("unread"), F.col("name")))).alias("ignored"),
     )
+    return names.join(texts, "building", "left").select("building", F.coalesce("text", F.lit("")).alias("text"), "skipped", "ignored")
 
 
 def building_names(files: DataFrame) -> DataFrame:
