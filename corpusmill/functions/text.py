@@ -19,8 +19,12 @@ STOP_WORDS = (
     "into over why check would should this that these those give get pull grab show tell list name walk through between value values "
     "data file files sensor building room number what's me run loop each per all any both not but his her their"
 ).split()
+# What a path ends in, and the prompt around a slice and its question.
 PATH_ENDINGS = (".txt", ".ttl", ".csv", ".md", ".pdf", ".png")
 
+PROMPT_HEAD = "Use only the building's data below to answer.\n\n--- BUILDING DATA ---\n"
+PROMPT_TAIL = "\n--- END BUILDING DATA ---\n\nQuestion: "
+
 
 def any_of(tests) -> Column:
     out = F.lit(False)
@@ -158,7 +162,7 @@ def json_object_text(s: Column) -> Column:
 
 
 def grounded_prompt(context: Column, question: Column) -> Column:
-    return F.concat(F.lit("Use only the building's data below to answer.\n\n--- BUILDING DATA ---\n"), context, F.lit("\n--- END BUILDING DATA ---\n\nQuestion: "), question)
+    return F.concat(F.lit(PROMPT_HEAD), context, F.lit(PROMPT_TAIL), question)
 
 
 def messages(**roles: Column) -> Column:

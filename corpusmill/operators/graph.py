@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 
+# The predicate of types, and the wording of the minted questions below.
 TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 
 
