@@ -37,10 +37,8 @@ def encoded_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    keep = ("doc_id", "lang", "source", "text_crc32")
-    ids = sentencepieces.encode(docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")))), path, keep=keep)
-    back = sentencepieces.decode(ids, path, keep=(*keep, "ids"))
-    return back.select("doc_id", "lang", "source", "n_pieces", "ids", (F.crc32("text") == F.col("text_crc32")).alias("exact"))
+    found = sentencepieces.encode(docs, path, keep=("doc_id", "lang", "source"), check=True)
+    return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", "exact")
 
 
 STAGES = [

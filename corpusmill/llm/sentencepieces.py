@@ -27,7 +27,7 @@ from .common import text_or_empty
 
 MARK = "▁"
 _INF = float("inf")
-_BATCH = 4 << 20
+_BATCH = 2 << 20
 
 
 class Machine:
@@ -63,7 +63,7 @@ class Machine:
         self.line = any("\n" in t for t in self.score)
         self.text = [t for t, _, _ in pieces]
         self.together: dict[tuple[int, int], bool] = {}
-        self.memo = textcore.Memo(1_000_000)
+        self.memo = textcore.Memo(400_000)
         self.spelled = np.frombuffer(b"".join(self.spell), np.uint8)
         self.spelled_at = np.append(0, np.cumsum([len(x) for x in self.spell]))
 
@@ -111,7 +111,7 @@ class Machine:
         """Whether the arc of a merge model from one piece to another weighs 0 (None: from the start)."""
         found = self.together.get((before, piece))
         if found is None:
-            if len(self.together) > 2_000_000:
+            if len(self.together) > 500_000:
                 self.together.clear()
             parts = [self._spelled(piece)] if before is None else [self._spelled(before), self._spelled(piece)]
             found = self.together[before, piece] = self.merged("".join(parts)) == parts
@@ -199,7 +199,9 @@ class Machine:
         return data[keep], np.append(0, np.cumsum(keep))[text_at]
 
 
-def _encoding(path: str, kind: str, keep: list[str]):
+def _encoding(path: str, kind: str, keep: list[str], check: bool):
+    names = [*keep, "ids", *(["exact"] if check else [])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine.of(path, kind)
         for batch in batches:
@@ -207,16 +209,25 @@ def _encoding(path: str, kind: str, keep: list[str]):
                 part = batch.slice(lo, hi - lo)
                 ids, at = machine.encode(part["text"])
                 column = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), column], [*keep, "ids"])
+                columns = [*(part[c] for c in keep), column]
+                if check:
+                    data, text_at = machine.decode(ids.astype(np.int64), at)
+                    wanted, wanted_at = textcore.flat(part["text"])
+                    columns.append(pa.array([bytes(data[a:b]) == bytes(wanted[c:d]) for a, b, c, d in zip(text_at[:-1], text_at[1:], wanted_at[:-1], wanted_at[1:], strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def encode(docs: DataFrame, model_path: str, kind: str = "bpe", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, and ids: array<int>. Null and empty texts have no ids; repeated rows stay; other columns go."""
+def encode(docs: DataFrame, model_path: str, kind: str = "bpe", keep: tuple[str, ...] = ("doc_id",), check: bool = False) -> DataFrame:
+    """The kept columns, and ids: array<int>; with check, also whether the ids decode to the text (`exact`).
+
+    Null and empty texts have no ids; repeated rows stay; other columns go. A text with the mark's own character is
+    encoded as the library does it, and decodes to a space there.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     texts = docs.select(*keep, text_or_empty().alias("text"))
-    return texts.mapInArrow(_encoding(model_path, kind, list(keep)), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids array<int>"]))
+    return texts.mapInArrow(_encoding(model_path, kind, list(keep), check), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids array<int>", *(["exact boolean"] if check else [])]))
 
 
 def _decoding(path: str, kind: str, keep: list[str]):
