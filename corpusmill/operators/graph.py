@@ -15,7 +15,6 @@ def entity_index(triples: DataFrame) -> DataFrame:
     """(building, uri, name, types, comment, connections, properties) of every subject that has a type.
 
     A graph is a set, so equal triples are one; lists are in ascending order, and of several comments the least counts.
-    One shuffle by (building, s): the distinct triples are gathered where they are made distinct.
     """
     kind, o = T.local_name(F.col("p")), T.local_name(F.col("o"))
     by = triples.distinct().groupBy("building", "s").agg(
