@@ -32,6 +32,19 @@ def _local_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix="corpusmill-")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB from now on in this session, where it has Spark's 64: several Python workers share an executor."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(key, "8m")
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Removes everything that operators have staged in the shared folder; results that weren't read yet are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corpusmill")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextlib.contextmanager
 def _shuffles_freed(spark: SparkSession):
     """Within the block, a query's shuffle files go when it ends: what it wrote is in the shared folder."""
@@ -51,6 +64,7 @@ def staged_path(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """df, written to the shared folder and read back: lineage ends here, and a lost executor costs a reread."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = staged_path(spark, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
@@ -60,13 +74,15 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
-def staged_in_order(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+def staged_in_order(df: DataFrame, order: list[Column], name: str, finer: int = 1) -> DataFrame:
     """df dealt into ranges of `order`, sorted, and staged with `_mid`: ascending along that order over the whole table.
 
     Within one range the numbers have no gaps, so that a rank is `_mid` less the least of its range, plus the rows of
-    the ranges before it: `range_offsets` has one row for each range and group, whatever the table's size.
+    the ranges before it; these counts have one row for each range and group, whatever the table's size. Ranges have
+    equal rows: where the order puts large rows together, `finer` times as many keep the largest range small.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges = [] if finer == 1 else [finer * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))]
+    ranged = df.repartitionByRange(*ranges, *order).sortWithinPartitions(*order)
     return staged(ranged.withColumn("_mid", F.monotonically_increasing_id()), name)
 
 

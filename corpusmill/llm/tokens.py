@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textcore
-from .common import staged, staged_path, text_or_empty
+from .common import bounded_batches, staged, staged_path, text_or_empty
 
 MAGIC = b"rAN1"
 SCALE = 20  # frequencies sum to 2**SCALE
@@ -266,6 +266,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end: int = 2, path: str |
     """
     spark = docs.sparkSession
     path = path or staged_path(spark, "tokens")
+    bounded_batches(spark)
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     ranged = texts.repartitionByRange(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
     rows = staged(ranged.withColumn("_mid", F.monotonically_increasing_id()).mapInArrow(_tokenizing(tokenizer_path, end), "doc_id long, _mid long, n_tokens long, ids binary"), "token-ids")
