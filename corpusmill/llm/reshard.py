@@ -116,8 +116,8 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int) -> DataFrame:
     """
     spark = docs.sparkSession
     sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), utf8_size().alias("size"), old_shard.cast("int").alias("old_shard"))
-    order = [F.col("old_shard"), F.col("size"), F.col("row.doc_id")]
-    placed = staged_in_order(sized, order, "reshard").withColumn("range", range_no())
+    order = [F.col("old_shard"), F.col("size"), F.col("row.doc_id"), F.xxhash64("row.text")]
+    placed = staged_in_order(sized, order, "reshard", finer=3).withColumn("range", range_no())
     power = F.floor(F.log2("size")).cast("int")
     blocks = placed.groupBy("old_shard", power.alias("power")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()  # shards times powers of two
     runs = plan(sorted((b["old_shard"], b["power"], b["n"], b["bytes"]) for b in blocks), shards)
