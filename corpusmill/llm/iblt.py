@@ -145,7 +145,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring("text", 1, n - half), F.substring("next_text", 1, half))
     texts = with_next_text(docs).select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
     digests = texts.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(paragraph_digests(F.col(c)).alias(a) for c, a in (("text", "own"), ("edited", "new"), ("next_text", "other"))))
-    digests = staged(digests, "fingerprint-digests")
+    # Peeling is work of many seconds on few bytes: dealt evenly over twice the tasks that a shuffle has.
+    tasks = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    digests = staged(digests, "fingerprint-digests").repartition(tasks, "doc_id", "edited_sha256")
     cells = digests.select("*", *(sketch(F.col(c), CELLS).alias(f"{c}_cells") for c in ("own", "new", "other")))
     found = cells.select(
         "doc_id", "n_chars", "edited_sha256", encoded(F.col("own_cells")).alias("fingerprint"), encoded(F.col("new_cells")).alias("edited_fingerprint"), "own", "new", "other",
