@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore
-from .common import text_or_empty
+from .common import bounded_batches, text_or_empty
 
 MARK = "▁"
 _INF = float("inf")
@@ -226,6 +226,7 @@ def encode(docs: DataFrame, model_path: str, kind: str = "bpe", keep: tuple[str,
     encoded as the library does it, and decodes to a space there.
     """
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    bounded_batches(docs.sparkSession)
     texts = docs.select(*keep, text_or_empty().alias("text"))
     return texts.mapInArrow(_encoding(model_path, kind, list(keep), check), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids array<int>", *(["exact boolean"] if check else [])]))
 
@@ -251,5 +252,6 @@ def _decoding(path: str, kind: str, keep: list[str]):
 def decode(encoded: DataFrame, model_path: str, kind: str = "bpe", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """From (keep, ids): the kept columns, text, n_pieces and ids_crc32 (of little-endian 32-bit ids). Null ids spell an empty text."""
     kinds = {f.name: f.dataType.simpleString() for f in encoded.schema.fields}
+    bounded_batches(encoded.sparkSession)
     ids = F.coalesce(F.col("ids"), F.expr("CAST(array() AS array<int>)"))
     return encoded.select(*(c for c in keep if c != "ids"), ids.alias("ids")).mapInArrow(_decoding(model_path, kind, list(keep)), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "text string, n_pieces long, ids_crc32 long"]))
