@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore
-from .common import staged, text_or_empty
+from .common import bounded_batches, staged, text_or_empty
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED, END = range(7)
 # The words that the grammar knows before it has seen labels.
@@ -114,13 +114,14 @@ def _tag(word: str, model: Model, fixed: dict[str, int]) -> tuple[int, float, bo
 
 
 STEM_MIN, STEM_MAX = 3, 8
+_BATCH = 2 << 20
 _FIXED = {w: s for s, ws in WORDS.items() for w in ws.split()}
 
 
 def clause_weights(texts: pa.Array, model: Model, table: Transducer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text: its heaviest clause, the sum of its clauses, and the clauses that weigh anything."""
     heaviest, total, matched = (np.zeros(len(texts)) for _ in range(3))
-    for lo, hi in textcore._spans(textcore.flat(texts)[1], 8 << 20):
+    for lo, hi in textcore._spans(textcore.flat(texts)[1], _BATCH):
         w = textcore.words(texts.slice(lo, hi - lo))
         if not len(w.start):
             continue
@@ -182,7 +183,7 @@ def _near_key(texts: pa.Array) -> np.ndarray:
 
 def _keying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi in textcore._spans(textcore.flat(batch["text"])[1], 8 << 20):
+        for lo, hi in textcore._spans(textcore.flat(batch["text"])[1], _BATCH):
             part = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays([part["text"], part["toxic"], pa.array(_near_key(part["text"]))], ["text", "toxic", "near"])
 
@@ -266,6 +267,7 @@ def _measuring(model: Model, keep: list[str]):
 
 def measure(texts: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The kept columns of texts, and heaviest_clause, clause_sum, n_clauses and score of the column text."""
+    bounded_batches(texts.sparkSession)
     kept = [f for f in texts.schema.fields if f.name in keep]
     made = [T.StructField(n, T.LongType() if n == "n_clauses" else T.DoubleType()) for n in ("heaviest_clause", "clause_sum", "n_clauses", "score")]
     return texts.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_measuring(model, [f.name for f in kept]), T.StructType([*kept, *made]))
