@@ -17,15 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore
-from .common import staged, text_or_empty, utf8_total
+from .common import bounded_batches, staged, text_or_empty, utf8_total
 
 SKETCH_BITS = 18
 SLICES = 16
-_BYTES = 4 << 20
+_BYTES = 2 << 20
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -350,7 +350,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, bucket_bytes: int = 12 << 20, block_grams: int = 1_500_000) -> DataFrame:
+def in_blocks(members: DataFrame, weight: Column, most: int) -> DataFrame:
+    """Members (center, sig, ...) of stars that weigh more than `most` dealt into blocks, of which every pair (lo, hi) is a group.
+
+    So any two members of a star meet in some group, and no group weighs much more than twice `most`.
+    """
+    sizes = members.groupBy("center").agg(F.ceil(weight / F.lit(most)).cast("int").alias("blocks"))
+    placed = members.join(sizes, "center").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi")))
+    return placed.withColumn("pair", F.explode(pairs)).select(*members.columns, "pair.lo", "pair.hi")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, bucket_bytes: int = 12 << 20, block_grams: int = 1_500_000, star_members: int = 20_000) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id that links reach, itself included), class_id
     (equal for documents with equal sets), label (equal for documents of one component) and key (of doc_id and text).
 
@@ -359,9 +370,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, bucket_by
     nothing and are components of their own; equal and repeated rows link; a null doc_id never is a component's least,
     and a component of null ids alone has a null id; other columns are left out.
 
-    bucket_bytes of text give one bucket of prefix entries; a star of over block_grams n-grams is dealt into blocks,
-    of which each pair is a group. Sets are told apart by 63-bit signatures.
+    bucket_bytes of text give one bucket of prefix entries; a star of over star_members sets, or later of over
+    block_grams n-grams, is dealt into blocks, of which each pair is a group. Sets are told apart by 63-bit signatures.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.xxhash64("doc_id", text_or_empty()).alias("key"), text_or_empty().alias("text"))
     survey = staged(texts.mapInArrow(_surveying(k), "doc_id long, key long, n long, sig long, bits binary, slice int, counts binary"), "ngram-survey")
     classes = frequency_classes(survey)
@@ -371,22 +383,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, bucket_by
     arms = staged(entries.groupBy("bucket").applyInArrow(_starring(percent), "center long, sig long").distinct(), "stars")
     bitmaps = survey.where("n > 0").groupBy("sig").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
     stars = arms.unionByName(arms.select("center", F.col("center").alias("sig")).distinct()).join(bitmaps, "sig")
-    near = staged(stars.groupBy("center").applyInArrow(_narrowing(percent), "center long, sig long").distinct(), "near-stars")
+    near = staged(in_blocks(stars, F.count(F.lit(1)), star_members).groupBy("center", "lo", "hi").applyInArrow(_narrowing(percent), "center long, sig long").distinct(), "near-stars")
     # Every member of a star, with the key of one row that has its set.
     chosen = rows.where("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.max("n").alias("n"))
     members = near.join(chosen, "sig")
-    sizes = members.groupBy("center").agg(F.ceil(F.sum("n") / F.lit(block_grams)).cast("int").alias("blocks"))
-    members = members.join(sizes, "center").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi")))
-    members = staged(members.select("center", "sig", "key", F.explode(others).alias("pair")).select("center", "sig", "key", "pair.lo", "pair.hi"), "star-members")
+    members = staged(in_blocks(members, F.sum("n"), block_grams).select("center", "sig", "key", "lo", "hi"), "star-members")
     # By partitions of the key at every size: members grow with the documents, so they are never broadcast.
     groups = texts.select("key", "text").join(members.hint("merge"), "key").groupBy("center", "lo", "hi")
     links = staged(groups.applyInArrow(_joining(k, percent, classes), "a long, b long"), "ngram-links")
     labels = components(links)
-    labelled = rows.join(labels, rows.sig == labels.node, "left").select("doc_id", "key", "n", "sig", F.coalesce("label", "sig").alias("label"))
-    least = labelled.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    out = labelled.join(least, "label", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.col("sig").alias("class_id"), "label", "key")
+    # One row for each set up to the last join, so that copies are few rows; that join and the one by label need no
+    # partitioning after them, so that Spark may split their large partitions.
+    sets = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id")).withColumnRenamed("sig", "set")
+    labelled = sets.join(labels, sets.set == labels.node, "left").select("set", "first_id", F.coalesce("label", "set").alias("label"))
+    least = labelled.groupBy("label").agg(F.min("first_id").alias("least")).withColumnRenamed("label", "of")
+    named = labelled.join(least, F.col("label") == F.col("of")).select("set", "label", "least")
+    out = rows.join(named, (F.col("n") > 0) & (F.col("sig") == F.col("set")), "left")
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("sig").alias("class_id"), F.coalesce("label", "sig").alias("label"), "key")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> DataFrame:

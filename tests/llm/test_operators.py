@@ -277,7 +277,7 @@ def test_near_copies_in_blocks_and_chains(spark):
     rows += [(100 + d, " ".join(f"u{d}x{i}" for i in range(40)) + " " + " ".join(f"common{i}" for i in range(30))) for d in range(40)]
     rng.shuffle(rows)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for options in ({}, {"block_grams": 500, "bucket_bytes": 2000}):
+    for options in ({}, {"block_grams": 500, "bucket_bytes": 2000, "star_members": 7}):
         found = triejoin.jaccard_components(frame, 4, 85, **options).collect()
         assert bag((r.doc_id, r.n_shingles, r.component_id) for r in found) == bag(brute_components(rows, 4, 85))
 
