@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textcore
-from .common import staged, text_or_empty
+from .common import bounded_batches, staged, text_or_empty
 
 FRAME = 64  # bytes of a sample
 RATE = 8000
 KEY_EVERY = 16
 CHUNK_FRAMES = 64
 _PARENTS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta"}
-_BATCH = 16 << 20
+_BATCH = 8 << 20
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -215,6 +215,7 @@ def probe(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> Da
 
     Null media gives nulls; a file without a track has empty tables; damaged boxes raise ValueError.
     """
+    bounded_batches(media.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in media.schema.fields}
     return media.select(*keep, "media").mapInArrow(_probing(list(keep)), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), _PROBE]))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore
-from .common import text_or_empty, utf8_total
+from .common import bounded_batches, text_or_empty, utf8_total
 
 RESULT = "doc_id long, n_words long, n_removed long, intervals array<struct<start:int,stop:int>>, kept_text string"
 
@@ -150,6 +150,7 @@ def dedup_substrings(docs: DataFrame, k: int = 35, batch_bytes: int = 6 << 20, b
     Hashes have 63 bits: n windows give about n*n/2**64 wrong pairs, 0.001 for 10**8.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     total = utf8_total(docs)
     batches = max(1, -(-total // batch_bytes))
     buckets = max(1, -(-total // 5 // bucket_windows))
