@@ -151,8 +151,8 @@ def question_words(q: Column, ignored: Column | None = None) -> Column:
     return words if ignored is None else F.array_except(words, ignored)
 
 
-def overlap_score(chunk: Column, keys: Column, words: Column) -> Column:
-    low = F.lower(chunk)
+def overlap_score(low: Column, keys: Column, words: Column) -> Column:
+    """Ten for each key and one for each word that a lower-case chunk contains; low should be a column, not an expression, as every key reads it."""
     return (F.size(F.filter(keys, lambda k: F.contains(low, k))) * 10 + F.size(F.filter(words, lambda w: F.contains(low, w)))).cast("long")
 
 

@@ -19,8 +19,9 @@ def with_keys(questions: DataFrame, question_col: str = "question", ignored_col:
 
 def chunk_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """(question_id, corpus_id, k, chunk, score): each question against the chunks of its corpus, joined on corpus_id."""
-    pairs = chunks.join(with_keys(questions).select("question_id", "corpus_id", "keys", "words"), "corpus_id")
-    return pairs.select("question_id", "corpus_id", "k", "chunk", T.overlap_score(F.col("chunk"), F.col("keys"), F.col("words")).alias("score"))
+    # Lower-cased once for each chunk, below the join.
+    pairs = chunks.withColumn("low", F.lower("chunk")).join(with_keys(questions).select("question_id", "corpus_id", "keys", "words"), "corpus_id")
+    return pairs.select("question_id", "corpus_id", "k", "chunk", T.overlap_score(F.col("low"), F.col("keys"), F.col("words")).alias("score"))
 
 
 def picked_chunks(scores: DataFrame, budget: int = BUDGET) -> DataFrame:
