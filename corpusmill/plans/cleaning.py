@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,11 +122,11 @@ def quiz_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("w").cast("long").alias("w"), F.md5("passage").alias("passage_md5"), F.length("passage").cast("long").alias("chars"))
 
 
-def building_corpus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def building_corpus_text(spark: SparkSession, sf_dir: str, max_chars: int = 20_000) -> DataFrame:
     """Folders are sources, files are documents whose suffix follows from doc_id."""
     ending = F.element_at(F.array(*(F.lit(x) for x in (".md", ".txt", ".csv", ".pdf", ".ttl", ".bin"))), (F.col("doc_id") % 6 + 1).cast("int"))
     rows = table(spark, sf_dir, "documents").select(F.col("source").alias("building"), F.concat(F.lit("d/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), ending).alias("rel_path"), F.col("text").cast("binary").alias("content"))
-    found = files.corpus_texts(rows, max_chars=20_000)
+    found = files.corpus_texts(rows, max_chars=max_chars)
     return found.select("building", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("chars"), F.array_join("skipped", ",").alias("skipped"), F.size("ignored").cast("long").alias("n_ignored"))
 
 
@@ -146,9 +148,10 @@ _KEYED = f"""[lower(x) FOR x IN {_KEYS} IF length(x) >= 3 AND NOT list_contains(
   [x FOR x IN list_distinct(regexp_extract_all(lower(question), '[a-z]{{4,}}')) IF NOT list_contains({_STOPS}, x) AND NOT list_contains([lower(z) FOR z IN ignored], x)] AS words"""
 
 
-def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items, each asked about one source, and one question that only has stop words."""
-    found = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.substring("text", 1, 300).alias("question"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("corpus_id"))
+def _questions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Benchmark items, each asked about one source, and one question that only has stop words. Without `whole` only the items' first 300 characters."""
+    question = F.col("text") if whole else F.substring("text", 1, 300)
+    found = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), question.alias("question"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("corpus_id"))
     more = spark.createDataFrame([(100_001, "what are these values?", "src3"), (100_002, "about \"nothing that is there\"", "src4")], "question_id long, question string, corpus_id string")
     return found.unionByName(more)
 
@@ -164,21 +167,23 @@ def retrieval_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("question_id", F.array_join("keys", "|").alias("keys"), F.array_join(F.array_sort("words"), "|").alias("words"))
 
 
-def chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.chunk_scores(_questions(spark, sf_dir), _chunks(spark, sf_dir))
+def chunk_scores(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    found = retrieval.chunk_scores(_questions(spark, sf_dir, whole), _chunks(spark, sf_dir))
     return found.select("question_id", "k", "score").where("score > 0")
 
 
-def retrieve_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def retrieve_slices(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("corpus_id"), F.col("doc_id").alias("rank"), "text")
-    found = retrieval.retrieve(_questions(spark, sf_dir), _chunks(spark, sf_dir), retrieval.corpus_heads(docs, retrieval.BUDGET))
+    found = retrieval.retrieve(_questions(spark, sf_dir, whole), _chunks(spark, sf_dir), retrieval.corpus_heads(docs, retrieval.BUDGET))
     return found.select("question_id", F.md5("slice").alias("slice_md5"), "n_chunks", F.length("slice").cast("long").alias("chars"))
 
 
-def retrieve_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _questions(spark, sf_dir).where("question_id > 100000")
+def retrieve_fallback(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    asked, budget = _questions(spark, sf_dir, whole), retrieval.BUDGET
+    if not whole:
+        asked, budget = asked.where("question_id > 100000"), 3000
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("corpus_id"), F.col("doc_id").alias("rank"), "text")
-    found = retrieval.retrieve(asked, _chunks(spark, sf_dir), retrieval.corpus_heads(docs, 3000), budget=3000)
+    found = retrieval.retrieve(asked, _chunks(spark, sf_dir), retrieval.corpus_heads(docs, budget), budget=budget)
     return found.select("question_id", F.md5("slice").alias("slice_md5"), "n_chunks")
 
 
@@ -244,3 +249,15 @@ ORACLES = {
     "retrieve_slices": _SLICES.format(chunks=_DOC_CHUNKS, asked=_ASKED, budget=14000) + " SELECT question_id, md5(slice) AS slice_md5, n_chunks, length(slice)::BIGINT AS chars FROM an",
     "retrieve_fallback": _SLICES.format(chunks=_DOC_CHUNKS, asked=_ASKED, budget=3000) + " SELECT question_id, md5(slice) AS slice_md5, n_chunks FROM an WHERE question_id > 100000",
 }
+
+# Whole benchmark texts as questions, all of them with the fallback, and the budgets of production.
+_ASKED_WHOLE = _ASKED.replace("substr(text, 1, 300) AS question", "text AS question")
+_WHOLE_SLICES = _SLICES.format(chunks=_DOC_CHUNKS, asked=_ASKED_WHOLE, budget=retrieval.BUDGET)
+QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (chunk_scores, retrieve_slices, retrieve_fallback)}
+QUERIES["building_corpus_text_whole"] = partial(building_corpus_text, max_chars=48_000)
+ORACLES |= {
+    "chunk_scores_whole": f"WITH RECURSIVE {_DOC_CHUNKS}, {_ASKED_WHOLE} SELECT question_id, k, score FROM sc WHERE score > 0",
+    "retrieve_slices_whole": _WHOLE_SLICES + " SELECT question_id, md5(slice) AS slice_md5, n_chunks, length(slice)::BIGINT AS chars FROM an",
+    "retrieve_fallback_whole": _WHOLE_SLICES + " SELECT question_id, md5(slice) AS slice_md5, n_chunks FROM an",
+    "building_corpus_text_whole": ORACLES["building_corpus_text"].replace("1, 20000)", "1, 48000)"),
+}

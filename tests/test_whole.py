@@ -11,3 +11,22 @@ def test_connections_are_of_all_suppliers_and_names(spark, small):
         row = found[str(p.p_partkey)]
         assert row.comment == f"{p.p_name} {p.p_partkey}"
         assert row.connections == "|".join(sorted(wanted.get(p.p_partkey, [])))
+
+
+def test_questions_are_whole_and_fall_back_alike(spark, small):
+    from corpusmill.plans import cleaning
+
+    asked = {r.item_id: r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    found = {r.question_id: r.question for r in cleaning._questions(spark, small, whole=True).collect()}
+    assert any(len(t) > 300 for t in asked.values())
+    assert {i: found[i] for i in asked} == asked
+    slices = {r.question_id: (r.slice_md5, r.n_chunks) for r in QUERIES["retrieve_slices_whole"](spark, small).collect()}
+    assert {r.question_id: (r.slice_md5, r.n_chunks) for r in QUERIES["retrieve_fallback_whole"](spark, small).collect()} == slices
+    assert set(slices) == set(found)
+
+
+def test_a_source_has_48000_characters(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("source", "length(text) AS n", "doc_id % 6 AS e").where("e NOT IN (3, 5)").groupBy("source").sum("n").collect()
+    found = {r.building: r.chars for r in QUERIES["building_corpus_text_whole"](spark, small).collect()}
+    assert any(r[1] > 20_000 for r in docs)
+    assert all(found[r.source] >= min(r[1], 48_000) for r in docs)
