@@ -77,6 +77,10 @@ def clean_dehyphenate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DOCS.frame(spark).select("doc_id", T.dehyphenated(T.after_header(F.col("text"))).alias("text"))
 
 
+def clean_dehyphenate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", T.dehyphenated(T.after_header(F.col("text"))).alias("text"))
+
+
 def clean_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean_bodies(_docs(spark, sf_dir))
 
@@ -261,3 +265,6 @@ ORACLES |= {
     "retrieve_fallback_whole": _WHOLE_SLICES + " SELECT question_id, md5(slice) AS slice_md5, n_chunks FROM an",
     "building_corpus_text_whole": ORACLES["building_corpus_text"].replace("1, 20000)", "1, 48000)"),
 }
+
+QUERIES["clean_dehyphenate_whole"] = clean_dehyphenate_whole
+ORACLES["clean_dehyphenate_whole"] = f"WITH {_LINES} SELECT doc_id, t AS text FROM hy"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +83,15 @@ def gsm_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NUMBERS.frame(spark).select("id", grading.number_correct(p, g).alias("ok"), grading.number_reward(p, g).alias("reward"))
 
 
+def gsm_reward_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand for predictions: a third of them have their own text as gold, the others a digit."""
+    p, g, n = F.col("prediction"), F.col("gold"), F.col("doc_id")
+    gold = F.when(n % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("#### "), n % 10))
+    rows = table(spark, sf_dir, "documents").select(n.alias("id"), F.col("text").alias("prediction"), gold.alias("gold"))
+    rows = rows.unionByName(NUMBERS.frame(spark).withColumn("id", -F.col("id")))
+    return rows.select("id", grading.number_correct(p, g).alias("ok"), grading.number_reward(p, g).alias("reward"))
+
+
 def building_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, g = F.col("prediction"), F.col("gold")
     return TAGGED.frame(spark).select("id", grading.tagged_kind(g).alias("kind"), grading.tagged_reward(p, g).cast("double").alias("reward"), grading.tagged_correct(p, g).alias("ok"))
@@ -99,20 +111,48 @@ def anchor_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.round(grading.anchor_reward(F.col("anchors"), F.col("text")), 9).alias("reward"))
 
 
-def grounding_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = GATES.frame(spark).select("*", *(F.lit(None).cast("string").alias(c) for c in ("intent", "persona", "source")))
+def _gates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is a slice, its five longest words and one that is absent the anchors, its first 400 characters the answer to a benchmark item."""
+    words = F.array_distinct(F.filter(F.split("text", r"[\s.,]+", -1), lambda w: w.rlike(r"^[A-Za-z]{4,}\z")))
+    longest = F.slice(F.array_sort(F.transform(words, lambda w: F.concat(F.lpad((100_000 - F.length(w)).cast("string"), 6, "0"), w))), 1, 5)
+    anchors = F.concat(F.transform(longest, lambda w: F.substring(w, F.lit(7), F.length(w))), F.array(F.lit("absent anchor")))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("asked"))
+    docs = table(spark, sf_dir, "documents").join(asked, F.col("doc_id") % 50 == F.col("item"), "left")
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.coalesce("asked", F.lit("")).alias("question"), anchors.alias("anchors"), F.col("text").alias("slice"), F.substring("text", 1, 400).alias("answer"))
+    return rows.unionByName(GATES.frame(spark))
+
+
+def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return GATES.frame(spark)
+
+
+def grounding_gate(spark: SparkSession, sf_dir: str, gates: Callable = _gates) -> DataFrame:
+    rows = gates(spark, sf_dir).select("*", *(F.lit(None).cast("string").alias(c) for c in ("intent", "persona", "source")))
     found = gating.grounding_gate(rows, "Answer from the data.")
     return found.select("id", "intent", "n_anchors", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("="), m["content"])), "|").alias("chat"))
 
 
-def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = VERDICTS.frame(spark)
+def _verdicts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents by source: a good one's verdict matches both anchors, another's one, a toxic one contradicts, every seventh can't be read."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    matched = F.concat(F.lit('{"matched": ["'), F.col("source"), F.when(F.col("quality") == 1, F.concat(F.lit('", "'), F.col("lang"))).otherwise(""), F.lit('"], "contradiction": '))
+    reply = F.when(F.col("doc_id") % 7 == 0, "sorry").otherwise(F.concat(matched, F.when(F.col("toxic") == 1, "true").otherwise("false"), F.lit("}")))
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("intent"), F.array("source", "lang").alias("anchors"), reply.alias("reply"))
+    return rows.unionByName(VERDICTS.frame(spark))
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VERDICTS.frame(spark)
+
+
+def judge_scores(spark: SparkSession, sf_dir: str, verdicts: Callable = _verdicts) -> DataFrame:
+    rows = verdicts(spark, sf_dir)
     strict = grading.judged(rows, rows, strict=True).select("id", F.col("score").alias("strict_score"))
     return grading.judged(rows, rows).join(strict, "id")
 
 
-def judge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = VERDICTS.frame(spark)
+def judge_summary(spark: SparkSession, sf_dir: str, verdicts: Callable = _verdicts) -> DataFrame:
+    rows = verdicts(spark, sf_dir)
     return evaluation.judge_summary(grading.judged(rows, rows)).withColumn("judge_score", F.round("judge_score", 9))
 
 
@@ -184,8 +224,8 @@ def sft_render_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", F.md5(F.array_join(F.transform(chat, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")).alias("chat_md5"))
 
 
-def reward_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = gating.reward_rows(GATES.frame(spark), "sys")
+def reward_rows(spark: SparkSession, sf_dir: str, gates: Callable = _gates) -> DataFrame:
+    found = gating.reward_rows(gates(spark, sf_dir), "sys")
     return found.select("id", F.array_join("anchors", "|").alias("anchors"), F.size("messages").cast("long").alias("n_messages"))
 
 
@@ -300,3 +340,18 @@ ORACLES = {
     "perplexity": "SELECT round(exp(sum(value / 10 * (event_id % 50)) / greatest(1, sum(event_id % 50))), 6) AS perplexity, count(*) AS n_docs FROM events WHERE event_id % 50 >= 1",
     "dataset_id": """SELECT doc_id, substr(sha256('{"k":' || doc_id || ',"source":"' || source || '"}'), 1, 12) AS dataset_id FROM documents""",
 }
+
+# The same over whole tables and the inline rows.
+_ALL_NUMBERS = f"(SELECT doc_id AS id, text AS prediction, CASE WHEN doc_id % 3 = 0 THEN text ELSE '#### ' || (doc_id % 10) END AS gold FROM documents UNION ALL SELECT -id, prediction, gold FROM {NUMBERS.sql})"
+_WORDS = r"list_distinct([w FOR w IN string_split_regex(text, '[\s.,]+') IF regexp_full_match(w, '[A-Za-z]{4,}')])"
+_ALL_GATES = f"""(SELECT doc_id::VARCHAR AS id, coalesce(asked, '') AS question,
+      list_concat([substr(x, 7) FOR x IN list_sort([lpad((100000 - length(w))::VARCHAR, 6, '0') || w FOR w IN {_WORDS}])[1:5]], ['absent anchor']) AS anchors, text AS slice, substr(text, 1, 400) AS answer
+      FROM documents LEFT JOIN (SELECT item_id, text AS asked FROM benchmark) ON doc_id % 50 = item_id UNION ALL SELECT id, question, anchors, slice, answer FROM {GATES.sql})"""
+_ALL_VERDICTS = f"""(SELECT doc_id::VARCHAR AS id, source AS intent, [source, lang] AS anchors, CASE WHEN doc_id % 7 = 0 THEN 'sorry'
+      ELSE '{{"matched": ["' || source || CASE WHEN quality = 1 THEN '", "' || lang ELSE '' END || '"], "contradiction": ' || CASE WHEN toxic = 1 THEN 'true' ELSE 'false' END || '}}' END AS reply
+      FROM documents JOIN labels USING (doc_id) UNION ALL SELECT id, intent, anchors, reply FROM {VERDICTS.sql})"""
+QUERIES["gsm_reward_whole"] = gsm_reward_whole
+QUERIES |= {f"{f.__name__}_whole": partial(f, gates=_gates_whole) for f in (grounding_gate, reward_rows)}
+QUERIES |= {f"{f.__name__}_whole": partial(f, verdicts=_verdicts_whole) for f in (judge_scores, judge_summary)}
+_WIDER = {"gsm_reward": (NUMBERS, _ALL_NUMBERS), "grounding_gate": (GATES, _ALL_GATES), "reward_rows": (GATES, _ALL_GATES), "judge_scores": (VERDICTS, _ALL_VERDICTS), "judge_summary": (VERDICTS, _ALL_VERDICTS)}
+ORACLES |= {f"{name}_whole": ORACLES[name].replace(few.sql, every) for name, (few, every) in _WIDER.items()}

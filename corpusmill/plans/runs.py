@@ -16,6 +16,8 @@ RUNS = Inline("exp string, run_id string, metric string, baseline double, after
 ))
 SCORES = Inline("run_order long, value double", ((1, 0.51234), (2, 0.51231), (3, 0.75), (4, 0.75), (5, 0.1)))
 NOW = 1000.0
+#: After every event id.
+LATER = 1_000_000_000_000.0
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +38,20 @@ def best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.best_run(SCORES.frame(spark))
 
 
+def run_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run for each user: its first event's value is the baseline, its last one's the result; every tenth still runs. Event ids are seconds."""
+    user, seen = F.col("user_id"), F.when(F.col("value").isNotNull(), F.col("event_id"))
+    meta = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("value", seen).alias("baseline"), F.max_by("value", seen).alias("after"), F.min("event_id").cast("double").alias("started"), F.max("event_id").cast("double").alias("ended"))
+    named = meta.select(F.lit("e").alias("exp"), user.cast("string").alias("run_id"), F.when(user % 2 == 0, "eval_acc").otherwise("train_loss").alias("metric"), "baseline", "after", F.when(user % 10 == 0, "running").otherwise("done").alias("status"), "started", "ended")
+    return telemetry.run_summary(named.unionByName(RUNS.frame(spark)), LATER).select("exp", "run_id", "delta", "elapsed", "better")
+
+
+def best_run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run for each user, whose score is its greatest value."""
+    scores = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run_order")).agg(F.max("value").alias("value"))
+    return telemetry.best_run(scores.unionByName(SCORES.frame(spark).withColumn("run_order", -F.col("run_order"))))
+
+
 def run_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.run_series(_events(spark, sf_dir))
 
@@ -110,3 +126,11 @@ ORACLES = {
     "artifact_roundtrip": "SELECT doc_id, lang, n_chars, (SELECT count(*) FROM documents) AS n_rows FROM documents",
     "stream_run_latest": _LATEST,
 }
+
+_ALL_RUNS = f"""(SELECT 'e' AS exp, user_id::VARCHAR AS run_id, CASE WHEN user_id % 2 = 0 THEN 'eval_acc' ELSE 'train_loss' END AS metric, arg_min(value, event_id) AS baseline, arg_max(value, event_id) AS after,
+      CASE WHEN user_id % 10 = 0 THEN 'running' ELSE 'done' END AS status, min(event_id)::DOUBLE AS started, max(event_id)::DOUBLE AS ended FROM events GROUP BY user_id
+      UNION ALL SELECT exp, run_id, metric, baseline, after, status, started, ended FROM {RUNS.sql})"""
+_ALL_SCORES = f"(SELECT user_id AS run_order, max(value) AS value FROM events GROUP BY user_id UNION ALL SELECT -run_order, value FROM {SCORES.sql})"
+QUERIES |= {"run_summary_whole": run_summary_whole, "best_run_whole": best_run_whole}
+ORACLES["run_summary_whole"] = ORACLES["run_summary"].replace(RUNS.sql, _ALL_RUNS).replace(f"THEN {NOW} -", f"THEN {LATER:.1f} -")
+ORACLES["best_run_whole"] = ORACLES["best_run"].replace(SCORES.sql, _ALL_SCORES)

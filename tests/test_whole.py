@@ -30,3 +30,17 @@ def test_a_source_has_48000_characters(spark, small):
     found = {r.building: r.chars for r in QUERIES["building_corpus_text_whole"](spark, small).collect()}
     assert any(r[1] > 20_000 for r in docs)
     assert all(found[r.source] >= min(r[1], 48_000) for r in docs)
+
+
+def test_queries_read_the_tables_besides_their_inline_rows(spark, small):
+    n = {t: spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels", "events")}
+    docs, users = n["documents"].count(), n["events"].select("user_id").distinct().count()
+    judged = n["documents"].join(n["labels"], "doc_id").count()
+    wanted = {"clean_dehyphenate_whole": docs + 7, "gsm_reward_whole": docs + 11, "judge_scores_whole": judged + 9, "run_summary_whole": users + 6}
+    assert {name: QUERIES[name](spark, small).count() for name in wanted} == wanted
+    assert QUERIES["judge_summary_whole"](spark, small).first().n == judged + 9
+    assert QUERIES["grounding_gate_whole"](spark, small).count() > QUERIES["grounding_gate"](spark, small).count()
+    assert QUERIES["reward_rows_whole"](spark, small).count() > docs / 2
+    values = {r.user_id: r[1] for r in n["events"].groupBy("user_id").max("value").collect()}
+    best = QUERIES["best_run_whole"](spark, small).first()
+    assert best.run_order == min(u for u, v in values.items() if v == max(values.values()))
