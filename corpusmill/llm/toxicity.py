@@ -1,11 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become symbols: insult, threat, target, negation, reported speech, other, and the clause's end. Four small
-transducers read them: negation and reported speech turn an insult or threat that they reach into its weakened form,
-the target transducer turns one near a target into its aimed form, and the last gives each form its weight. They are
-composed into one deterministic table, which every clause runs through; a clause's weight is the sum along its path, so
-that a matched pattern counts and not a word by itself. A document's score is the logistic of its heaviest clause and of
-the sum of its clauses.
+Words become symbols: insult, threat, target, negation, reported speech, other, and the clause's end. Small transducers
+read them. From right to left, one turns insults and threats before a target into their faced form. From left to right,
+an insult machine and a threat machine turn what comes after a target into its aimed form, negation and reported speech
+turn a pattern that they reach into its weakened form, and the last gives each form its weight. Those from left to right
+are composed into one deterministic table; a clause's weight is the sum along its path. A threat without a target is no
+pattern and weighs next to nothing. An insult is one by itself, as most come from labels, and aimed on either side it
+weighs more. A document's score is the logistic of its heaviest clause and of the sum of its clauses.
 
 Insults are a short list of English words and the words and word beginnings that set toxic documents apart in a bounded
 sample of labelled rows, of which near copies count once; the logistic is fitted on the same rows.
@@ -40,8 +41,11 @@ _CLAUSE_END = frozenset(".!?;:")
 _EDGE = " \t\r\n.,;:!?\"'()[]{}<>|*-_#%&/\\«»„“”‘’¿¡"
 
 # Forms of a pattern, and what they weigh of its word's own weight.
-PLAIN, AIMED, WEAK = range(3)
-_WEIGHT = {PLAIN: 1.0, AIMED: 1.4, WEAK: 0.25}
+PLAIN, AIMED, WEAK, FACED = range(4)
+_WEIGHT = {
+    INSULT: {PLAIN: 1.0, AIMED: 1.4, WEAK: 0.25, FACED: 1.4},
+    THREAT: {PLAIN: 0.05, AIMED: 1.4, WEAK: 0.25, FACED: 1.0},
+}
 
 
 @dataclass
@@ -62,7 +66,7 @@ def _reaching(trigger: int, reach: int, changed: dict) -> Transducer:
     return Transducer(moves)
 
 
-_ALPHABET = [(s, form) for s in range(7) for form in range(3)]
+_ALPHABET = [(s, form) for s in range(7) for form in range(4)]
 
 
 def compose(first: Transducer, second: Transducer) -> Transducer:
@@ -82,10 +86,24 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
     return Transducer(moves)
 
 
-def grammar() -> Transducer:
-    weak = {(s, f): (s, WEAK) for s in (INSULT, THREAT) for f in (PLAIN, AIMED)}
-    aimed = {(s, PLAIN): (s, AIMED) for s in (INSULT, THREAT)}
-    return compose(compose(_reaching(NEGATION, 3, weak), _reaching(REPORTED, 12, weak)), _reaching(TARGET, 4, aimed))
+@dataclass
+class Grammar:
+    """ahead reads a clause from its end; table then reads from its start what ahead wrote, and writes shares of weights."""
+
+    ahead: Transducer
+    table: Transducer
+
+
+def grammar() -> Grammar:
+    ahead = _reaching(TARGET, 2, {(s, PLAIN): (s, FACED) for s in (INSULT, THREAT)})
+    insult, threat = (_reaching(TARGET, 4, {(s, f): (s, AIMED) for f in (PLAIN, FACED)}) for s in (INSULT, THREAT))
+    # A threat that stayed plain is no pattern: there is nothing to weaken.
+    weak = {(s, f): (s, WEAK) for s in (INSULT, THREAT) for f in (PLAIN, AIMED, FACED) if (s, f) != (THREAT, PLAIN)}
+    weights = Transducer([{(s, f): (0, _WEIGHT[s][f] if s in _WEIGHT else 0.0) for s, f in _ALPHABET}])
+    table = compose(insult, threat)
+    for machine in (_reaching(NEGATION, 3, weak), _reaching(REPORTED, 12, weak), weights):
+        table = compose(table, machine)
+    return Grammar(ahead, table)
 
 
 @dataclass
@@ -118,7 +136,7 @@ _BATCH = 2 << 20
 _FIXED = {w: s for s, ws in WORDS.items() for w in ws.split()}
 
 
-def clause_weights(texts: pa.Array, model: Model, table: Transducer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def clause_weights(texts: pa.Array, model: Model, patterns: Grammar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text: its heaviest clause, the sum of its clauses, and the clauses that weigh anything."""
     heaviest, total, matched = (np.zeros(len(texts)) for _ in range(3))
     for lo, hi in textcore._spans(textcore.flat(texts)[1], _BATCH):
@@ -144,11 +162,14 @@ def clause_weights(texts: pa.Array, model: Model, table: Transducer) -> tuple[np
         place = np.searchsorted(last, hit)
         stop = np.minimum(np.append(last, len(symbol) - 1)[place] + 1, w.doc_at[owner + 1])
         for a, b, doc in sorted(set(zip(begin.tolist(), stop.tolist(), owner.tolist(), strict=True))):
+            state, marked = 0, []
+            for s in symbol[a:b][::-1].tolist():
+                state, out = patterns.ahead.moves[state][s, PLAIN]
+                marked.append(out)
             state, value = 0, 0.0
-            for i in range(a, b):
-                state, (s, form) = table.moves[state][int(symbol[i]), PLAIN]
-                if s in (INSULT, THREAT):
-                    value += float(weight[i]) * _WEIGHT[form]
+            for s, own in zip(reversed(marked), weight[a:b].tolist(), strict=True):
+                state, share = patterns.table.moves[state][s]
+                value += own * share
             heaviest[lo + doc] = max(heaviest[lo + doc], value)
             total[lo + doc] += value
             matched[lo + doc] += 1
@@ -255,10 +276,10 @@ def _measuring(model: Model, keep: list[str]):
     names = [*keep, "heaviest_clause", "clause_sum", "n_clauses", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = grammar()
+        patterns = grammar()
         beta = np.array([model.bias, model.heaviest, model.total])
         for batch in batches:
-            heaviest, total, matched = clause_weights(batch["text"], model, table)
+            heaviest, total, matched = clause_weights(batch["text"], model, patterns)
             score = 1 / (1 + np.exp(-features_of(heaviest, total) @ beta))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(heaviest), pa.array(total), pa.array(matched.astype(np.int64)), pa.array(score)], names)
 

@@ -507,6 +507,20 @@ def test_clauses_weigh_by_their_pattern():
     assert clause_weight("") == clause_weight("a fine day") == 0
 
 
+def test_a_threat_needs_a_target_on_either_side():
+    for clause in ("kill the process", "burn the toast", "do not kill the process", "kill the process before you leave"):
+        assert 0 < clause_weight(clause) < 0.2, clause
+    assert clause_weight("kill you") == clause_weight("we will kill all them") == 3.0
+    assert clause_weight("never kill you") == 0.75
+    assert clause_weight("idiot that you are") == clause_weight("you idiot") == pytest.approx(4.2)
+
+
+def test_threats_without_a_target_stay(spark):
+    docs = spark.createDataFrame([(1, "kill the process"), (2, "burn the toast"), (3, "we will kill you")], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert sorted(r.doc_id for r in toxicity.rejected(docs, model).collect()) == [1, 2]
+
+
 def test_stems_are_word_beginnings():
     model = toxicity.Model(stems={"grob": 4.0})
     assert clause_weight("ein Grobian, der", model) == 4.0 and clause_weight("un grob", model) == 4.0 and clause_weight("angrob", model) == 0
