@@ -125,7 +125,7 @@ def _tag(word: str, model: Model, fixed: dict[str, int]) -> tuple[int, float, bo
         return INSULT, model.words[bare], ends
     symbol = fixed.get(bare, OTHER)
     if symbol == OTHER:
-        for n in range(STEM_MIN, min(len(bare), STEM_MAX) + 1):
+        for n in range(min(len(bare), STEM_MAX), STEM_MIN - 1, -1):
             if bare[:n] in model.stems:
                 return INSULT, model.stems[bare[:n]], ends
     return symbol, 3.0 if symbol in (INSULT, THREAT) else 0.0, ends
@@ -236,21 +236,25 @@ def _gain(pos: int, neg: int, base: float) -> float:
     return 2 * (pos * math.log(share / base) + (neg * math.log((1 - share) / (1 - base)) if neg else 0.0))
 
 
-def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, least_gain: float, most: int, precision: float) -> Model:
-    """Lexicon from document counts: features of clear gain and precision, none the beginning of another."""
+def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, least_gain: float, precision: float) -> Model:
+    """Lexicon from document counts: all features of clear gain and precision in what taken ones don't match already."""
     base = n_pos / (n_pos + n_neg)
     ranked = sorted(((_gain(p, neg.get(f, 0), base), len(f), f) for f, p in pos.items()), reverse=True)
-    model, taken = Model(words={w: 3.0 for w in WORDS[INSULT].split()}), []
+    model = Model(words={w: 3.0 for w in WORDS[INSULT].split()})
+    covered: dict[str, tuple[int, int]] = {}  # of each word beginning: what taken features that begin with it have counted
     for gain, _, f in ranked:
-        p, q = pos[f], neg.get(f, 0)
-        if gain < least_gain or len(taken) >= most:
+        if gain < least_gain:
             break
-        if p < precision * (p + q):
-            continue
         bare = f.removeprefix("=")
-        if any(bare.startswith(t) or t.startswith(bare) for t in taken):
+        starts = [bare[:n] for n in range(STEM_MIN, min(len(bare), STEM_MAX) + 1)]
+        if any(t in model.stems for t in starts):
+            continue
+        # Longer ones and exact words are looked up first, so that a beginning stands for the rest alone.
+        p, q = (max(0, n - c) for n, c in zip((pos[f], neg.get(f, 0)), (0, 0) if f.startswith("=") else covered.get(f, (0, 0)), strict=True))
+        if not p or p < precision * (p + q) or _gain(p, q, base) < least_gain:
             continue
-        taken.append(bare)
+        for t in starts:
+            covered[t] = tuple(a + b for a, b in zip(covered.get(t, (0, 0)), (p, q), strict=True))
         weight = min(6.0, math.log((p + 0.5) / (n_pos + 1)) - math.log((q + 0.5) / (n_neg + 1)))
         (model.words if f.startswith("=") else model.stems)[bare] = weight
     return model
@@ -294,7 +298,7 @@ def measure(texts: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return texts.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_measuring(model, [f.name for f in kept]), T.StructType([*kept, *made]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, least_gain: float = 18.0, lexicon: int = 400, precision: float = 0.4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, least_gain: float = 18.0, precision: float = 0.4) -> Model:
     """Learns from at most `rows` labelled rows that aren't held out: those of the least hash of doc_id.
 
     The sample's doc_ids, its features of clear support and two numbers of each document come to the driver, all bounded
@@ -319,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, least_gain: floa
     support = max(3, math.ceil(least_gain / (2 * math.log((n_pos + n_neg) / n_pos))))
     pos = counted(1, None, support)
     neg = counted(0, frozenset(pos), 1)
-    model = choose(pos, neg, n_pos, n_neg, least_gain, lexicon, precision)
+    model = choose(pos, neg, n_pos, n_neg, least_gain, precision)
     seen = measure(kept, model, ["toxic"]).select("toxic", "heaviest_clause", "clause_sum").toPandas()
     if (seen["heaviest_clause"] > 0).any():
         x = features_of(seen["heaviest_clause"].to_numpy(), seen["clause_sum"].to_numpy())

@@ -526,6 +526,19 @@ def test_stems_are_word_beginnings():
     assert clause_weight("ein Grobian, der", model) == 4.0 and clause_weight("un grob", model) == 4.0 and clause_weight("angrob", model) == 0
 
 
+def test_lexicon_leaves_out_only_what_is_matched():
+    # grob and grobian tell, other words that begin with grob don't.
+    pos = {"=grob": 50, "=grobian": 40, "grob": 90, "grobi": 40, "grobia": 40, "grobian": 40}
+    model = toxicity.choose(pos, {"grob": 500}, 100, 1000, least_gain=18.0, precision=0.4)
+    assert "grob" in model.words and "grobian" in model.words and not model.stems
+    assert clause_weight("grobian", model) > 0 and clause_weight("grober", model) == 0
+    # A beginning is taken for what its longer ones leave, and not where they leave nothing.
+    model = toxicity.choose({"=abcd": 50, "abc": 90}, {}, 100, 1000, least_gain=18.0, precision=0.4)
+    assert "abc" in model.stems
+    many = {f"={chr(97 + i % 26)}{chr(97 + i // 26)}zz": 30 for i in range(500)}
+    assert len(set(toxicity.choose(many, {}, 100, 1000, least_gain=18.0, precision=0.4).words) - set(toxicity.Model().words)) >= 500
+
+
 def test_learns_from_labels_that_are_not_held_out(spark, small):
     import random
 
