@@ -182,14 +182,24 @@ def media_of_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_wrapping, "doc_id long, n_bytes long, media binary")
 
 
-_PROBE = "codec string, handler string, timescale long, duration long, n_samples long, keyframes array<struct<at:long,size:long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_PROBE = "codec string, handler string, timescale long, duration long, n_samples long, keyframes array<struct<at:long,size:long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tracks array<struct<codec:string,handler:string,timescale:long,duration:long,n_samples:long,keyframes:array<struct<at:long,size:long>>,payload_bytes:long,payload_sha256:string,tail_crc32:long,feature:string>>"
+_OF_TRACK = ("codec", "handler", "timescale", "duration", "n_samples", "keyframes", "payload_bytes", "payload_sha256", "tail_crc32", "feature")
+
+
+def _described(t: Track, media: bytes) -> dict:
+    payload = t.payload(media)
+    at, size = t.offsets[t.keys].tolist(), t.sizes[t.keys].tolist()
+    feature = f"{t.codec}/{t.timescale}/{t.duration}/{len(t.sizes)}:" + ",".join(f"{a}+{n}" for a, n in zip(at, size, strict=True))
+    keys = [{"at": a, "size": n} for a, n in zip(at, size, strict=True)]
+    return dict(zip(_OF_TRACK, (t.codec, t.handler, t.timescale, t.duration, len(t.sizes), keys, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), feature), strict=True))
 
 
 def _probing(keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.list_(pa.struct([("at", pa.int64()), ("size", pa.int64())]))
-        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pair, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        names = [c.split()[0] for c in _PROBE.replace("struct<at:long,size:long>", "struct").split(", ")]
+        kinds = {"codec": pa.string(), "handler": pa.string(), "timescale": pa.int64(), "duration": pa.int64(), "n_samples": pa.int64(), "keyframes": pair, "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "feature": pa.string()}
+        kinds |= {"media_bytes": pa.int64(), "media_sha256": pa.string(), "tracks": pa.list_(pa.struct(list(kinds.items())))}
+        names = [*_OF_TRACK[:-1], "media_bytes", "media_sha256", "feature", "tracks"]
         for batch in batches:
             rows = []
             for media in batch["media"]:
@@ -197,21 +207,20 @@ def _probing(keep: list[str]):
                 if media is None:
                     rows.append([None] * len(names))
                     continue
-                found = tracks(media)
-                t = found[0] if found else Track(sizes=np.zeros(0, np.int64), offsets=np.zeros(0, np.int64), keys=np.zeros(0, np.int64))
-                payload = t.payload(media)
-                at, size = t.offsets[t.keys].tolist(), t.sizes[t.keys].tolist()
-                feature = f"{t.codec}/{t.timescale}/{t.duration}/{len(t.sizes)}:" + ",".join(f"{a}+{n}" for a, n in zip(at, size, strict=True))
-                rows.append([t.codec, t.handler, t.timescale, t.duration, len(t.sizes), [{"at": a, "size": n} for a, n in zip(at, size, strict=True)], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature])
+                each = [_described(t, media) for t in tracks(media)]
+                first = each[0] if each else _described(Track(sizes=np.zeros(0, np.int64), offsets=np.zeros(0, np.int64), keys=np.zeros(0, np.int64)), media)
+                whole = first | {"media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "tracks": each}
+                rows.append([whole[c] for c in names])
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *(pa.array(x, k) for x, k in zip(columns, types, strict=True))], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *(pa.array(x, kinds[c]) for x, c in zip(columns, names, strict=True))], [*keep, *names])
 
     return run
 
 
 def probe(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
-    """The kept columns and, from the column media alone: codec, handler, timescale, duration (in units of timescale),
-    n_samples, keyframes (byte ranges in the file), digests of the first track's samples and of the file, and feature.
+    """The kept columns and, from the column media alone, of its first track: codec, handler, timescale, duration (in units
+    of timescale), n_samples, keyframes (byte ranges in the file), digests of the samples, and feature; digests of the file;
+    and tracks: the same of every track.
 
     Null media gives nulls; a file without a track has empty tables; damaged boxes raise ValueError.
     """

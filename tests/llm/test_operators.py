@@ -402,6 +402,28 @@ def test_other_containers():
         isomedia.tracks(struct.pack(">I4s", 100, b"moov"))
 
 
+def test_every_track_is_probed(spark):
+    import struct
+
+    def trak(kind, handler, scale, sizes, at, keys):
+        stsd = isomedia.full(b"stsd", struct.pack(">I", 1), isomedia.box(kind, bytes(78)))
+        stsz = isomedia.full(b"stsz", struct.pack(f">II{len(sizes)}I", 0, len(sizes), *sizes))
+        stss = isomedia.full(b"stss", struct.pack(f">I{len(keys)}I", len(keys), *keys))
+        stbl = isomedia.box(b"stbl", stsd, stsz, isomedia.full(b"stsc", struct.pack(">IIII", 1, 1, len(sizes), 1)), isomedia.full(b"stco", struct.pack(">II", 1, at)), stss)
+        head = isomedia.full(b"mdhd", struct.pack(">IIII", 0, 0, scale, 10 * scale)), isomedia.full(b"hdlr", struct.pack(">I4s12x", 0, handler), b"x\0")
+        return isomedia.box(b"trak", isomedia.box(b"mdia", *head, isomedia.box(b"minf", stbl)))
+
+    # The audio track comes first.
+    media = isomedia.box(b"mdat", b"aabbbVVVVvv") + isomedia.box(b"moov", trak(b"mp4a", b"soun", 8000, [2, 3], 8, [1]), trak(b"avc1", b"vide", 25, [4, 2], 13, [1, 2]))
+    rows = spark.createDataFrame([(1, media), (2, isomedia.wrap(bytes(64))), (3, b""), (4, None)], "doc_id long, media binary")
+    found = {r.doc_id: r for r in isomedia.probe(rows, keep=("doc_id",)).collect()}
+    assert [(t.codec, t.handler, t.duration, t.n_samples) for t in found[1].tracks] == [("mp4a", "soun", 80000, 2), ("avc1", "vide", 250, 2)]
+    assert [[media[k.at : k.at + k.size] for k in t.keyframes] for t in found[1].tracks] == [[b"aa"], [b"VVVV", b"vv"]]
+    assert [t.payload_sha256 for t in found[1].tracks] == [hashlib.sha256(x).hexdigest() for x in (b"aabbb", b"VVVVvv")]
+    assert found[1].codec == "mp4a" and len(found[2].tracks) == 1 and found[2].tracks[0].feature == found[2].feature
+    assert found[3].tracks == [] and found[4].tracks is None
+
+
 # ---- 8 shards
 
 def test_flow_is_cheapest():
