@@ -30,10 +30,37 @@ _INF = float("inf")
 _BATCH = 2 << 20
 
 
+def model_kind(path: str) -> str:
+    """bpe or unigram, as the model file says; ValueError for a model with other rules than the machines here have.
+
+    Those are: no character map, a mark before the text and for each space, all spaces kept, bytes for unknown
+    characters, and no pieces of the user's own.
+    """
+    from sentencepiece.sentencepiece_model_pb2 import ModelProto
+
+    model = ModelProto()
+    with open(path, "rb") as file:
+        model.ParseFromString(file.read())
+    normal, trained, piece = model.normalizer_spec, model.trainer_spec, ModelProto.SentencePiece
+    bad = {
+        "a character map": bool(normal.precompiled_charsmap or normal.normalization_rule_tsv or model.denormalizer_spec.precompiled_charsmap),
+        "no mark before the text": not normal.add_dummy_prefix,
+        "extra spaces removed": normal.remove_extra_whitespaces,
+        "spaces without a mark": not normal.escape_whitespaces,
+        "marks after words": trained.treat_whitespace_as_suffix,
+        "no bytes for unknown characters": not trained.byte_fallback or sum(x.type == piece.BYTE for x in model.pieces) != 256,
+        "user-defined or unused pieces": any(x.type in (piece.USER_DEFINED, piece.UNUSED) for x in model.pieces),
+        "neither merges nor additive scores": trained.model_type not in (trained.BPE, trained.UNIGRAM),
+    }
+    if any(bad.values()):
+        raise ValueError(f"{path}: not built for a model with {', '.join(k for k, v in bad.items() if v)}")
+    return "bpe" if trained.model_type == trained.BPE else "unigram"
+
+
 class Machine:
     """The composed transducer of one model."""
 
-    _loaded: dict[tuple[str, str], "Machine"] = {}
+    _loaded: dict[tuple[str, str | None], "Machine"] = {}
 
     def __init__(self, pieces: list[tuple[str, float, str]], kind: str):
         """pieces: (text, score, type: normal, byte, or anything else for pieces that no text spells), by id."""
@@ -68,14 +95,17 @@ class Machine:
         self.spelled_at = np.append(0, np.cumsum([len(x) for x in self.spell]))
 
     @classmethod
-    def of(cls, path: str, kind: str = "bpe") -> "Machine":
-        """From a model file."""
+    def of(cls, path: str, kind: str | None = None) -> "Machine":
+        """From a model file, which also says its kind; ValueError if that isn't the one asked for."""
         if (path, kind) not in cls._loaded:
+            found = model_kind(path)
+            if kind not in (None, found):
+                raise ValueError(f"{path}: a {found} model, not {kind}")
             from sentencepiece import SentencePieceProcessor
 
             model = SentencePieceProcessor(model_file=path)
             rest = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
-            cls._loaded[path, kind] = cls([(model.id_to_piece(i), model.get_score(i), "byte" if model.is_byte(i) else "other" if rest(i) else "normal") for i in range(len(model))], kind)
+            cls._loaded[path, kind] = cls([(model.id_to_piece(i), model.get_score(i), "byte" if model.is_byte(i) else "other" if rest(i) else "normal") for i in range(len(model))], found)
         return cls._loaded[path, kind]
 
     def merged(self, text: str) -> list[str]:
@@ -199,7 +229,7 @@ class Machine:
         return data[keep], np.append(0, np.cumsum(keep))[text_at]
 
 
-def _encoding(path: str, kind: str, keep: list[str], check: bool):
+def _encoding(path: str, kind: str | None, keep: list[str], check: bool):
     names = [*keep, "ids", *(["exact"] if check else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +249,7 @@ def _encoding(path: str, kind: str, keep: list[str], check: bool):
     return run
 
 
-def encode(docs: DataFrame, model_path: str, kind: str = "bpe", keep: tuple[str, ...] = ("doc_id",), check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, kind: str | None = None, keep: tuple[str, ...] = ("doc_id",), check: bool = False) -> DataFrame:
     """The kept columns, and ids: array<int>; with check, also whether the ids decode to the text (`exact`).
 
     Null and empty texts have no ids; repeated rows stay; other columns go. A text with the mark's own character is
@@ -231,7 +261,7 @@ def encode(docs: DataFrame, model_path: str, kind: str = "bpe", keep: tuple[str,
     return texts.mapInArrow(_encoding(model_path, kind, list(keep), check), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids array<int>", *(["exact boolean"] if check else [])]))
 
 
-def _decoding(path: str, kind: str, keep: list[str]):
+def _decoding(path: str, kind: str | None, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine.of(path, kind)
         for batch in batches:
@@ -249,7 +279,7 @@ def _decoding(path: str, kind: str, keep: list[str]):
     return run
 
 
-def decode(encoded: DataFrame, model_path: str, kind: str = "bpe", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def decode(encoded: DataFrame, model_path: str, kind: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """From (keep, ids): the kept columns, text, n_pieces and ids_crc32 (of little-endian 32-bit ids). Null ids spell an empty text."""
     kinds = {f.name: f.dataType.simpleString() for f in encoded.schema.fields}
     bounded_batches(encoded.sparkSession)

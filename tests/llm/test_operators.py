@@ -138,6 +138,43 @@ def test_additive_weights_take_the_lightest_path():
     assert machine.shortest("▁é") == [1, 7 + 0xC3, 7 + 0xA9]
 
 
+def test_models_with_other_rules_raise(tmp_path):
+    from sentencepiece.sentencepiece_model_pb2 import ModelProto
+
+    whole = ModelProto()
+    with open(vocabularies.path("piece_bpe_32k.model"), "rb") as file:
+        whole.ParseFromString(file.read())
+
+    def changed(name, change):
+        model = ModelProto()
+        model.CopyFrom(whole)
+        change(model)
+        (tmp_path / name).write_bytes(model.SerializeToString())
+        return str(tmp_path / name)
+
+    for k, (change, says) in enumerate([
+        (lambda m: setattr(m.normalizer_spec, "precompiled_charsmap", b"map"), "character map"), (lambda m: setattr(m.normalizer_spec, "add_dummy_prefix", False), "no mark"),
+        (lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True), "extra spaces"), (lambda m: setattr(m.pieces[300], "type", 4), "user-defined"),
+        (lambda m: setattr(m.trainer_spec, "model_type", 3), "neither"), (lambda m: setattr(m.trainer_spec, "byte_fallback", False), "no bytes"),
+    ]):
+        with pytest.raises(ValueError, match=says):
+            sentencepieces.Machine.of(changed(f"{k}.model", change))
+    with pytest.raises(ValueError, match="bpe model"):
+        sentencepieces.Machine.of(changed("same.model", lambda m: None), "unigram")
+
+
+def test_the_file_says_the_kind(tmp_path, docs):
+    from sentencepiece import SentencePieceProcessor, SentencePieceTrainer
+
+    texts = [t for r in docs.limit(40).collect() for t in r.text.split("\n") if t.strip()]
+    SentencePieceTrainer.train(sentence_iterator=iter(texts), model_prefix=str(tmp_path / "uni"), model_type="unigram", vocab_size=600, byte_fallback=True, normalization_rule_name="identity", remove_extra_whitespaces=False, hard_vocab_limit=False)
+    path = str(tmp_path / "uni.model")
+    machine, library = sentencepieces.Machine.of(path), SentencePieceProcessor(model_file=path)
+    assert machine.kind == "unigram"
+    ids, at = machine.encode(pa.array(texts[:50]))
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(at)] == [library.encode(t) for t in texts[:50]]
+
+
 # ---- 3 fingerprints
 
 def paragraphs(text):
