@@ -61,12 +61,15 @@ def staged_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """df, written to the shared folder and read back: lineage ends here, and a lost executor costs a reread."""
+def staged(df: DataFrame, name: str, partition_by: str | None = None, path: str | None = None) -> DataFrame:
+    """df, written to the shared folder and read back: lineage ends here, and a lost executor costs a reread.
+
+    Into `path`, where it is given, beside the files that are there; these are read back too.
+    """
     spark = df.sparkSession
     bounded_batches(spark)
-    path = staged_path(spark, name)
-    writer = df.write.option("compression", "zstd")
+    path = path or staged_path(spark, name)
+    writer = df.write.mode("append").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     with _shuffles_freed(spark):
@@ -74,7 +77,7 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
-def staged_in_order(df: DataFrame, order: list[Column], name: str, finer: int = 1) -> DataFrame:
+def staged_in_order(df: DataFrame, order: list[Column], name: str, finer: int = 1, partition_by: str | None = None, path: str | None = None) -> DataFrame:
     """df dealt into ranges of `order`, sorted, and staged with `_mid`: ascending along that order over the whole table.
 
     Within one range the numbers have no gaps, so that a rank is `_mid` less the least of its range, plus the rows of
@@ -83,7 +86,7 @@ def staged_in_order(df: DataFrame, order: list[Column], name: str, finer: int =
     """
     ranges = [] if finer == 1 else [finer * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))]
     ranged = df.repartitionByRange(*ranges, *order).sortWithinPartitions(*order)
-    return staged(ranged.withColumn("_mid", F.monotonically_increasing_id()), name)
+    return staged(ranged.withColumn("_mid", F.monotonically_increasing_id()), name, partition_by, path)
 
 
 def range_no(mid: Column | str = "_mid") -> Column:

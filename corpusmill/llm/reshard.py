@@ -4,17 +4,18 @@ Rows of an old shard are staged in order of size. A block is the rows of one old
 two; blocks are as few as shards times powers, whatever the number of rows. On these the flow is solved: a row may stay
 in its shard for nothing, or move to any other for its bytes; every shard takes n / shards rows, and n mod shards of
 them one more. So each shard that gives up rows gives its smallest ones. What moves is cut into runs, one for each pair
-of shards, and written to new files; all other rows stay in the files where they are.
+of shards. The layout is a folder for each shard. Files that lose rows are rewritten, what they lose goes to new files of
+the shards that gain it, and all other files stay as they are: afterwards the folder shard=j has the rows of j alone.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import range_no, staged, staged_in_order
+from .common import range_no, staged, staged_in_order, staged_path
 
 
 class Flow:
@@ -108,7 +109,7 @@ def utf8_size(column: str = "text") -> Column:
 
 
 def reshard(docs: DataFrame, old_shard: Column, shards: int) -> DataFrame:
-    """Every row of docs as `row`, with size, old_shard, shard, slot and moved, read from the files that result.
+    """Every row of docs as `row`, with size, old_shard, shard, slot and moved, read from the layout that results.
 
     Row counts of the shards differ by one at most; slots of a shard are 0, 1, 2, ...: the rows that stay, by size, then
     those that come. Size is the text's UTF-8 bytes plus 8 (null: 8). Equal rows are rows of their own; a null doc_id
@@ -116,20 +117,38 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int) -> DataFrame:
     """
     spark = docs.sparkSession
     sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), utf8_size().alias("size"), old_shard.cast("int").alias("old_shard"))
+    sized = sized.withColumns({"shard": F.col("old_shard"), "slot": F.lit(None).cast("long")})
+    path = staged_path(spark, "reshard")
     order = [F.col("old_shard"), F.col("size"), F.col("row.doc_id"), F.xxhash64("row.text")]
-    placed = staged_in_order(sized, order, "reshard", finer=3).withColumn("range", range_no())
+    placed = staged_in_order(sized, order, "reshard", finer=3, partition_by="shard", path=path)
+    placed = placed.select("row", "size", "old_shard", "_mid", range_no().alias("range"), F.col("_metadata.file_path").alias("file"))
     power = F.floor(F.log2("size")).cast("int")
     blocks = placed.groupBy("old_shard", power.alias("power")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()  # shards times powers of two
     runs = plan(sorted((b["old_shard"], b["power"], b["n"], b["bytes"]) for b in blocks), shards)
     table = spark.createDataFrame(runs, "run_of int, rank_from long, rank_to long, shard int, first_slot long")
     ahead = Window.partitionBy("old_shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = placed.groupBy("old_shard", "range").agg(F.min("_mid").alias("first"), F.count(F.lit(1)).alias("n"))
-    ranges = ranges.select(F.col("old_shard").alias("in_shard"), F.col("range").alias("in_range"), (F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("first")).alias("to_rank"))
+    ranges = placed.groupBy("old_shard", "range").agg(F.min("_mid").alias("first"), F.count(F.lit(1)).alias("n"), F.collect_set("file").alias("files"))
+    ranges = ranges.select("first", "files", F.col("old_shard").alias("in_shard"), F.col("range").alias("in_range"), (F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("first")).alias("to_rank"))
     # As many rows as ranges (staged files) and runs (at most one for each pair of shards): known to be few, so broadcast.
     both = ranges.join(F.broadcast(table), F.col("in_shard") == F.col("run_of"))
-    spans = both.select("in_shard", "in_range", (F.col("rank_from") - F.col("to_rank")).alias("mid_from"), (F.col("rank_to") - F.col("to_rank")).alias("mid_to"), "shard", (F.col("first_slot") - F.col("rank_from") + F.col("to_rank")).alias("to_slot"))
-    dealt = placed.join(F.broadcast(spans), (F.col("old_shard") == F.col("in_shard")) & (F.col("range") == F.col("in_range")) & (F.col("_mid") >= F.col("mid_from")) & (F.col("_mid") < F.col("mid_to")))
-    dealt = dealt.select("row", "size", "old_shard", "shard", (F.col("_mid") + F.col("to_slot")).alias("slot"))
-    moves = F.col("shard") != F.col("old_shard")
-    rewritten = staged(dealt.where(moves), "reshard-moved", partition_by="shard")
-    return dealt.where(~moves).withColumn("moved", F.lit(False)).unionByName(rewritten.withColumn("moved", F.lit(True)))
+    spans = both.select("in_shard", "in_range", (F.col("rank_from") - F.col("to_rank")).alias("mid_from"), (F.col("rank_to") - F.col("to_rank")).alias("mid_to"), "shard", (F.col("first_slot") - F.col("rank_from") + F.col("to_rank")).alias("to_slot"), "first", "files").collect()
+    # A file stays if its first row does, as what a shard gives up comes before what it keeps.
+    stays = {(s.in_shard, s.in_range): s.to_slot for s in spans if s.shard == s.in_shard and s.mid_from <= s.first}
+    rest = [s for s in spans if (s.in_shard, s.in_range) not in stays]
+    named = "in_shard int, in_range long, mid_from long, mid_to long, shard int, to_slot long"
+    cuts = F.broadcast(spark.createDataFrame([tuple(s)[:6] for s in rest], named))
+    dealt = placed.join(cuts, (F.col("old_shard") == F.col("in_shard")) & (F.col("range") == F.col("in_range")) & (F.col("_mid") >= F.col("mid_from")) & (F.col("_mid") < F.col("mid_to")))
+    layout = staged(dealt.select("row", "size", "old_shard", "shard", (F.col("_mid") + F.col("to_slot")).alias("slot"), "_mid"), "reshard", "shard", path)
+    for file in {f for s in rest for f in s.files}:
+        _delete(spark, file)
+    # Read anew, from what is left. Rows of files that stayed have no slot in them: it follows from their file's ranks.
+    found = spark.read.schema(layout.schema).parquet(path)
+    kept = F.broadcast(spark.createDataFrame([(i, r, slot) for (i, r), slot in stays.items()], "in_shard int, in_range long, to_slot long"))
+    own = F.col("slot").isNull() & (F.col("shard") == F.col("in_shard")) & (range_no() == F.col("in_range"))
+    slot = F.coalesce("slot", F.col("_mid") + F.col("to_slot"))
+    return found.join(kept, own, "left").select("row", "size", "old_shard", "shard", slot.alias("slot"), (F.col("shard") != F.col("old_shard")).alias("moved"))
+
+
+def _delete(spark: SparkSession, file: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)

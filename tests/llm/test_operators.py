@@ -509,6 +509,19 @@ def test_shards_are_even_and_complete(request, which):
     assert max(counts) - min(counts) <= 1 and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_each_shard_is_read_from_its_own_folder(spark, docs, monkeypatch):
+    made, one = [], reshard.staged_path if hasattr(reshard, "staged_path") else None
+    monkeypatch.setattr(reshard, "staged_path", lambda *a: made.append(one(*a)) or made[-1])
+    old = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    found = reshard.reshard(docs.repartition(4), old, 6)
+    wanted = Counter((r.row.doc_id, r.shard) for r in found.collect())
+    (path,) = made
+    for j in range(6):
+        assert Counter((r.row.doc_id, j) for r in spark.read.parquet(f"{path}/shard={j}").collect()) == Counter({k: n for k, n in wanted.items() if k[1] == j})
+    files = spark.read.parquet(path).where("slot IS NULL").select("_metadata.file_path").distinct().count()
+    assert files > 0  # some files were left as they are
+
+
 def test_no_rows_to_shard(none):
     assert reshard.reshard(none, F.lit(0), 24).count() == 0
 
