@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The end of a header, line breaks, and the headings that begin a tail.
 HEADER_END = "\n---\n\n"
 #: What str.splitlines splits at.
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -12,6 +13,7 @@ LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 BOILERPLATE = ("retrieved from", "all rights reserved", "downloaded from", "creative commons", "this page was last edited")
 LINK_STARTS = ("doi:", "arxiv:", "issn", "isbn", "http://", "https://", "www.")
 ARTICLE_WORDS = ("issue", "help improve", "verif", "additional citations", "sources")
+PAGE_NUMBER = r"(?i)\s*(page\s+)?\d+(\s+of\s+\d+)?\s*$"
 TAIL_HEADING = r"(?i)^(references?|bibliography|external links|further reading|see also|notes|citations?|sources|acknowledge?ments?|works cited)\s*:?\s*$"
 # Words that say nothing about what a question asks for.
 STOP_WORDS = (
@@ -33,15 +35,23 @@ def any_of(tests) -> Column:
     return out
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once, however often `use` reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+# White space, Unicode's and the four separators of ASCII.
+WHITE = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, Unicode's included (trim() knows the space alone)."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def split_lines(c: Column) -> Column:
     """Lines without their ends; a last break begins no line, and an empty text has none."""
-    parts = F.split(c, LINE_BREAKS, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return bound(F.split(c, LINE_BREAKS, -1), lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, F.lit(1), F.size(x) - 1)).otherwise(x))
 
 
 def after_header(c: Column) -> Column:
@@ -54,27 +64,30 @@ def dehyphenated(c: Column) -> Column:
 
 
 def without_page_number(c: Column) -> Column:
-    """A line's form in which running headers and footers repeat."""
-    return strip(F.regexp_replace(c, r"(?i)\s*(page\s+)?\d+(\s+of\s+\d+)?\s*$", ""))
+    """A stripped line's form in which running headers and footers repeat; only a line that ends in a digit has a number to lose."""
+    return F.when(F.substring(c, -1, 1).between("0", "9"), strip(F.regexp_replace(c, PAGE_NUMBER, ""))).otherwise(c)
 
 
 def letters(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
+    return F.length(c) - F.length(F.regexp_replace(c, r"\p{L}++", ""))
 
 
 def noise_rule(s: Column) -> Column:
     """The number of the first rule that calls a stripped line noise, or 0: 1 page number, 2 roman numeral, 3 link, 4 reference entry, 5 boilerplate, 6 article note, 7 too few letters."""
-    low = F.lower(s)
-    return (
-        F.when(s.rlike(r"^\d{1,4}\z"), 1)
-        .when(low.rlike(r"^[ivxlcdm]{1,7}\z"), 2)
-        .when(any_of(low.startswith(p) for p in LINK_STARTS), 3)
-        .when(s.rlike(r"^\[\d+\]|^\(\d+\)\s"), 4)
-        .when(any_of(low.contains(p) for p in BOILERPLATE), 5)
-        .when(low.startswith("this article") & any_of(low.contains(w) for w in ARTICLE_WORDS), 6)
-        .when((F.length(s) >= 8) & (letters(s) / F.length(s) < 0.5), 7)
-        .otherwise(0)
-    )
+
+    def first(low: Column) -> Column:
+        return (
+            F.when((F.length(s) <= 4) & s.rlike(r"^\d{1,4}\z"), 1)
+            .when((F.length(low) <= 7) & low.rlike(r"^[ivxlcdm]{1,7}\z"), 2)
+            .when(any_of(low.startswith(p) for p in LINK_STARTS), 3)
+            .when((s.startswith("[") | s.startswith("(")) & s.rlike(r"^\[\d+\]|^\(\d+\)\s"), 4)
+            .when(any_of(low.contains(p) for p in BOILERPLATE), 5)
+            .when(low.startswith("this article") & any_of(low.contains(w) for w in ARTICLE_WORDS), 6)
+            .when((F.length(s) >= 8) & (letters(s) / F.length(s) < 0.5), 7)
+            .otherwise(0)
+        )
+
+    return bound(F.lower(s), first)
 
 
 def is_tail_heading(s: Column) -> Column:
@@ -151,11 +164,6 @@ def question_words(q: Column, ignored: Column | None = None) -> Column:
     return words if ignored is None else F.array_except(words, ignored)
 
 
-def overlap_score(low: Column, keys: Column, words: Column) -> Column:
-    """Ten for each key and one for each word that a lower-case chunk contains; low should be a column, not an expression, as every key reads it."""
-    return (F.size(F.filter(keys, lambda k: F.contains(low, k))) * 10 + F.size(F.filter(words, lambda w: F.contains(low, w)))).cast("long")
-
-
 def json_object_text(s: Column) -> Column:
     """From the first { to the last }, or null."""
     return F.nullif(F.regexp_extract(s, r"(?s)\{.*\}", 0), F.lit(""))
