@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import chunking, cleaning, retrieval, splitting
+from corpusmill.operators import chunking, cleaning, evaluation, retrieval, splitting
+from corpusmill.operators.staging import staged
 from corpusmill.plans.inline import Inline, table
 from corpusmill.sources import files
 
@@ -22,6 +21,13 @@ DOCS = Inline("doc_id long, text string, source string", (
     (-5, "one\n\n\ntwo\n\n12\n\nthree\n\n\n\n\nfour", "inline"),
     (-6, "   \n\n  ", "inline"),
     (-7, "", "inline"),
+    # Null and repeated ids, and rows that are equal: each row is cleaned by itself.
+    (None, "a text without an id\n12\nand its end", "inline"),
+    (None, None, "inline"),
+    (-8, "\n".join([f"{_FOOTER} {p}" for p in range(1, 4)] + ["first of two"]), "inline"),
+    (-8, "\n".join([f"{_FOOTER} {p}" for p in range(4, 6)] + ["second of two"]), "inline"),
+    (-9, "twice the same", "inline"),
+    (-9, "twice the same", "inline"),
 ))
 LINES = Inline("line string", tuple((x,) for x in (
     "12", "12345", "xiv", "DOI: 10.1", "[12] ref", "(12) ref", "(12)ref", "This article needs sources", "this article is short", "1234 5678", "a=b+c",
@@ -33,7 +39,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "source").unionByName(DOCS.frame(spark))
 
 
-_SRC = f"src AS (SELECT doc_id, text, source FROM documents UNION ALL SELECT doc_id::BIGINT, text, source FROM {DOCS.sql})"
+_SRC = f"src AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, source FROM (SELECT doc_id, text, source FROM documents UNION ALL SELECT doc_id::BIGINT, text, source FROM {DOCS.sql}))"
 _NOISE = r"""CASE WHEN regexp_full_match({s}, '\d{{1,4}}') THEN 1 WHEN regexp_full_match(lower({s}), '[ivxlcdm]{{1,7}}') THEN 2
   WHEN regexp_matches(lower({s}), '^(doi:|arxiv:|issn|isbn|http://|https://|www\.)') THEN 3 WHEN regexp_matches({s}, '^\[\d+\]|^\(\d+\)\s') THEN 4
   WHEN regexp_matches(lower({s}), 'retrieved from|all rights reserved|downloaded from|creative commons|this page was last edited') THEN 5
@@ -42,24 +48,24 @@ _NOISE = r"""CASE WHEN regexp_full_match({s}, '\d{{1,4}}') THEN 1 WHEN regexp_fu
 _STRIP = r"regexp_replace({s}, '^\s+|\s+$', '', 'g')"
 _FORM = _STRIP.format(s=r"regexp_replace(line, '(?i)\s*(page\s+)?\d+(\s+of\s+\d+)?\s*$', '')")
 _LINES = rf"""{_SRC},
-  hd AS (SELECT doc_id, source, CASE WHEN contains(text, chr(10) || '---' || chr(10) || chr(10)) THEN substr(text, instr(text, chr(10) || '---' || chr(10) || chr(10)) + 6) ELSE text END AS t FROM src),
-  hy AS (SELECT doc_id, source, regexp_replace(t, '-\n([a-z])', '\1', 'g') AS t FROM hd),
-  sp AS (SELECT doc_id, source, string_split(t, chr(10)) AS a FROM hy),
-  sq AS (SELECT doc_id, source, CASE WHEN a[-1] = '' THEN a[:len(a) - 1] ELSE a END AS a FROM sp),
-  ln AS (SELECT doc_id, source, len(a) AS n, unnest(range(len(a))) AS i, unnest(a) AS raw FROM sq),
-  sl AS (SELECT doc_id, source, n, i, {_STRIP.format(s="raw")} AS line FROM ln),
-  ct AS (SELECT *, min(CASE WHEN i > 0.55 * n AND regexp_matches(line, '(?i)^(references?|bibliography|external links|further reading|see also|notes|citations?|sources|acknowledge?ments?|works cited)\s*:?\s*$') THEN i END) OVER (PARTITION BY doc_id) AS cut FROM sl),
-  kp AS (SELECT doc_id, source, n, i, line, {_FORM} AS form FROM ct WHERE cut IS NULL OR i < cut)"""
+  hd AS (SELECT rid, doc_id, source, CASE WHEN contains(text, chr(10) || '---' || chr(10) || chr(10)) THEN substr(text, instr(text, chr(10) || '---' || chr(10) || chr(10)) + 6) ELSE text END AS t FROM src),
+  hy AS (SELECT rid, doc_id, source, regexp_replace(t, '-\n([a-z])', '\1', 'g') AS t FROM hd),
+  sp AS (SELECT rid, doc_id, source, string_split(t, chr(10)) AS a FROM hy),
+  sq AS (SELECT rid, doc_id, source, CASE WHEN a[-1] = '' THEN a[:len(a) - 1] ELSE a END AS a FROM sp),
+  ln AS (SELECT rid, doc_id, source, len(a) AS n, unnest(range(len(a))) AS i, unnest(a) AS raw FROM sq),
+  sl AS (SELECT rid, doc_id, source, n, i, {_STRIP.format(s="raw")} AS line FROM ln),
+  ct AS (SELECT *, min(CASE WHEN i > 0.55 * n AND regexp_matches(line, '(?i)^(references?|bibliography|external links|further reading|see also|notes|citations?|sources|acknowledge?ments?|works cited)\s*:?\s*$') THEN i END) OVER (PARTITION BY rid) AS cut FROM sl),
+  kp AS (SELECT rid, doc_id, source, n, i, line, {_FORM} AS form FROM ct WHERE cut IS NULL OR i < cut)"""
 _BODIES = rf"""{_LINES},
-  rp AS (SELECT *, count(*) OVER (PARTITION BY doc_id, form) AS repeats FROM kp),
+  rp AS (SELECT *, count(*) OVER (PARTITION BY rid, form) AS repeats FROM kp),
   ok AS (SELECT * FROM rp WHERE line = '' OR NOT ((length(form) >= 15 AND repeats >= 4) OR ({_NOISE.format(s="line")}) > 0)),
-  jn AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM ok GROUP BY doc_id),
-  bd AS (SELECT src.doc_id, src.source, coalesce({_STRIP.format(s=r"regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g')")}, '') AS body FROM src LEFT JOIN jn USING (doc_id)),
+  jn AS (SELECT rid, string_agg(line, chr(10) ORDER BY i) AS t FROM ok GROUP BY rid),
+  bd AS (SELECT src.rid, src.doc_id, src.source, coalesce({_STRIP.format(s=r"regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g')")}, '') AS body FROM src LEFT JOIN jn USING (rid)),
   th AS (SELECT *, length(body)::BIGINT AS chars, length(body) < 1500 AS thin FROM bd)"""
 
 
 def clean_noise_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = cleaning.body_lines(table(spark, sf_dir, "documents")).select("line").unionByName(LINES.frame(spark))
+    lines = table(spark, sf_dir, "documents").select(F.explode(cleaning.body_lines(F.col("text"))).alias("line")).unionByName(LINES.frame(spark))
     found = lines.withColumn("rule", T.noise_rule(F.col("line")).cast("long"))
     return found.groupBy("line", "rule").agg(F.count(F.lit(1)).alias("n")).where("rule > 0")
 
@@ -69,16 +75,12 @@ def clean_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_tail_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = cleaning.before_tail(cleaning.body_lines(_docs(spark, sf_dir)))
-    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    left = F.size(cleaning.before_tail(cleaning.body_lines(F.col("text")))).cast("long")
+    return _docs(spark, sf_dir).select("doc_id", left.alias("n_lines"))
 
 
 def clean_dehyphenate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DOCS.frame(spark).select("doc_id", T.dehyphenated(T.after_header(F.col("text"))).alias("text"))
-
-
-def clean_dehyphenate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", T.dehyphenated(T.after_header(F.col("text"))).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", T.dehyphenated(T.after_header(F.coalesce("text", F.lit("")))).alias("text"))
 
 
 def clean_body(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +88,7 @@ def clean_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _thin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    bodies = cleaning.thin_report(cleaning.clean_bodies(docs))
-    return bodies.join(docs.select("doc_id", "source"), "doc_id")
+    return cleaning.thin_report(cleaning.clean_bodies(_docs(spark, sf_dir), keep=("source",)))
 
 
 def thin_filter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,9 @@ def thin_filter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.systematic_holdout(_thin(spark, sf_dir).where("NOT thin"), F.col("doc_id"))
+    # Staged, as cleaning is dear and the order's ranges are sampled first; without bodies the rows are narrow.
+    thin = staged(_thin(spark, sf_dir).select("doc_id", "source", "chars", "thin"), "thin")
+    return splitting.systematic_holdout(thin.where("NOT thin"), F.col("doc_id"))
 
 
 def cpt_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,9 +106,6 @@ def cpt_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cpt_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpusmill.operators import evaluation
-    from corpusmill.operators.staging import staged
-
     thin = staged(_thin(spark, sf_dir).select("doc_id", "chars", "thin"), "thin")
     kept = splitting.systematic_holdout(thin.where("NOT thin"), F.col("doc_id")).select("thin", "heldout", "chars")
     return evaluation.corpus_provenance(kept.unionByName(thin.where("thin").select("thin", F.lit(False).alias("heldout"), "chars")))
@@ -126,7 +125,7 @@ def quiz_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("w").cast("long").alias("w"), F.md5("passage").alias("passage_md5"), F.length("passage").cast("long").alias("chars"))
 
 
-def building_corpus_text(spark: SparkSession, sf_dir: str, max_chars: int = 20_000) -> DataFrame:
+def building_corpus_text(spark: SparkSession, sf_dir: str, max_chars: int = 48_000) -> DataFrame:
     """Folders are sources, files are documents whose suffix follows from doc_id."""
     ending = F.element_at(F.array(*(F.lit(x) for x in (".md", ".txt", ".csv", ".pdf", ".ttl", ".bin"))), (F.col("doc_id") % 6 + 1).cast("int"))
     rows = table(spark, sf_dir, "documents").select(F.col("source").alias("building"), F.concat(F.lit("d/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), ending).alias("rel_path"), F.col("text").cast("binary").alias("content"))
@@ -152,17 +151,16 @@ _KEYED = f"""[lower(x) FOR x IN {_KEYS} IF length(x) >= 3 AND NOT list_contains(
   [x FOR x IN list_distinct(regexp_extract_all(lower(question), '[a-z]{{4,}}')) IF NOT list_contains({_STOPS}, x) AND NOT list_contains([lower(z) FOR z IN ignored], x)] AS words"""
 
 
-def _questions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Benchmark items, each asked about one source, and one question that only has stop words. Without `whole` only the items' first 300 characters."""
-    question = F.col("text") if whole else F.substring("text", 1, 300)
-    found = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), question.alias("question"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("corpus_id"))
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items, whole, each asked about one source, and two questions that no chunk answers."""
+    found = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("corpus_id"))
     more = spark.createDataFrame([(100_001, "what are these values?", "src3"), (100_002, "about \"nothing that is there\"", "src4")], "question_id long, question string, corpus_id string")
     return found.unionByName(more)
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunking.chunk_documents(table(spark, sf_dir, "documents"), keep=("doc_id", "source"))
-    return rows.select(F.col("source").alias("corpus_id"), (F.col("doc_id") * 100_000 + F.col("k")).alias("k"), "chunk")
+    return rows.select(F.col("source").alias("corpus_id"), F.struct("doc_id", "k").alias("k"), "chunk")
 
 
 def retrieval_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,50 +169,52 @@ def retrieval_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("question_id", F.array_join("keys", "|").alias("keys"), F.array_join(F.array_sort("words"), "|").alias("words"))
 
 
-def chunk_scores(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    found = retrieval.chunk_scores(_questions(spark, sf_dir, whole), _chunks(spark, sf_dir))
-    return found.select("question_id", "k", "score").where("score > 0")
+def chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.chunk_scores(_questions(spark, sf_dir), _chunks(spark, sf_dir)).select("question_id", "k.doc_id", "k.k", "score")
 
 
-def retrieve_slices(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def _slices(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("corpus_id"), F.col("doc_id").alias("rank"), "text")
-    found = retrieval.retrieve(_questions(spark, sf_dir, whole), _chunks(spark, sf_dir), retrieval.corpus_heads(docs, retrieval.BUDGET))
+    return retrieval.retrieve(asked, _chunks(spark, sf_dir), retrieval.corpus_heads(docs, retrieval.BUDGET))
+
+
+def retrieve_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _slices(spark, sf_dir, _questions(spark, sf_dir))
     return found.select("question_id", F.md5("slice").alias("slice_md5"), "n_chunks", F.length("slice").cast("long").alias("chars"))
 
 
-def retrieve_fallback(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    asked, budget = _questions(spark, sf_dir, whole), retrieval.BUDGET
-    if not whole:
-        asked, budget = asked.where("question_id > 100000"), 3000
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("corpus_id"), F.col("doc_id").alias("rank"), "text")
-    found = retrieval.retrieve(asked, _chunks(spark, sf_dir), retrieval.corpus_heads(docs, budget), budget=budget)
+def retrieve_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question twice: in a word that no chunk has, so that the corpus's head answers it, and, numbered below 0, as it is."""
+    asked = _questions(spark, sf_dir).withColumn("question", F.concat(F.lit("zzqx"), F.translate(F.col("question_id").cast("string"), "0123456789", "ghijklmnop")))
+    found = _slices(spark, sf_dir, asked.unionByName(_questions(spark, sf_dir).withColumn("question_id", -1 - F.col("question_id"))))
     return found.select("question_id", F.md5("slice").alias("slice_md5"), "n_chunks")
 
 
 # Windows over lines: prefix sums, then the walk from each window's start to the next.
 _CHUNKS = r"""{src},
-  pr AS (SELECT doc_id, source, string_split_regex(text, '\n\s*\n') AS ps FROM src),
-  pa AS (SELECT doc_id, source, unnest(range(len(ps))) AS p, unnest(ps) AS para FROM pr),
+  pr AS (SELECT rid, doc_id, source, string_split_regex(text, '\n\s*\n') AS ps FROM src),
+  pa AS (SELECT rid, doc_id, source, unnest(range(len(ps))) AS p, unnest(ps) AS para FROM pr),
   pf AS (SELECT *, string_split(para, chr(10)) AS ls FROM pa WHERE regexp_matches(para, '\S')),
   pc AS (SELECT *, [list_sum([length(x) + 1 FOR x IN ls[1:k]]) FOR k IN range(1, len(ls) + 1)] AS cum FROM pf WHERE length(para) > 2720),
-  wk(doc_id, source, p, i, j) AS (
-    SELECT doc_id, source, p, 0::BIGINT, least(len(cum), 1 + len([c FOR c IN cum IF c < 1600]))::BIGINT FROM pc
+  wk(rid, doc_id, source, p, i, j) AS (
+    SELECT rid, doc_id, source, p, 0::BIGINT, least(len(cum), 1 + len([c FOR c IN cum IF c < 1600]))::BIGINT FROM pc
     UNION ALL
-    SELECT pc.doc_id, pc.source, pc.p, greatest(wk.j - 2, wk.i + 1),
+    SELECT pc.rid, pc.doc_id, pc.source, pc.p, greatest(wk.j - 2, wk.i + 1),
            least(len(cum), greatest(wk.j - 2, wk.i + 1) + 1 + len([c FOR c IN cum[greatest(wk.j - 2, wk.i + 1) + 1:] IF c - cum[greatest(wk.j - 2, wk.i + 1)] < 1600]))::BIGINT
-    FROM wk JOIN pc USING (doc_id, source, p) WHERE greatest(wk.j - 2, wk.i + 1) < len(cum)),
-  al AS (SELECT doc_id, source, p, 0::BIGINT AS i, para AS chunk FROM pf WHERE length(para) <= 2720
-         UNION ALL SELECT wk.doc_id, wk.source, wk.p, wk.i, array_to_string(pc.ls[wk.i + 1:wk.j], chr(10)) FROM wk JOIN pc USING (doc_id, source, p)),
-  ch AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY p, i) - 1 AS k, chunk FROM al)"""
-_DOC_CHUNKS = _CHUNKS.replace("{src}", "src AS (SELECT doc_id, text, source FROM documents)")
-_ASKED = f"""q0 AS (SELECT item_id AS question_id, substr(text, 1, 300) AS question, 'src' || (item_id % 20) AS corpus_id, []::VARCHAR[] AS ignored FROM benchmark
+    FROM wk JOIN pc USING (rid, p) WHERE greatest(wk.j - 2, wk.i + 1) < len(cum)),
+  al AS (SELECT rid, doc_id, source, p, 0::BIGINT AS i, para AS chunk FROM pf WHERE length(para) <= 2720
+         UNION ALL SELECT wk.rid, wk.doc_id, wk.source, wk.p, wk.i, array_to_string(pc.ls[wk.i + 1:wk.j], chr(10)) FROM wk JOIN pc USING (rid, p)),
+  ch AS (SELECT rid, doc_id, source, row_number() OVER (PARTITION BY rid ORDER BY p, i) - 1 AS k, chunk FROM al)"""
+_DOC_CHUNKS = _CHUNKS.replace("{src}", "src AS (SELECT row_number() OVER () AS rid, doc_id, text, source FROM documents)")
+_ASKED = f"""q0 AS (SELECT item_id AS question_id, text AS question, 'src' || (item_id % 20) AS corpus_id, []::VARCHAR[] AS ignored FROM benchmark
            UNION ALL SELECT 100001, 'what are these values?', 'src3', [] UNION ALL SELECT 100002, 'about "nothing that is there"', 'src4', []),
   qk AS (SELECT question_id, corpus_id, {_KEYED} FROM q0),
-  sc AS (SELECT question_id, doc_id * 100000 + k AS k, chunk, (10 * len([x FOR x IN keys IF contains(lower(chunk), x)]) + len([x FOR x IN words IF contains(lower(chunk), x)]))::BIGINT AS score
+  sc AS (SELECT question_id, doc_id, k, chunk, (10 * len([x FOR x IN keys IF contains(lower(chunk), x)]) + len([x FOR x IN words IF contains(lower(chunk), x)]))::BIGINT AS score
          FROM qk JOIN ch ON ch.source = qk.corpus_id)"""
+_ASKED_TWICE = _ASKED.replace("qk AS (", "q0 AS (SELECT 'zzqx' || translate(question_id::VARCHAR, '0123456789', 'ghijklmnop') AS question, * EXCLUDE question FROM q1 UNION ALL SELECT question, -1 - question_id, corpus_id, ignored FROM q1),\n  qk AS (").replace("q0 AS (SELECT item_id", "q1 AS (SELECT item_id")
 _SLICES = """WITH RECURSIVE {chunks}, {asked},
-  rk AS (SELECT *, row_number() OVER w AS r, sum(length(chunk)) OVER (w ROWS UNBOUNDED PRECEDING) AS running FROM sc WHERE score > 0 WINDOW w AS (PARTITION BY question_id ORDER BY score DESC, k)),
-  pk AS (SELECT question_id, substr(string_agg(chunk, chr(10) || chr(10) ORDER BY k), 1, {budget}) AS slice, count(*) AS n FROM rk WHERE r = 1 OR running <= {budget} GROUP BY question_id),
+  rk AS (SELECT *, row_number() OVER w AS r, sum(length(chunk)) OVER (w ROWS UNBOUNDED PRECEDING) AS running FROM sc WHERE score > 0 WINDOW w AS (PARTITION BY question_id ORDER BY score DESC, doc_id, k)),
+  pk AS (SELECT question_id, substr(string_agg(chunk, chr(10) || chr(10) ORDER BY doc_id, k), 1, {budget}) AS slice, count(*) AS n FROM rk WHERE r = 1 OR running <= {budget} GROUP BY question_id),
   hd AS (SELECT source AS corpus_id, substr(string_agg(text, chr(10) || chr(10) ORDER BY doc_id), 1, {budget}) AS head FROM documents GROUP BY source),
   an AS (SELECT question_id, coalesce(slice, head, '') AS slice, coalesce(n, 0)::BIGINT AS n_chunks FROM q0 LEFT JOIN pk USING (question_id) LEFT JOIN hd USING (corpus_id))"""
 
@@ -225,12 +225,12 @@ QUERIES = {f.__name__: f for f in (
 )}
 ORACLES = {
     "clean_body": f"WITH {_BODIES} SELECT doc_id, body FROM bd",
-    "clean_noise_flags": f"""WITH {_LINES.replace(_SRC, "src AS (SELECT doc_id, text, source FROM documents)")},
+    "clean_noise_flags": f"""WITH {_LINES.replace(_SRC, "src AS (SELECT row_number() OVER () AS rid, doc_id, text, source FROM documents)")},
       ev AS (SELECT line FROM sl UNION ALL SELECT line FROM {LINES.sql}), fl AS (SELECT line, ({_NOISE.format(s="line")})::BIGINT AS rule FROM ev)
       SELECT line, rule, count(*) AS n FROM fl WHERE rule > 0 GROUP BY line, rule""",
-    "clean_repeated_lines": f"WITH {_LINES} SELECT doc_id, form, count(*) AS repeats FROM kp WHERE length(form) >= 15 GROUP BY doc_id, form HAVING count(*) >= 4",
-    "clean_tail_cut": f"WITH {_LINES} SELECT doc_id, count(*) AS n_lines FROM kp GROUP BY doc_id",
-    "clean_dehyphenate": f"WITH {_LINES} SELECT doc_id, t AS text FROM hy WHERE doc_id < 0",
+    "clean_repeated_lines": f"WITH {_LINES} SELECT doc_id, form, count(*) AS repeats FROM kp WHERE length(form) >= 15 GROUP BY rid, doc_id, form HAVING count(*) >= 4",
+    "clean_tail_cut": f"WITH {_LINES} SELECT doc_id, (SELECT count(*) FROM kp WHERE kp.rid = src.rid) AS n_lines FROM src",
+    "clean_dehyphenate": f"WITH {_LINES} SELECT doc_id, t AS text FROM hy",
     "thin_filter_report": f"WITH {_BODIES} SELECT doc_id, chars, thin FROM th",
     "cpt_split": f"WITH {_BODIES} SELECT doc_id, source AS topic, chars, (row_number() OVER (ORDER BY doc_id) - 1) % 20 = 0 AS heldout FROM th WHERE NOT thin",
     "cpt_provenance": f"""WITH {_BODIES}, sp2 AS (SELECT *, (row_number() OVER (PARTITION BY thin ORDER BY doc_id) - 1) % 20 = 0 AND NOT thin AS heldout FROM th)
@@ -243,28 +243,13 @@ ORACLES = {
     "quiz_windows": rf"""WITH p AS (SELECT doc_id, w, {_STRIP.format(s="substr(text, (w * 1800 + 1)::BIGINT, 1800)")} AS passage FROM documents, (SELECT unnest([0, 1])::BIGINT AS w))
       SELECT doc_id, w, md5(passage) AS passage_md5, length(passage)::BIGINT AS chars FROM p WHERE length(passage) >= 400""",
     "building_corpus_text": f"""WITH f AS (SELECT source AS building, {_PATH} AS path, text, doc_id % 6 AS e, [3, 1, 2, 9, 0, 9][doc_id % 6 + 1] AS rank FROM documents),
-      t AS (SELECT building, substr(string_agg('# FILE: ' || path || chr(10) || text, chr(10) || chr(10) ORDER BY rank, path) FILTER (e NOT IN (3, 5)), 1, 20000) AS text,
+      t AS (SELECT building, substr(string_agg('# FILE: ' || path || chr(10) || text, chr(10) || chr(10) ORDER BY rank, path) FILTER (e NOT IN (3, 5)), 1, 48000) AS text,
                    coalesce(string_agg(substr(path, 3), ',' ORDER BY path) FILTER (e = 3), '') AS skipped, count(*) FILTER (e = 5) AS n_ignored FROM f GROUP BY building)
       SELECT building, md5(coalesce(text, '')) AS text_md5, length(coalesce(text, ''))::BIGINT AS chars, skipped, n_ignored FROM t""",
     "chunk_documents": f"WITH RECURSIVE {_CHUNKS.replace('{src}', _SRC)} SELECT doc_id, k, md5(chunk) AS chunk_md5, length(chunk)::BIGINT AS chars FROM ch",
     "retrieval_keys": f"""WITH q AS (SELECT item_id AS question_id, text AS question, []::VARCHAR[] AS ignored FROM benchmark UNION ALL SELECT question_id, question, ignored FROM {QUESTIONS.sql}),
       k AS (SELECT question_id, {_KEYED} FROM q) SELECT question_id, array_to_string(keys, '|') AS keys, array_to_string(list_sort(words), '|') AS words FROM k""",
-    "chunk_scores": f"WITH RECURSIVE {_DOC_CHUNKS}, {_ASKED} SELECT question_id, k, score FROM sc WHERE score > 0",
-    "retrieve_slices": _SLICES.format(chunks=_DOC_CHUNKS, asked=_ASKED, budget=14000) + " SELECT question_id, md5(slice) AS slice_md5, n_chunks, length(slice)::BIGINT AS chars FROM an",
-    "retrieve_fallback": _SLICES.format(chunks=_DOC_CHUNKS, asked=_ASKED, budget=3000) + " SELECT question_id, md5(slice) AS slice_md5, n_chunks FROM an WHERE question_id > 100000",
+    "chunk_scores": f"WITH RECURSIVE {_DOC_CHUNKS}, {_ASKED} SELECT question_id, doc_id, k, score FROM sc WHERE score > 0",
+    "retrieve_slices": _SLICES.format(chunks=_DOC_CHUNKS, asked=_ASKED, budget=retrieval.BUDGET) + " SELECT question_id, md5(slice) AS slice_md5, n_chunks, length(slice)::BIGINT AS chars FROM an",
+    "retrieve_fallback": _SLICES.format(chunks=_DOC_CHUNKS, asked=_ASKED_TWICE, budget=retrieval.BUDGET) + " SELECT question_id, md5(slice) AS slice_md5, n_chunks FROM an",
 }
-
-# Whole benchmark texts as questions, all of them with the fallback, and the budgets of production.
-_ASKED_WHOLE = _ASKED.replace("substr(text, 1, 300) AS question", "text AS question")
-_WHOLE_SLICES = _SLICES.format(chunks=_DOC_CHUNKS, asked=_ASKED_WHOLE, budget=retrieval.BUDGET)
-QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (chunk_scores, retrieve_slices, retrieve_fallback)}
-QUERIES["building_corpus_text_whole"] = partial(building_corpus_text, max_chars=48_000)
-ORACLES |= {
-    "chunk_scores_whole": f"WITH RECURSIVE {_DOC_CHUNKS}, {_ASKED_WHOLE} SELECT question_id, k, score FROM sc WHERE score > 0",
-    "retrieve_slices_whole": _WHOLE_SLICES + " SELECT question_id, md5(slice) AS slice_md5, n_chunks, length(slice)::BIGINT AS chars FROM an",
-    "retrieve_fallback_whole": _WHOLE_SLICES + " SELECT question_id, md5(slice) AS slice_md5, n_chunks FROM an",
-    "building_corpus_text_whole": ORACLES["building_corpus_text"].replace("1, 20000)", "1, 48000)"),
-}
-
-QUERIES["clean_dehyphenate_whole"] = clean_dehyphenate_whole
-ORACLES["clean_dehyphenate_whole"] = f"WITH {_LINES} SELECT doc_id, t AS text FROM hy"

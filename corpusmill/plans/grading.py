@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,11 +76,6 @@ def gsm_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gsm_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, g = F.col("prediction"), F.col("gold")
-    return NUMBERS.frame(spark).select("id", grading.number_correct(p, g).alias("ok"), grading.number_reward(p, g).alias("reward"))
-
-
-def gsm_reward_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents stand for predictions: a third of them have their own text as gold, the others a digit."""
     p, g, n = F.col("prediction"), F.col("gold"), F.col("doc_id")
     gold = F.when(n % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("#### "), n % 10))
@@ -111,7 +103,7 @@ def anchor_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.round(grading.anchor_reward(F.col("anchors"), F.col("text")), 9).alias("reward"))
 
 
-def _gates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document is a slice, its five longest words and one that is absent the anchors, its first 400 characters the answer to a benchmark item."""
     words = F.array_distinct(F.filter(F.split("text", r"[\s.,]+", -1), lambda w: w.rlike(r"^[A-Za-z]{4,}\z")))
     longest = F.slice(F.array_sort(F.transform(words, lambda w: F.concat(F.lpad((100_000 - F.length(w)).cast("string"), 6, "0"), w))), 1, 5)
@@ -122,17 +114,13 @@ def _gates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(GATES.frame(spark))
 
 
-def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return GATES.frame(spark)
-
-
-def grounding_gate(spark: SparkSession, sf_dir: str, gates: Callable = _gates) -> DataFrame:
-    rows = gates(spark, sf_dir).select("*", *(F.lit(None).cast("string").alias(c) for c in ("intent", "persona", "source")))
+def grounding_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _gates(spark, sf_dir).select("*", *(F.lit(None).cast("string").alias(c) for c in ("intent", "persona", "source")))
     found = gating.grounding_gate(rows, "Answer from the data.")
     return found.select("id", "intent", "n_anchors", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("="), m["content"])), "|").alias("chat"))
 
 
-def _verdicts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents by source: a good one's verdict matches both anchors, another's one, a toxic one contradicts, every seventh can't be read."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     matched = F.concat(F.lit('{"matched": ["'), F.col("source"), F.when(F.col("quality") == 1, F.concat(F.lit('", "'), F.col("lang"))).otherwise(""), F.lit('"], "contradiction": '))
@@ -141,18 +129,14 @@ def _verdicts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(VERDICTS.frame(spark))
 
 
-def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return VERDICTS.frame(spark)
-
-
-def judge_scores(spark: SparkSession, sf_dir: str, verdicts: Callable = _verdicts) -> DataFrame:
-    rows = verdicts(spark, sf_dir)
+def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _verdicts(spark, sf_dir)
     strict = grading.judged(rows, rows, strict=True).select("id", F.col("score").alias("strict_score"))
     return grading.judged(rows, rows).join(strict, "id")
 
 
-def judge_summary(spark: SparkSession, sf_dir: str, verdicts: Callable = _verdicts) -> DataFrame:
-    rows = verdicts(spark, sf_dir)
+def judge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _verdicts(spark, sf_dir)
     return evaluation.judge_summary(grading.judged(rows, rows)).withColumn("judge_score", F.round("judge_score", 9))
 
 
@@ -224,8 +208,8 @@ def sft_render_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", F.md5(F.array_join(F.transform(chat, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")).alias("chat_md5"))
 
 
-def reward_rows(spark: SparkSession, sf_dir: str, gates: Callable = _gates) -> DataFrame:
-    found = gating.reward_rows(gates(spark, sf_dir), "sys")
+def reward_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = gating.reward_rows(_gates(spark, sf_dir), "sys")
     return found.select("id", F.array_join("anchors", "|").alias("anchors"), F.size("messages").cast("long").alias("n_messages"))
 
 
@@ -275,7 +259,16 @@ def dataset_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _JSON = r"nullif(regexp_extract(reply, '(?s)\{.*\}', 0), '')"
-_JUDGED = f"""v AS (SELECT id, coalesce(intent, '') AS intent, anchors, CASE WHEN json_valid({_JSON}) THEN {_JSON}::JSON END AS j FROM {VERDICTS.sql}),
+# Whole tables and the inline rows.
+_ALL_NUMBERS = f"(SELECT doc_id AS id, text AS prediction, CASE WHEN doc_id % 3 = 0 THEN text ELSE '#### ' || (doc_id % 10) END AS gold FROM documents UNION ALL SELECT -id, prediction, gold FROM {NUMBERS.sql})"
+_WORDS = r"list_distinct([w FOR w IN string_split_regex(text, '[\s.,]+') IF regexp_full_match(w, '[A-Za-z]{4,}')])"
+_ALL_GATES = f"""(SELECT doc_id::VARCHAR AS id, coalesce(asked, '') AS question,
+      list_concat([substr(x, 7) FOR x IN list_sort([lpad((100000 - length(w))::VARCHAR, 6, '0') || w FOR w IN {_WORDS}])[1:5]], ['absent anchor']) AS anchors, text AS slice, substr(text, 1, 400) AS answer
+      FROM documents LEFT JOIN (SELECT item_id, text AS asked FROM benchmark) ON doc_id % 50 = item_id UNION ALL SELECT id, question, anchors, slice, answer FROM {GATES.sql})"""
+_ALL_VERDICTS = f"""(SELECT doc_id::VARCHAR AS id, source AS intent, [source, lang] AS anchors, CASE WHEN doc_id % 7 = 0 THEN 'sorry'
+      ELSE '{{"matched": ["' || source || CASE WHEN quality = 1 THEN '", "' || lang ELSE '' END || '"], "contradiction": ' || CASE WHEN toxic = 1 THEN 'true' ELSE 'false' END || '}}' END AS reply
+      FROM documents JOIN labels USING (doc_id) UNION ALL SELECT id, intent, anchors, reply FROM {VERDICTS.sql})"""
+_JUDGED = f"""v AS (SELECT id, coalesce(intent, '') AS intent, anchors, CASE WHEN json_valid({_JSON}) THEN {_JSON}::JSON END AS j FROM {_ALL_VERDICTS}),
   m AS (SELECT id, intent, anchors, j, coalesce((j->'matched')::VARCHAR[], []) AS matched, coalesce((j->>'contradiction')::BOOLEAN, false) AS wrong FROM v),
   s AS (SELECT id, intent, j IS NULL AS error, wrong, len([x FOR x IN matched IF list_contains(anchors, x)]) / greatest(1, len(anchors)) AS raw,
                len([x FOR x IN list_distinct(matched) IF list_contains(anchors, x)]) / greatest(1, len(anchors)) AS strict_raw FROM m),
@@ -287,7 +280,7 @@ _TAGGED = f"""t AS (SELECT id, prediction, string_split(gold, ':')[1] AS kind, C
   h AS (SELECT *, len([x FOR x IN expected IF contains(said, ' ' || x || ' ')]) AS hits FROM e),
   w AS (SELECT id, kind, CASE WHEN kind = 'count' THEN CASE WHEN coalesce(list_extract(regexp_extract_all(prediction, '-?\\d+'), -1) = body, false) THEN 1.0 ELSE 0.0 END
           WHEN len(expected) = 0 THEN 0.0 WHEN kind = 'type' THEN CASE WHEN hits >= 1 THEN 1.0 ELSE 0.0 END ELSE hits / len(expected) END::DOUBLE AS reward FROM h)"""
-_GATED = f"""g AS (SELECT *, [a FOR a IN anchors IF {_anchor_sql('a', 'slice')}] AS in_slice FROM {GATES.sql}),
+_GATED = f"""g AS (SELECT *, [a FOR a IN anchors IF {_anchor_sql('a', 'slice')}] AS in_slice FROM {_ALL_GATES}),
   k AS (SELECT *, len([a FOR a IN in_slice IF {_anchor_sql('a', 'answer')}]) AS stated FROM g WHERE len(in_slice) >= 2)"""
 _PROMPT = "'Use only the building''s data below to answer.' || chr(10) || chr(10) || '--- BUILDING DATA ---' || chr(10) || {c} || chr(10) || '--- END BUILDING DATA ---' || chr(10) || chr(10) || 'Question: ' || {q}"
 _AUGMENTED = rf"""d AS (SELECT doc_id, source AS topic, {_STRIP.format(c="text")} AS body FROM documents),
@@ -300,7 +293,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 ORACLES = {
     "gsm_extract": f"WITH r AS (SELECT doc_id, text AS prediction FROM documents UNION ALL SELECT -id, prediction FROM {NUMBERS.sql}) SELECT doc_id, {_NUM.format(c='prediction')} AS number FROM r",
-    "gsm_reward": f"""WITH n AS (SELECT id, prediction, {_NUM.format(c='prediction')} AS p, {_NUM.format(c='gold')} AS g FROM {NUMBERS.sql})
+    "gsm_reward": f"""WITH n AS (SELECT id, prediction, {_NUM.format(c='prediction')} AS p, {_NUM.format(c='gold')} AS g FROM {_ALL_NUMBERS})
       SELECT id, coalesce(p = g, false) AS ok, CASE WHEN coalesce(p = g, false) THEN 1.0 WHEN contains(prediction, '####') AND p IS NOT NULL THEN 0.1 ELSE 0.0 END::DOUBLE AS reward FROM n""",
     "building_reward": f"WITH {_TAGGED} SELECT id, kind, reward, reward >= 0.999 AS ok FROM w",
     "accuracy_by_kind": f"WITH {_TAGGED} SELECT kind, count(*) AS n, (count(*) FILTER (reward >= 0.999))::BIGINT AS hits, round(avg((reward >= 0.999)::INT), 9) AS accuracy FROM w GROUP BY kind",
@@ -340,18 +333,3 @@ ORACLES = {
     "perplexity": "SELECT round(exp(sum(value / 10 * (event_id % 50)) / greatest(1, sum(event_id % 50))), 6) AS perplexity, count(*) AS n_docs FROM events WHERE event_id % 50 >= 1",
     "dataset_id": """SELECT doc_id, substr(sha256('{"k":' || doc_id || ',"source":"' || source || '"}'), 1, 12) AS dataset_id FROM documents""",
 }
-
-# The same over whole tables and the inline rows.
-_ALL_NUMBERS = f"(SELECT doc_id AS id, text AS prediction, CASE WHEN doc_id % 3 = 0 THEN text ELSE '#### ' || (doc_id % 10) END AS gold FROM documents UNION ALL SELECT -id, prediction, gold FROM {NUMBERS.sql})"
-_WORDS = r"list_distinct([w FOR w IN string_split_regex(text, '[\s.,]+') IF regexp_full_match(w, '[A-Za-z]{4,}')])"
-_ALL_GATES = f"""(SELECT doc_id::VARCHAR AS id, coalesce(asked, '') AS question,
-      list_concat([substr(x, 7) FOR x IN list_sort([lpad((100000 - length(w))::VARCHAR, 6, '0') || w FOR w IN {_WORDS}])[1:5]], ['absent anchor']) AS anchors, text AS slice, substr(text, 1, 400) AS answer
-      FROM documents LEFT JOIN (SELECT item_id, text AS asked FROM benchmark) ON doc_id % 50 = item_id UNION ALL SELECT id, question, anchors, slice, answer FROM {GATES.sql})"""
-_ALL_VERDICTS = f"""(SELECT doc_id::VARCHAR AS id, source AS intent, [source, lang] AS anchors, CASE WHEN doc_id % 7 = 0 THEN 'sorry'
-      ELSE '{{"matched": ["' || source || CASE WHEN quality = 1 THEN '", "' || lang ELSE '' END || '"], "contradiction": ' || CASE WHEN toxic = 1 THEN 'true' ELSE 'false' END || '}}' END AS reply
-      FROM documents JOIN labels USING (doc_id) UNION ALL SELECT id, intent, anchors, reply FROM {VERDICTS.sql})"""
-QUERIES["gsm_reward_whole"] = gsm_reward_whole
-QUERIES |= {f"{f.__name__}_whole": partial(f, gates=_gates_whole) for f in (grounding_gate, reward_rows)}
-QUERIES |= {f"{f.__name__}_whole": partial(f, verdicts=_verdicts_whole) for f in (judge_scores, judge_summary)}
-_WIDER = {"gsm_reward": (NUMBERS, _ALL_NUMBERS), "grounding_gate": (GATES, _ALL_GATES), "reward_rows": (GATES, _ALL_GATES), "judge_scores": (VERDICTS, _ALL_VERDICTS), "judge_summary": (VERDICTS, _ALL_VERDICTS)}
-ORACLES |= {f"{name}_whole": ORACLES[name].replace(few.sql, every) for name, (few, every) in _WIDER.items()}

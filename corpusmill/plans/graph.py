@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators import graph, splitting
 from corpusmill.plans.inline import Inline, table
 
-Entities = Callable[[SparkSession, str], DataFrame]
 _X = "http://x.org/"
 TRIPLES = Inline("building string, s string, p string, o string", (
     ("b0", f"{_X}a#e1", graph.TYPE, f"{_X}s#Fan"), ("b0", f"{_X}a#e1", graph.TYPE, f"{_X}t/Fan"), ("b0", f"{_X}a#e1", graph.TYPE, f"{_X}s#Device"), ("b0", f"{_X}a#e1", f"{_X}s#comment", "second"),
@@ -20,13 +16,13 @@ TRIPLES = Inline("building string, s string, p string, o string", (
 ))
 
 
-def _triples(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Of some suppliers and names alone, as the SQL of the first queries has it, or with `whole` of all."""
+def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all parts and suppliers; entities without a comment come from the inline rows."""
     part, item = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
     uri, building = F.concat(F.lit(f"{_X}part#P"), F.col("p_partkey")), F.concat(F.lit("b"), F.col("p_partkey") % 5 + 1)
     kinds = part.select(building.alias("building"), uri.alias("s"), F.lit(graph.TYPE).alias("p"), F.concat(F.lit(f"{_X}class#"), F.col("p_type")).alias("o"))
-    names = (part if whole else part.where("p_partkey % 7 <> 0")).select(building.alias("building"), uri.alias("s"), F.lit(f"{_X}rdfs#comment").alias("p"), F.concat("p_name", F.lit(" "), F.col("p_partkey")).alias("o"))
-    orders = (item if whole else item.where("l_suppkey % 10 < 3")).select(F.col("l_partkey").alias("p_partkey"), "l_suppkey").distinct()
+    names = part.select(building.alias("building"), uri.alias("s"), F.lit(f"{_X}rdfs#comment").alias("p"), F.concat("p_name", F.lit(" "), F.col("p_partkey")).alias("o"))
+    orders = item.select(F.col("l_partkey").alias("p_partkey"), "l_suppkey").distinct()
     edges = orders.select(building.alias("building"), uri.alias("s"), F.lit(f"{_X}s223#cnx").alias("p"), F.concat(F.lit(f"{_X}supplier/S"), F.col("l_suppkey")).alias("o"))
     return kinds.unionByName(names).unionByName(edges).unionByName(TRIPLES.frame(spark))
 
@@ -35,16 +31,12 @@ def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.entity_index(_triples(spark, sf_dir))
 
 
-def _all_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.entity_index(_triples(spark, sf_dir, whole=True))
-
-
 _TYPE = f"'{graph.TYPE}'"
 _PART = f"'b' || (p_partkey % 5 + 1) AS building, '{_X}part#P' || p_partkey AS s"
 _LOCAL = "string_split(string_split({c}, '#')[-1], '/')[-1]"
 _INDEX = f"""tr AS (SELECT {_PART}, {_TYPE} AS p, '{_X}class#' || p_type AS o FROM part
-    UNION SELECT {_PART}, '{_X}rdfs#comment', p_name || ' ' || p_partkey FROM part WHERE p_partkey % 7 <> 0
-    UNION SELECT {_PART.replace('p_partkey', 'l_partkey')}, '{_X}s223#cnx', '{_X}supplier/S' || l_suppkey FROM lineitem WHERE l_suppkey % 10 < 3
+    UNION SELECT {_PART}, '{_X}rdfs#comment', p_name || ' ' || p_partkey FROM part
+    UNION SELECT {_PART.replace('p_partkey', 'l_partkey')}, '{_X}s223#cnx', '{_X}supplier/S' || l_suppkey FROM lineitem
     UNION SELECT building, s, p, o FROM {TRIPLES.sql}),
   tl AS (SELECT building, s, p, o, {_LOCAL.format(c='p')} AS pl, {_LOCAL.format(c='o')} AS ol FROM tr),
   en AS (SELECT building, s AS uri, {_LOCAL.format(c='s')} AS name, list_sort(list(DISTINCT ol) FILTER (p = {_TYPE})) AS types, coalesce(min(o) FILTER (pl IN ('comment', 'label') AND o <> ''), '') AS comment,
@@ -56,42 +48,42 @@ _INDEX = f"""tr AS (SELECT {_PART}, {_TYPE} AS p, '{_X}class#' || p_type AS o FR
   tk AS (SELECT * FROM ty UNION ALL SELECT * FROM co UNION ALL SELECT * FROM cx)"""
 
 
-def entity_index(spark: SparkSession, sf_dir: str, entities: Entities = _entities) -> DataFrame:
+def entity_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = [F.array_join(c, "|").alias(c) for c in ("types", "connections", "properties")]
-    return entities(spark, sf_dir).select("building", "uri", "name", "comment", *lists)
+    return _entities(spark, sf_dir).select("building", "uri", "name", "comment", *lists)
 
 
-def class_counts(spark: SparkSession, sf_dir: str, entities: Entities = _entities) -> DataFrame:
-    return graph.class_counts(entities(spark, sf_dir))
+def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.class_counts(_entities(spark, sf_dir))
 
 
-def top_classes(spark: SparkSession, sf_dir: str, entities: Entities = _entities) -> DataFrame:
-    return graph.top_classes(entities(spark, sf_dir)).select("building", "class", "n", F.col("rank").cast("long").alias("rank"))
+def top_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.top_classes(_entities(spark, sf_dir)).select("building", "class", "n", F.col("rank").cast("long").alias("rank"))
 
 
-def building_summary(spark: SparkSession, sf_dir: str, entities: Entities = _entities) -> DataFrame:
-    return graph.building_summary(entities(spark, sf_dir))
+def building_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.building_summary(_entities(spark, sf_dir))
 
 
-def mint_type(spark: SparkSession, sf_dir: str, entities: Entities = _entities) -> DataFrame:
-    return graph.type_tasks(entities(spark, sf_dir))
+def mint_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.type_tasks(_entities(spark, sf_dir))
 
 
-def mint_count(spark: SparkSession, sf_dir: str, entities: Entities = _entities) -> DataFrame:
-    return graph.count_tasks(entities(spark, sf_dir))
+def mint_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.count_tasks(_entities(spark, sf_dir))
 
 
-def mint_conns(spark: SparkSession, sf_dir: str, entities: Entities = _entities) -> DataFrame:
-    return graph.connection_tasks(entities(spark, sf_dir))
+def mint_conns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.connection_tasks(_entities(spark, sf_dir))
 
 
-def cross_building_split(spark: SparkSession, sf_dir: str, entities: Entities = _entities) -> DataFrame:
-    tasks = graph.minted_tasks(entities(spark, sf_dir))
+def cross_building_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = graph.minted_tasks(_entities(spark, sf_dir))
     return graph.cross_building_split(tasks).groupBy("split", "building", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def seeded_split(spark: SparkSession, sf_dir: str, entities: Entities = _entities) -> DataFrame:
-    tasks = graph.cross_building_split(graph.minted_tasks(entities(spark, sf_dir)), "b1").where("split = 'test'")
+def seeded_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = graph.cross_building_split(graph.minted_tasks(_entities(spark, sf_dir)), "b1").where("split = 'test'")
     return splitting.seeded_take(tasks, 200, F.col("building"), F.col("kind"), F.col("about")).select("place", "question", "answer")
 
 
@@ -106,8 +98,3 @@ ORACLES = {
     "mint_conns": f"WITH {_INDEX} SELECT * FROM cx",
     "cross_building_split": f"WITH {_INDEX} SELECT CASE WHEN building = (SELECT min(building) FROM tk) THEN 'test' ELSE 'train' END AS split, building, kind, count(*) AS n FROM tk GROUP BY 1, building, kind",
 }
-
-# The same over all suppliers and names. Entities without a comment come from the inline rows.
-_ALL = _INDEX.replace(" WHERE p_partkey % 7 <> 0", "").replace(" WHERE l_suppkey % 10 < 3", "")
-ORACLES |= {f"{name}_whole": sql.replace(_INDEX, _ALL) for name, sql in ORACLES.items()}
-QUERIES |= {f"{name}_whole": partial(f, entities=_all_entities) for name, f in QUERIES.items()}

@@ -15,7 +15,6 @@ RUNS = Inline("exp string, run_id string, metric string, baseline double, after
     ("b", "r2", "eval_acc", None, 0.5, "done", 300.0, 310.0), ("c", "r1", "eval_acc", 0.5, None, "running", 400.0, None), ("c", "r2", "eval_acc", 0.25, 0.25, "done", None, 9.0),
 ))
 SCORES = Inline("run_order long, value double", ((1, 0.51234), (2, 0.51231), (3, 0.75), (4, 0.75), (5, 0.1)))
-NOW = 1000.0
 #: After every event id.
 LATER = 1_000_000_000_000.0
 
@@ -31,14 +30,6 @@ def run_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry.run_summary(RUNS.frame(spark), NOW).select("exp", "run_id", "delta", "elapsed", "better")
-
-
-def best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry.best_run(SCORES.frame(spark))
-
-
-def run_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run for each user: its first event's value is the baseline, its last one's the result; every tenth still runs. Event ids are seconds."""
     user, seen = F.col("user_id"), F.when(F.col("value").isNotNull(), F.col("event_id"))
     meta = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("value", seen).alias("baseline"), F.max_by("value", seen).alias("after"), F.min("event_id").cast("double").alias("started"), F.max("event_id").cast("double").alias("ended"))
@@ -46,7 +37,7 @@ def run_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.run_summary(named.unionByName(RUNS.frame(spark)), LATER).select("exp", "run_id", "delta", "elapsed", "better")
 
 
-def best_run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run for each user, whose score is its greatest value."""
     scores = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run_order")).agg(F.max("value").alias("value"))
     return telemetry.best_run(scores.unionByName(SCORES.frame(spark).withColumn("run_order", -F.col("run_order"))))
@@ -104,16 +95,20 @@ def stream_run_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.run_available(found, f"{root}/latest", f"{root}/checkpoint")
 
 
+_ALL_RUNS = f"""(SELECT 'e' AS exp, user_id::VARCHAR AS run_id, CASE WHEN user_id % 2 = 0 THEN 'eval_acc' ELSE 'train_loss' END AS metric, arg_min(value, event_id) AS baseline, arg_max(value, event_id) AS after,
+      CASE WHEN user_id % 10 = 0 THEN 'running' ELSE 'done' END AS status, min(event_id)::DOUBLE AS started, max(event_id)::DOUBLE AS ended FROM events GROUP BY user_id
+      UNION ALL SELECT exp, run_id, metric, baseline, after, status, started, ended FROM {RUNS.sql})"""
+_ALL_SCORES = f"(SELECT user_id AS run_order, max(value) AS value FROM events GROUP BY user_id UNION ALL SELECT -run_order, value FROM {SCORES.sql})"
 _SERIES = "s AS (SELECT 'e' AS exp, user_id::VARCHAR AS run_id, event_type AS metric, event_id AS step, value FROM events WHERE event_id % 11 <> 0)"
 _LATEST = f"WITH {_SERIES} SELECT exp, run_id, metric, arg_max(value, step) AS value, max(step) AS step FROM s GROUP BY exp, run_id, metric"
 QUERIES = {f.__name__: f for f in (run_leaderboard, run_summary, best_run, run_series, run_latest, run_series_scaled, logged_metrics, one_runs_events, series_keys, duration_text, artifact_roundtrip, stream_run_latest)}
 ORACLES = {
     "run_leaderboard": """WITH m AS (SELECT user_id::VARCHAR AS run_id, min(event_id)::DOUBLE AS started, max(value) AS after, 'e' AS exp FROM events GROUP BY user_id)
       SELECT *, row_number() OVER (ORDER BY coalesce(started, 0) DESC, exp, run_id) AS place FROM m""",
-    "run_summary": f"""WITH d AS (SELECT *, CASE WHEN baseline IS NOT NULL AND after IS NOT NULL THEN round_even(after - baseline, 4)::DOUBLE END AS delta FROM {RUNS.sql})
-      SELECT exp, run_id, delta, CASE WHEN status = 'running' THEN {NOW} - started ELSE coalesce(ended, started) - started END::DOUBLE AS elapsed,
+    "run_summary": f"""WITH d AS (SELECT *, CASE WHEN baseline IS NOT NULL AND after IS NOT NULL THEN round_even(after - baseline, 4)::DOUBLE END AS delta FROM {_ALL_RUNS})
+      SELECT exp, run_id, delta, CASE WHEN status = 'running' THEN {LATER:.1f} - started ELSE coalesce(ended, started) - started END::DOUBLE AS elapsed,
              CASE WHEN regexp_matches(metric, '(?i)ppl|perplex|loss') THEN delta < 0 ELSE delta > 0 END AS better FROM d""",
-    "best_run": f"SELECT run_order::BIGINT AS run_order, round_even(value, 4)::DOUBLE AS value FROM {SCORES.sql} ORDER BY value DESC, run_order LIMIT 1",
+    "best_run": f"SELECT run_order::BIGINT AS run_order, round_even(value, 4)::DOUBLE AS value FROM {_ALL_SCORES} ORDER BY value DESC, run_order LIMIT 1",
     "run_series": f"WITH {_SERIES} SELECT * FROM s",
     "run_latest": _LATEST,
     "run_series_scaled": f"""WITH {_SERIES}, w AS (SELECT *, min(value) OVER p AS lo, max(value) OVER p AS hi FROM s WINDOW p AS (PARTITION BY run_id, metric))
@@ -126,11 +121,3 @@ ORACLES = {
     "artifact_roundtrip": "SELECT doc_id, lang, n_chars, (SELECT count(*) FROM documents) AS n_rows FROM documents",
     "stream_run_latest": _LATEST,
 }
-
-_ALL_RUNS = f"""(SELECT 'e' AS exp, user_id::VARCHAR AS run_id, CASE WHEN user_id % 2 = 0 THEN 'eval_acc' ELSE 'train_loss' END AS metric, arg_min(value, event_id) AS baseline, arg_max(value, event_id) AS after,
-      CASE WHEN user_id % 10 = 0 THEN 'running' ELSE 'done' END AS status, min(event_id)::DOUBLE AS started, max(event_id)::DOUBLE AS ended FROM events GROUP BY user_id
-      UNION ALL SELECT exp, run_id, metric, baseline, after, status, started, ended FROM {RUNS.sql})"""
-_ALL_SCORES = f"(SELECT user_id AS run_order, max(value) AS value FROM events GROUP BY user_id UNION ALL SELECT -run_order, value FROM {SCORES.sql})"
-QUERIES |= {"run_summary_whole": run_summary_whole, "best_run_whole": best_run_whole}
-ORACLES["run_summary_whole"] = ORACLES["run_summary"].replace(RUNS.sql, _ALL_RUNS).replace(f"THEN {NOW} -", f"THEN {LATER:.1f} -")
-ORACLES["best_run_whole"] = ORACLES["best_run"].replace(SCORES.sql, _ALL_SCORES)
