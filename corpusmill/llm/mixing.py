@@ -47,13 +47,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
     """Per document: doc_id, source, size, source_size, target, copies, taken (= copies * size); with carry, also `row`.
 
     Sources take the weights by code point of their name, null last, repeating. Null and empty texts have size 0: they
-    are taken as often as others and add no words. Equal rows of one source may get different copies, their sum is
-    fixed. A source without words has target 0 and copies 0. carry keeps the whole input row as a struct, so that no
-    column name can clash.
+    are taken as often as others and add no words. Equal rows of one source may get different copies; as rows of one
+    source, size and doc_id stand in order of the whole row's hash, reruns take the same rows however they are dealt. A
+    source without words has target 0 and copies 0. carry keeps the whole input row as a struct, so that no column name
+    can clash.
     """
-    rows = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
-    sized = docs.select("doc_id", "source", word_count().alias("size"), *rows)
-    placed = staged_in_order(sized, [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_last()], "mixing")
+    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_last()]
+    if carry:
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        sized = docs.select("doc_id", "source", word_count().alias("size"), row.alias("row"))
+        placed = staged_in_order(sized, [*order, F.xxhash64(F.to_json("row"))], "mixing")
+    else:
+        placed = staged_in_order(docs.select("doc_id", "source", word_count().alias("size")), order, "mixing")
     placed = placed.withColumn("range", range_no())
     ranges = placed.groupBy("source", "range").agg(F.min("_mid").alias("first"), F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -69,6 +74,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken."""
+    """The mix itself: the rows of docs, each as often as it is taken; the same rows in every run."""
     found = mix(docs, carry=True, **options).where(F.col("copies") > 0)
     return found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
