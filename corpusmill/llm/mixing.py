@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, range_no, staged_in_order
+from .common import WORD, range_no, staged, staged_in_order
 
 
 def word_count(column: str = "text") -> Column:
@@ -58,7 +58,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
         sized = docs.select("doc_id", "source", word_count().alias("size"), row.alias("row"))
         placed = staged_in_order(sized, [*order, F.xxhash64(F.to_json("row"))], "mixing")
     else:
-        placed = staged_in_order(docs.select("doc_id", "source", word_count().alias("size")), order, "mixing")
+        # Staged, as finding the ranges and dealing the rows would each count the words.
+        placed = staged_in_order(staged(docs.select("doc_id", "source", word_count().alias("size")), "mixing-sizes"), order, "mixing")
     placed = placed.withColumn("range", range_no())
     ranges = placed.groupBy("source", "range").agg(F.min("_mid").alias("first"), F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
