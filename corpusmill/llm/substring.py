@@ -1,87 +1,69 @@
 """Substring dedup: Rabin-Karp hashes of every window of words, counted in Spark, and the repeated ones merged.
 
-Documents are dealt into batches by a hash. Each batch sends its distinct window hashes, sorted and delta-coded, to
-buckets of the hash range (a hash that the batch has twice carries a mark, so that a frequent passage is one entry for
-each batch, however hot). Each bucket answers every batch with one bit for each hash: is it repeated anywhere?
-The batch computes its windows again, covers the words of repeated windows, and merges them into maximal intervals.
+Documents are staged in blocks: runs of rows of one task, so that repeated rows don't meet in one group. Each block sends
+its distinct window hashes as rows (hash, block), a hash that it has twice as two rows: a frequent passage is a row or two
+for each block, however hot, and rows are never more than windows. Spark counts the rows of each hash, and those of hashes
+that stand more than once go back to their blocks. A block computes its windows again, covers the words of repeated
+windows, and merges them into maximal intervals.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore
-from .common import bounded_batches, text_or_empty, utf8_total
+from .common import bounded_batches, staged, text_or_empty
 
 RESULT = "doc_id long, n_words long, n_removed long, intervals array<struct<start:int,stop:int>>, kept_text string"
 
 
-def _windows(table: pa.Table, k: int):
-    """Words, the place of each window in one text, and each distinct hash with a mark and the window's index to it."""
-    w = textcore.words(table.column("text"))
+def _windows(texts: pa.Array, k: int):
+    """Words, the place of each window in one text, each distinct hash, the window's index to it, and whether it has two windows."""
+    w = textcore.words(texts)
     h = textcore.window_hashes(textcore.word_hashes(w), k)
     place = np.flatnonzero(textcore.in_one_text(w.doc_at, k, len(h)))
-    distinct, back, count = np.unique(h[place] & ~np.uint64(1), return_inverse=True, return_counts=True)
+    distinct, back, count = np.unique(h[place], return_inverse=True, return_counts=True)
     return w, place, distinct, back, count > 1
 
 
-def _cuts(distinct: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins in the sorted hashes."""
-    low = [np.uint64(min((i << 64) // buckets, (1 << 64) - 1)) for i in range(buckets)]
-    return np.append(np.searchsorted(distinct, np.array(low, np.uint64)), len(distinct))
-
-
-def pack(values: np.ndarray) -> tuple[bytes, int]:
-    """Ascending 64-bit values as differences of 6, 7 or 8 bytes."""
-    step = np.diff(values, prepend=values[:1])
-    top = int(step.max(initial=0))
-    width = 6 if top < 1 << 48 else 7 if top < 1 << 56 else 8
-    return step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), width
-
-
-def unpack(data: bytes, width: int, first: int) -> np.ndarray:
-    """The values again; first: the least of them, which has the difference 0."""
-    step = np.zeros((len(data) // width, 8), np.uint8)
-    step[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    out = step.reshape(-1).view("<u8").copy()
-    out[0] = np.uint64(first)
-    return np.cumsum(out, dtype=np.uint64)
-
-
-def _sender(k: int, buckets: int):
-    def send(table: pa.Table) -> pa.Table:
-        _, _, distinct, _, twice = _windows(table, k)
-        cuts = _cuts(distinct, buckets)
-        marked, rows = distinct | twice.astype(np.uint64), []
-        for i in np.flatnonzero(np.diff(cuts)):
-            part = marked[cuts[i] : cuts[i + 1]]
-            data, width = pack(part)
-            rows.append({"bucket": int(i), "batch": table["batch"][0].as_py(), "first": int(part[:1].view(np.int64)[0]), "width": width, "data": data})
-        return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("first", pa.int64()), ("width", pa.int32()), ("data", pa.binary())]))
-
-    return send
-
-
-def _judge(table: pa.Table) -> pa.Table:
-    """One bit for each hash of each batch: it is marked, or another batch has it too."""
-    parts = [unpack(d.as_py(), w, f & (1 << 64) - 1) for d, w, f in zip(table["data"], table["width"].to_pylist(), table["first"].to_pylist(), strict=True)]
-    size = [len(p) for p in parts]
-    every = np.concatenate(parts)
-    del parts
-    order = np.argsort(every >> np.uint64(1), kind="stable")
-    ranked = every[order]
-    bare = ranked >> np.uint64(1)
-    same = bare[1:] == bare[:-1]
-    hit = (ranked & np.uint64(1)).astype(bool)
-    hit[1:] |= same
-    hit[:-1] |= same
-    flag = np.empty(len(every), bool)
-    flag[order] = hit
-    bits = [np.packbits(x).tobytes() for x in np.split(flag, np.cumsum(size)[:-1])]
-    return pa.table({"batch": table["batch"].cast(pa.int64()), "bucket": table["bucket"].cast(pa.int32()), "n": pa.array(size, pa.int32()), "bits": pa.array(bits, pa.binary())})
+def _blocking(block_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            numbers = np.empty(len(batch), np.int64)
+            for i, size in enumerate(np.diff(textcore.flat(batch["text"])[1]).tolist()):
+                if held and held + size > block_bytes:
+                    block, held = block + 1, 0
+                numbers[i] = block
+                held += size
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["text"], pa.array(numbers)], ["doc_id", "text", "block"])
+
+    return run
+
+
+def _hashing(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch["block"].to_numpy()
+            ends = [*(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for lo, hi in zip([0, *ends], ends, strict=False):
+                if hi > lo:
+                    _, _, distinct, _, twice = _windows(batch["text"].slice(lo, hi - lo), k)
+                    rows = np.concatenate([distinct, distinct[twice]]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.full(len(rows), block[lo]))], ["hash", "block"])
+
+    return run
+
+
+def window_rows(blocks: DataFrame, k: int) -> DataFrame:
+    """(hash, block): one row for each distinct window of a block, two for one that it has more than once."""
+    return blocks.select("text", "block").mapInArrow(_hashing(k), "hash long, block long")
 
 
 def covered(place: np.ndarray, k: int, n_words: int) -> np.ndarray:
@@ -93,15 +75,11 @@ def covered(place: np.ndarray, k: int, n_words: int) -> np.ndarray:
 
 
 def _remover(k: int):
-    def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
-        w, place, distinct, back, _ = _windows(table, k)
+    def remove(table: pa.Table, repeated: pa.Table) -> pa.Table:
+        w, place, distinct, back, _ = _windows(table.column("text"), k)
         n = len(w.start)
         hit = np.zeros(len(distinct), bool)
-        at = 0
-        for i in np.argsort(answers["bucket"].to_numpy()) if len(answers) else ():
-            size = answers["n"][int(i)].as_py()
-            hit[at : at + size] = np.unpackbits(np.frombuffer(answers["bits"][int(i)].as_py(), np.uint8), count=size).astype(bool)
-            at += size
+        hit[np.searchsorted(distinct, repeated["hash"].to_numpy().view(np.uint64))] = True
         gone = covered(place[hit[back]], k, n)
         change = np.diff(gone.astype(np.int8), prepend=0)
         begin = change == 1
@@ -138,25 +116,19 @@ def _remover(k: int):
     return remove
 
 
-def dedup_substrings(docs: DataFrame, k: int = 35, batch_bytes: int = 6 << 20, bucket_windows: int = 3 << 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, k: int = 35, block_bytes: int = 6 << 20) -> DataFrame:
     """Removes each word that a window of k words covers whose words also begin anywhere else in the table.
 
     Result: doc_id, n_words, n_removed, intervals (maximal, in words of the text) and kept_text (one space between words).
     Null and empty texts have no words and keep an empty text; a text of under k words has no window; repeated rows
     repeat each other's windows, so that both lose them; a null doc_id stays null; other columns are left out.
 
-    batch_bytes bounds what one Python group reads of texts (a longer text is a batch of its own), bucket_windows what
-    one bucket counts; raise both with the executors' memory on large inputs, as batches times buckets are the rows sent.
-    Hashes have 63 bits: n windows give about n*n/2**64 wrong pairs, 0.001 for 10**8.
+    block_bytes bounds what one Python group reads of texts (a longer text is a block of its own). The rows of one hash
+    are at most two for each block, and Spark's window over them spills. Hashes have 64 bits: n windows give about
+    n*n/2**65 wrong pairs, 0.0003 for 10**8.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    total = utf8_total(docs)
-    batches = max(1, -(-total // batch_bytes))
-    buckets = max(1, -(-total // 5 // bucket_windows))
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", text_or_empty().alias("text")).withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
-    dealt = dealt.repartition(min(shuffles, max(batches, 1)), "batch")
-    sent = dealt.groupBy("batch").applyInArrow(_sender(k, buckets), "bucket int, batch long, first long, width int, data binary")
-    answers = sent.groupBy("bucket").applyInArrow(_judge, "batch long, bucket int, n int, bits binary")
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_remover(k), RESULT)
+    bounded_batches(docs.sparkSession)
+    blocks = staged(docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_blocking(block_bytes), "doc_id long, text string, block long"), "substring-blocks")
+    counted = window_rows(blocks, k).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash")))
+    repeated = counted.where("n > 1").select("block", "hash")
+    return blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_remover(k), RESULT)

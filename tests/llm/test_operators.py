@@ -553,7 +553,7 @@ def brute_removed(rows, k):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"batch_bytes": 20_000, "bucket_windows": 3000}])
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 20_000}])
 def test_repeated_windows_go(docs, odd, odd_rows, none, options):
     for frame, rows in ((docs, [(r.doc_id, r.text) for r in docs.collect()]), (odd, [r[:2] for r in odd_rows])):
         found = substring.dedup_substrings(frame, 35, **options).collect()
@@ -561,11 +561,21 @@ def test_repeated_windows_go(docs, odd, odd_rows, none, options):
     assert substring.dedup_substrings(none).count() == 0
 
 
-@pytest.mark.parametrize("values", [[5], [1, 2, 3], [0, (1 << 64) - 2], [3, (1 << 50), (1 << 62)], list(range(0, 1 << 40, 1 << 30))])
-def test_packed_hashes_unpack(values):
-    x = np.array(values, np.uint64)
-    data, width = substring.pack(x)
-    assert (substring.unpack(data, width, int(x[0])) == x).all()
+def test_rows_of_hashes_grow_with_windows(spark):
+    import random
+
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(50))
+    for n in (40, 160):
+        rows = [(i // 3, (passage + " " if i % 3 == 0 else "") + " ".join(f"w{rng.randrange(10**9)}" for _ in range(100))) for i in range(n)] + [(9, "same " * 60)] * n
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        for size in (1 << 20, 3000):  # the rows don't depend on the number of blocks, but for what repeats
+            blocks = frame.select("doc_id", "text").mapInArrow(substring._blocking(size), "doc_id long, text string, block long")
+            windows = sum(max(0, len(t.split()) - 34) for _, t in rows)
+            assert n * 66 <= substring.window_rows(blocks, 35).count() <= windows
+            assert size == 1 << 20 or blocks.select("block").distinct().count() > n / 20
+        found = substring.dedup_substrings(frame, 35, block_bytes=3000).collect()
+        assert bag((r.doc_id, r.n_removed) for r in found) == bag(r[:3:2] for r in brute_removed(rows, 35))
 
 
 # ---- 10 toxicity
