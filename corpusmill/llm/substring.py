@@ -1,69 +1,88 @@
 """Substring dedup: Rabin-Karp hashes of every window of words, counted in Spark, and the repeated ones merged.
 
-Documents are staged in blocks: runs of rows of one task, so that repeated rows don't meet in one group. Each block sends
-its distinct window hashes as rows (hash, block), a hash that it has twice as two rows: a frequent passage is a row or two
-for each block, however hot, and rows are never more than windows. Spark counts the rows of each hash, and those of hashes
-that stand more than once go back to their blocks. A block computes its windows again, covers the words of repeated
-windows, and merges them into maximal intervals.
+Documents are dealt into blocks by a hash. Windows that can't repeat are told first: a window's anchor is the least hash of
+the runs of `anchor_words` words in it, so that equal windows have equal anchors, and a window whose anchor stands nowhere
+else is the only one of its words. Spark counts the anchors (a tenth of the windows), then the window hashes of those
+whose anchors repeat, and both ways what repeats goes back to its blocks. A block sends a hash once, or twice if it has it
+more than once: a frequent passage is a row or two for each block, however hot, and rows are never more than windows.
+A block at last covers the words of repeated windows and merges them into maximal intervals.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore
-from .common import bounded_batches, staged, text_or_empty
+from .common import bounded_batches, text_or_empty, utf8_total
 
 RESULT = "doc_id long, n_words long, n_removed long, intervals array<struct<start:int,stop:int>>, kept_text string"
+_ROWS = "hash long, block long"
+
+
+def _least_of(values: np.ndarray, n: int) -> np.ndarray:
+    """The least of each n consecutive values."""
+    width = 1
+    while width < n:
+        step = min(width, n - width)
+        values = np.minimum(values[:-step], values[step:])
+        width += step
+    return values
+
 
+class Block:
+    """Words of a block's texts, and of each window in one text its place, hash and anchor."""
 
-def _windows(texts: pa.Array, k: int):
-    """Words, the place of each window in one text, each distinct hash, the window's index to it, and whether it has two windows."""
-    w = textcore.words(texts)
-    h = textcore.window_hashes(textcore.word_hashes(w), k)
-    place = np.flatnonzero(textcore.in_one_text(w.doc_at, k, len(h)))
-    distinct, back, count = np.unique(h[place], return_inverse=True, return_counts=True)
-    return w, place, distinct, back, count > 1
+    def __init__(self, texts: pa.Array, k: int, m: int):
+        self.words = textcore.words(texts)
+        h = textcore.word_hashes(self.words)
+        windows, self.runs = textcore.window_hashes(h, k), textcore.window_hashes(h, m)
+        self.place = np.flatnonzero(textcore.in_one_text(self.words.doc_at, k, len(windows)))
+        self.hash = windows[self.place]
+        self.anchor = _least_of(self.runs, k - m + 1)[self.place] if len(windows) else windows
 
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct anchors, and which of them stand in two places or more."""
+        found = np.unique(self.anchor)
+        if not len(found):
+            return found, np.zeros(0, bool)
+        at = np.minimum(np.searchsorted(found, self.runs), len(found) - 1)
+        return found, np.bincount(at[found[at] == self.runs], minlength=len(found)) > 1
 
-def _blocking(block_bytes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            numbers = np.empty(len(batch), np.int64)
-            for i, size in enumerate(np.diff(textcore.flat(batch["text"])[1]).tolist()):
-                if held and held + size > block_bytes:
-                    block, held = block + 1, 0
-                numbers[i] = block
-                held += size
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["text"], pa.array(numbers)], ["doc_id", "text", "block"])
+
+def _rows(distinct: np.ndarray, twice: np.ndarray, table: pa.Table) -> pa.Table:
+    rows = np.concatenate([distinct, distinct[twice]]).view(np.int64)
+    block = table["block"][0].as_py() if len(table) else 0
+    return pa.table({"hash": pa.array(rows), "block": pa.array(np.full(len(rows), block, np.int64))})
+
+
+def _anchoring(k: int, m: int):
+    def run(table: pa.Table) -> pa.Table:
+        return _rows(*Block(table["text"], k, m).anchors(), table)
 
     return run
 
 
-def _hashing(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block = batch["block"].to_numpy()
-            ends = [*(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-            for lo, hi in zip([0, *ends], ends, strict=False):
-                if hi > lo:
-                    _, _, distinct, _, twice = _windows(batch["text"].slice(lo, hi - lo), k)
-                    rows = np.concatenate([distinct, distinct[twice]]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.full(len(rows), block[lo]))], ["hash", "block"])
+def _is_in(values: np.ndarray, some: pa.ChunkedArray) -> np.ndarray:
+    wanted = np.unique(some.to_numpy().view(np.uint64))
+    return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values if len(wanted) else np.zeros(len(values), bool)
+
+
+def _hashing(k: int, m: int):
+    def run(table: pa.Table, anchors: pa.Table) -> pa.Table:
+        block = Block(table["text"], k, m)
+        distinct, count = np.unique(block.hash[_is_in(block.anchor, anchors["hash"])], return_counts=True)
+        return _rows(distinct, count > 1, table)
 
     return run
 
 
-def window_rows(blocks: DataFrame, k: int) -> DataFrame:
-    """(hash, block): one row for each distinct window of a block, two for one that it has more than once."""
-    return blocks.select("text", "block").mapInArrow(_hashing(k), "hash long, block long")
+def repeated(rows: DataFrame) -> DataFrame:
+    """(block, hash) of the hashes that have two rows or more. Spark's window over a hash spills."""
+    counted = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash")))
+    return counted.where("n > 1").select("block", "hash")
 
 
 def covered(place: np.ndarray, k: int, n_words: int) -> np.ndarray:
@@ -74,13 +93,11 @@ def covered(place: np.ndarray, k: int, n_words: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _remover(k: int):
-    def remove(table: pa.Table, repeated: pa.Table) -> pa.Table:
-        w, place, distinct, back, _ = _windows(table.column("text"), k)
-        n = len(w.start)
-        hit = np.zeros(len(distinct), bool)
-        hit[np.searchsorted(distinct, repeated["hash"].to_numpy().view(np.uint64))] = True
-        gone = covered(place[hit[back]], k, n)
+def _remover(k: int, m: int):
+    def remove(table: pa.Table, hashes: pa.Table) -> pa.Table:
+        block = Block(table["text"], k, m)
+        w, n = block.words, len(block.words.start)
+        gone = covered(block.place[_is_in(block.hash, hashes["hash"])], k, n)
         change = np.diff(gone.astype(np.int8), prepend=0)
         begin = change == 1
         first = w.doc_at[:-1][w.counts > 0]
@@ -116,19 +133,36 @@ def _remover(k: int):
     return remove
 
 
-def dedup_substrings(docs: DataFrame, k: int = 35, block_bytes: int = 6 << 20) -> DataFrame:
+def in_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """doc_id, text and block, of which each has about block_bytes of text.
+
+    By the row's hash and its partition's number: equal rows of one partition share a block, so that repeated rows, however
+    many, are groups no larger than a partition of the input.
+    """
+    blocks = max(1, -(-utf8_total(docs) // block_bytes))
+    key = F.xxhash64("doc_id", "text", F.spark_partition_id())
+    return docs.select("doc_id", text_or_empty().alias("text")).withColumn("block", F.pmod(key, F.lit(blocks)))
+
+
+def candidate_rows(blocks: DataFrame, k: int, m: int) -> DataFrame:
+    """(hash, block) of the windows whose anchors repeat: one row for each distinct one, two for one that the block has more than once."""
+    anchors = repeated(blocks.groupBy("block").applyInArrow(_anchoring(k, m), _ROWS))
+    return blocks.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(_hashing(k, m), _ROWS)
+
+
+def dedup_substrings(docs: DataFrame, k: int = 35, block_bytes: int = 6 << 20, anchor_words: int | None = None) -> DataFrame:
     """Removes each word that a window of k words covers whose words also begin anywhere else in the table.
 
     Result: doc_id, n_words, n_removed, intervals (maximal, in words of the text) and kept_text (one space between words).
     Null and empty texts have no words and keep an empty text; a text of under k words has no window; repeated rows
     repeat each other's windows, so that both lose them; a null doc_id stays null; other columns are left out.
 
-    block_bytes bounds what one Python group reads of texts (a longer text is a block of its own). The rows of one hash
-    are at most two for each block, and Spark's window over them spills. Hashes have 64 bits: n windows give about
-    n*n/2**65 wrong pairs, 0.0003 for 10**8.
+    block_bytes bounds what one Python group reads of texts (a longer text fills its block). All three readings of the
+    blocks share one exchange. anchor_words (half of k) changes the rows sent, never the result. Hashes have 64 bits: n
+    windows give about n*n/2**65 wrong pairs, 0.0003 for 10**8.
     """
     bounded_batches(docs.sparkSession)
-    blocks = staged(docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_blocking(block_bytes), "doc_id long, text string, block long"), "substring-blocks")
-    counted = window_rows(blocks, k).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash")))
-    repeated = counted.where("n > 1").select("block", "hash")
-    return blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_remover(k), RESULT)
+    m = anchor_words or (k + 1) // 2
+    blocks = in_blocks(docs, block_bytes)
+    hashes = repeated(candidate_rows(blocks, k, m))
+    return blocks.groupBy("block").cogroup(hashes.groupBy("block")).applyInArrow(_remover(k, m), RESULT)

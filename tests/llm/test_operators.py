@@ -569,13 +569,21 @@ def test_rows_of_hashes_grow_with_windows(spark):
     for n in (40, 160):
         rows = [(i // 3, (passage + " " if i % 3 == 0 else "") + " ".join(f"w{rng.randrange(10**9)}" for _ in range(100))) for i in range(n)] + [(9, "same " * 60)] * n
         frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-        for size in (1 << 20, 3000):  # the rows don't depend on the number of blocks, but for what repeats
-            blocks = frame.select("doc_id", "text").mapInArrow(substring._blocking(size), "doc_id long, text string, block long")
-            windows = sum(max(0, len(t.split()) - 34) for _, t in rows)
-            assert n * 66 <= substring.window_rows(blocks, 35).count() <= windows
+        windows = sum(max(0, len(t.split()) - 34) for _, t in rows)
+        for size in (1 << 20, 3000):
+            blocks = substring.in_blocks(frame, size)
             assert size == 1 << 20 or blocks.select("block").distinct().count() > n / 20
-        found = substring.dedup_substrings(frame, 35, block_bytes=3000).collect()
-        assert bag((r.doc_id, r.n_removed) for r in found) == bag(r[:3:2] for r in brute_removed(rows, 35))
+            repeat = substring.candidate_rows(blocks, 35, 18)
+            assert 16 <= repeat.select("hash").distinct().count() <= repeat.count() <= windows / 2
+        for words in (1, 20, 35):
+            found = substring.dedup_substrings(frame, 35, block_bytes=3000, anchor_words=words).collect()
+            assert bag((r.doc_id, r.n_removed) for r in found) == bag(r[:3:2] for r in brute_removed(rows, 35))
+
+
+def test_repeated_rows_are_dealt_over_blocks(spark):
+    frame = spark.createDataFrame([(1, "one row " * 20)] * 400, "doc_id long, text string").repartition(8)
+    blocks = substring.in_blocks(frame, 1000)
+    assert blocks.groupBy("block").count().agg(F.max("count")).first()[0] <= 120
 
 
 # ---- 10 toxicity
