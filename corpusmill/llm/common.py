@@ -61,7 +61,7 @@ def staged_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, partition_by: str | None = None, path: str | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, partition_by: str | list[str] | None = None, path: str | None = None) -> DataFrame:
     """df, written to the shared folder and read back: lineage ends here, and a lost executor costs a reread.
 
     Into `path`, where it is given, beside the files that are there; these are read back too.
@@ -77,16 +77,14 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None, path: str
     return spark.read.schema(df.schema).parquet(path)
 
 
-def staged_in_order(df: DataFrame, order: list[Column], name: str, finer: int = 1, partition_by: str | None = None, path: str | None = None) -> DataFrame:
+def staged_in_order(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df dealt into ranges of `order`, sorted, and staged with `_mid`: ascending along that order over the whole table.
 
     Within one range the numbers have no gaps, so that a rank is `_mid` less the least of its range, plus the rows of
-    the ranges before it; these counts have one row for each range and group, whatever the table's size. Ranges have
-    equal rows: where the order puts large rows together, `finer` times as many keep the largest range small.
+    the ranges before it; these counts have one row for each range and group, whatever the table's size.
     """
-    ranges = [] if finer == 1 else [finer * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))]
-    ranged = df.repartitionByRange(*ranges, *order).sortWithinPartitions(*order)
-    return staged(ranged.withColumn("_mid", F.monotonically_increasing_id()), name, partition_by, path)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return staged(ranged.withColumn("_mid", F.monotonically_increasing_id()), name)
 
 
 def range_no(mid: Column | str = "_mid") -> Column:

@@ -1,19 +1,23 @@
-"""Resharding by minimum-cost flow: equal row counts with the fewest bytes moved, then only affected rows rewritten.
-
-Rows of an old shard are staged in order of size. A block is the rows of one old shard whose sizes have one power of
-two; blocks are as few as shards times powers, whatever the number of rows. On these the flow is solved: a row may stay
-in its shard for nothing, or move to any other for its bytes; every shard takes n / shards rows, and n mod shards of
-them one more. So each shard that gives up rows gives its smallest ones. What moves is cut into runs, one for each pair
-of shards. The layout is a folder for each shard. Files that lose rows are rewritten, what they lose goes to new files of
-the shards that gain it, and all other files stay as they are: afterwards the folder shard=j has the rows of j alone.
+"""Resharding by minimum-cost flow: equal row counts with the fewest bytes moved, then only affected files rewritten.
+
+An old shard that has too many rows gives its smallest ones. A new shard holds n / shards rows, and n mod shards of them
+one more, so that of each old shard only one row is in question: the largest of those that go if its shard isn't one with
+one more. So three blocks of each old shard (rows that stay, the row in question, rows that go) make the flow exact: its
+cost is the bytes moved, whatever the number of rows.
+
+Ranks are found on rows without texts: (old shard, size, hash, place in the layout). Where one run of an old shard's rows
+ends and the next begins is a key of that order; the runs' keys are as few as pairs of shards, and with them each task
+tells by itself where its rows go. Rows that move are dealt by their new shard; the rows that stay in a shard that loses
+some are rewritten where they are read; shards that lose none keep their files. The layout has a folder for each shard.
 """
 
 from __future__ import annotations
 
-from collections import deque
+from collections import defaultdict, deque
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import range_no, staged, staged_in_order, staged_path
 
@@ -65,41 +69,42 @@ class Flow:
                 self.room[e ^ 1] += step
 
 
-def plan(blocks: list[tuple[int, int, int, int]], shards: int) -> list[tuple[int, int, int, int, int]]:
-    """From (old shard, power, rows, bytes): runs (old shard, first rank, end rank, shard, first slot).
+def plan(rows: dict[int, int], edges: dict[int, int], shards: int) -> list[tuple[int, int, int, int]]:
+    """From the rows of each old shard and the size of its row in question: runs (old shard, first rank, end rank, shard).
 
-    Ranks are by size within an old shard, from 0. Old shards numbered from `shards` on give up all their rows.
+    Ranks are by size within an old shard, from 0. The row in question is that of rank rows - total // shards - 1, for old
+    shards of more than total // shards rows. Old shards that aren't 0 to shards - 1 give up all their rows.
     """
-    old = sorted({b[0] for b in blocks})
-    rows = {i: sum(b[2] for b in blocks if b[0] == i) for i in old}
-    total = sum(rows.values())
-    source, sink, pool, extra = 0, 1, 2, 3
-    shard, block = {j: 4 + j for j in range(shards)}, {b[:2]: 4 + shards + k for k, b in enumerate(blocks)}
-    flow, moves, takes = Flow(4 + shards + len(blocks)), {}, {}
-    for i, power, n, size in blocks:
-        flow.arc(source, block[i, power], n)
-        if i in shard:
-            flow.arc(block[i, power], shard[i], n)
-        moves[i, power] = flow.arc(block[i, power], pool, n, size / n)
-    for j, node in shard.items():
-        takes[j] = flow.arc(pool, node, total)
-        flow.arc(node, sink, total // shards)
-        flow.arc(node, extra, 1)
-    flow.arc(extra, sink, total % shards)
+    low, more = divmod(sum(rows.values()), shards)
+    source, sink, pool, extra = range(4)
+    node = {j: 4 + j for j in range(shards)}
+    flow, moves, takes = Flow(4 + shards + 3 * len(rows)), defaultdict(list), {}
+    for k, (i, n) in enumerate(sorted(rows.items())):
+        over = max(0, n - low) if i in node else n
+        edge = edges.get(i, 0) if i in node else 0
+        for part, (size, cost) in enumerate(((n - over, 1 + edge), (min(over, 1), edge), (max(0, over - 1), 0))):
+            block = 4 + shards + 3 * k + part
+            flow.arc(source, block, size)
+            if i in node:
+                flow.arc(block, node[i], size)
+            moves[i].append(flow.arc(block, pool, size, cost))
+    for j, at in node.items():
+        takes[j] = flow.arc(pool, at, low + 1)
+        flow.arc(at, sink, low)
+        flow.arc(at, extra, 1)
+    flow.arc(extra, sink, more)
     flow.solve(source, sink)
-    gone = {i: sum(flow.sent(e) for (at, _), e in moves.items() if at == i) for i in old}
-    stay = {j: rows.get(j, 0) - gone.get(j, 0) for j in shard}
-    runs = [(i, gone[i], rows[i], i, 0) for i in old if i in shard and gone[i] < rows[i]]
-    wanted = deque([j, flow.sent(e), stay[j]] for j, e in takes.items() if flow.sent(e))
-    for i in old:
+    gone = {i: sum(map(flow.sent, arcs)) for i, arcs in moves.items()}
+    runs = [(i, gone[i], n, i) for i, n in sorted(rows.items()) if gone[i] < n]
+    wanted = deque([j, flow.sent(e)] for j, e in takes.items() if flow.sent(e))
+    for i in sorted(rows):
         at = 0
         while at < gone[i]:
-            j, room, slot = wanted[0]
-            n = min(room, gone[i] - at)
-            runs.append((i, at, at + n, j, slot))
+            n = min(wanted[0][1], gone[i] - at)
+            runs.append((i, at, at + n, wanted[0][0]))
             at += n
-            wanted[0][1:] = [room - n, slot + n]
-            if n == room:
+            wanted[0][1] -= n
+            if not wanted[0][1]:
                 wanted.popleft()
     return runs
 
@@ -108,47 +113,92 @@ def utf8_size(column: str = "text") -> Column:
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long") + 8
 
 
+_KEY = "struct<size:bigint,hash:bigint,file:bigint,at:bigint>"
+
+
+def _key() -> Column:
+    """A total order of an old shard's rows: of equal size and hash, by their place in the layout."""
+    return F.struct("size", "hash", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+
+
+def write_layout(docs: DataFrame, old_shard: Column) -> str:
+    """The folder of a layout: row, size, hash and old_shard in shard=<old shard>/gen=0; a null old shard is -1.
+
+    Each task writes its rows of each shard, so that nothing is shuffled.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    old = F.coalesce(old_shard.cast("int"), F.lit(-1))
+    path = staged_path(docs.sparkSession, "reshard")
+    rows = docs.select(row, utf8_size().alias("size"), F.xxhash64("doc_id", "text").alias("hash"), old.alias("old_shard"), old.alias("shard"), F.lit(0).alias("gen"))
+    staged(rows, "reshard", ["shard", "gen"], path)
+    return path
+
+
+def _read(spark: SparkSession, path: str, row: StructType) -> DataFrame:
+    rest = StructType().add("size", "long").add("hash", "long").add("old_shard", "integer").add("shard", "integer").add("gen", "integer")
+    return spark.read.schema(StructType([StructField("row", row), *rest])).parquet(path)
+
+
+def move(spark: SparkSession, path: str, row: StructType, shards: int) -> None:
+    """Rewrites the layout at path (rows of type `row`) for so many shards, whose rows differ by one at most."""
+    layout = _read(spark, path, row).where("gen = 0")
+    order = [F.col("old_shard"), F.col("key")]
+    placed = staged_in_order(layout.select("old_shard", _key().alias("key")), order, "reshard-ranks")
+    # One row for each range and old shard.
+    ranges = placed.groupBy("old_shard", range_no().alias("range")).agg(F.min("_mid").alias("first"), F.count(F.lit(1)).alias("n")).orderBy("old_shard", "range").collect()
+    rows: dict[int, int] = defaultdict(int)
+    for r in ranges:
+        rows[r["old_shard"]] += r["n"]
+
+    def keys(ranks: list[tuple[int, int]]) -> dict[tuple[int, int], tuple]:
+        """Of these (old shard, rank), which are a few for each pair of shards at most."""
+        mid, left = {}, defaultdict(int)
+        for r in ranges:
+            for i, rank in ranks:
+                if i == r["old_shard"] and 0 <= rank - left[i] < r["n"]:
+                    mid[r["first"] + rank - left[i]] = (i, rank)
+            left[r["old_shard"]] += r["n"]
+        return {mid[r["_mid"]]: tuple(r["key"]) for r in placed.where(F.col("_mid").isin(list(mid))).collect()} if mid else {}
+
+    low = sum(rows.values()) // shards
+    asked = keys([(i, n - low - 1) for i, n in rows.items() if 0 <= i < shards and n > low])
+    runs = plan(rows, {i: key[0] for (i, _), key in asked.items()}, shards)
+    if all(i == j for i, _, _, j in runs):
+        return
+    ends = keys(sorted({(i, x) for i, a, b, _ in runs for x in (a, b) if 0 < x < rows[i]}))
+    cuts = spark.createDataFrame([(i, ends.get((i, a)), ends.get((i, b)), j) for i, a, b, j in runs], f"run_of int, from_key {_KEY}, to_key {_KEY}, to_shard int")
+    loses = sorted({i for i, _, _, j in runs if i != j})
+    # Runs are at most old and new shards together: known to be few, so broadcast.
+    keyed = layout.where(F.col("old_shard").isin(loses)).withColumn("key", _key())
+    within = (F.col("from_key").isNull() | (F.col("key") >= F.col("from_key"))) & (F.col("to_key").isNull() | (F.col("key") < F.col("to_key")))
+    dealt = keyed.join(F.broadcast(cuts), (F.col("old_shard") == F.col("run_of")) & within)
+    dealt = dealt.select("row", "size", "hash", "old_shard", F.col("to_shard").alias("shard"), F.lit(1).alias("gen"))
+    staged(dealt.where("shard = old_shard"), "reshard", ["shard", "gen"], path)
+    staged(dealt.where("shard <> old_shard").repartition("shard", F.pmod("hash", F.lit(8))), "reshard", ["shard", "gen"], path)
+    for i in loses:
+        _delete(spark, f"{path}/shard={i}/gen=0")
+
+
 def reshard(docs: DataFrame, old_shard: Column, shards: int) -> DataFrame:
     """Every row of docs as `row`, with size, old_shard, shard, slot and moved, read from the layout that results.
 
-    Row counts of the shards differ by one at most; slots of a shard are 0, 1, 2, ...: the rows that stay, by size, then
-    those that come. Size is the text's UTF-8 bytes plus 8 (null: 8). Equal rows are rows of their own; a null doc_id
-    sorts first; other columns are kept inside `row`. An empty table gives no rows.
+    Row counts of the shards differ by one at most; slots of a shard are 0, 1, 2, ... along its files. Size is the text's
+    UTF-8 bytes plus 8 (null: 8). Equal rows are rows of their own; null doc_ids and texts are values like others; a null
+    old shard, or one that isn't 0 to shards - 1, gives up all its rows; other columns are kept inside `row`. An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), utf8_size().alias("size"), old_shard.cast("int").alias("old_shard"))
-    sized = sized.withColumns({"shard": F.col("old_shard"), "slot": F.lit(None).cast("long")})
-    path = staged_path(spark, "reshard")
-    order = [F.col("old_shard"), F.col("size"), F.col("row.doc_id"), F.xxhash64("row.text")]
-    placed = staged_in_order(sized, order, "reshard", finer=3, partition_by="shard", path=path)
-    placed = placed.select("row", "size", "old_shard", "_mid", range_no().alias("range"), F.col("_metadata.file_path").alias("file"))
-    power = F.floor(F.log2("size")).cast("int")
-    blocks = placed.groupBy("old_shard", power.alias("power")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()  # shards times powers of two
-    runs = plan(sorted((b["old_shard"], b["power"], b["n"], b["bytes"]) for b in blocks), shards)
-    table = spark.createDataFrame(runs, "run_of int, rank_from long, rank_to long, shard int, first_slot long")
-    ahead = Window.partitionBy("old_shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = placed.groupBy("old_shard", "range").agg(F.min("_mid").alias("first"), F.count(F.lit(1)).alias("n"), F.collect_set("file").alias("files"))
-    ranges = ranges.select("first", "files", F.col("old_shard").alias("in_shard"), F.col("range").alias("in_range"), (F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("first")).alias("to_rank"))
-    # As many rows as ranges (staged files) and runs (at most one for each pair of shards): known to be few, so broadcast.
-    both = ranges.join(F.broadcast(table), F.col("in_shard") == F.col("run_of"))
-    spans = both.select("in_shard", "in_range", (F.col("rank_from") - F.col("to_rank")).alias("mid_from"), (F.col("rank_to") - F.col("to_rank")).alias("mid_to"), "shard", (F.col("first_slot") - F.col("rank_from") + F.col("to_rank")).alias("to_slot"), "first", "files").collect()
-    # A file stays if its first row does, as what a shard gives up comes before what it keeps.
-    stays = {(s.in_shard, s.in_range): s.to_slot for s in spans if s.shard == s.in_shard and s.mid_from <= s.first}
-    rest = [s for s in spans if (s.in_shard, s.in_range) not in stays]
-    named = "in_shard int, in_range long, mid_from long, mid_to long, shard int, to_slot long"
-    cuts = F.broadcast(spark.createDataFrame([tuple(s)[:6] for s in rest], named))
-    dealt = placed.join(cuts, (F.col("old_shard") == F.col("in_shard")) & (F.col("range") == F.col("in_range")) & (F.col("_mid") >= F.col("mid_from")) & (F.col("_mid") < F.col("mid_to")))
-    layout = staged(dealt.select("row", "size", "old_shard", "shard", (F.col("_mid") + F.col("to_slot")).alias("slot"), "_mid"), "reshard", "shard", path)
-    for file in {f for s in rest for f in s.files}:
-        _delete(spark, file)
-    # Read anew, from what is left. Rows of files that stayed have no slot in them: it follows from their file's ranks.
-    found = spark.read.schema(layout.schema).parquet(path)
-    kept = F.broadcast(spark.createDataFrame([(i, r, slot) for (i, r), slot in stays.items()], "in_shard int, in_range long, to_slot long"))
-    own = F.col("slot").isNull() & (F.col("shard") == F.col("in_shard")) & (range_no() == F.col("in_range"))
-    slot = F.coalesce("slot", F.col("_mid") + F.col("to_slot"))
-    return found.join(kept, own, "left").select("row", "size", "old_shard", "shard", slot.alias("slot"), (F.col("shard") != F.col("old_shard")).alias("moved"))
-
-
-def _delete(spark: SparkSession, file: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(file)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).schema["row"].dataType
+    path = write_layout(docs, old_shard)
+    move(spark, path, row, shards)
+    found = _read(spark, path, row).withColumns({"file": F.col("_metadata.file_path"), "at": F.col("_metadata.row_index")})
+    files = found.groupBy(F.col("shard").alias("of_shard"), F.col("file").alias("of_file")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("of_shard").orderBy("of_file").rowsBetween(Window.unboundedPreceding, -1)
+    bases = files.select("of_file", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    moved = (F.col("shard") != F.col("old_shard")).alias("moved")
+    return found.join(bases, F.col("file") == F.col("of_file")).select("row", "size", "old_shard", "shard", (F.col("base") + F.col("at")).alias("slot"), moved)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
