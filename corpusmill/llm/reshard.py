@@ -113,6 +113,7 @@ def utf8_size(column: str = "text") -> Column:
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long") + 8
 
 
+MOST_FILES = 250_000  # of a layout, whose first slots are broadcast: two numbers for each
 _KEY = "struct<size:bigint,hash:bigint,file:bigint,at:bigint>"
 
 
@@ -191,10 +192,12 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int) -> DataFrame:
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).schema["row"].dataType
     path = write_layout(docs, old_shard)
     move(spark, path, row, shards)
-    found = _read(spark, path, row).withColumns({"file": F.col("_metadata.file_path"), "at": F.col("_metadata.row_index")})
+    found = _read(spark, path, row).withColumns({"file": F.xxhash64("_metadata.file_path"), "at": F.col("_metadata.row_index")})
     files = found.groupBy(F.col("shard").alias("of_shard"), F.col("file").alias("of_file")).agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("of_shard").orderBy("of_file").rowsBetween(Window.unboundedPreceding, -1)
-    bases = files.select("of_file", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    bases = staged(files.select("of_file", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base")), "reshard-files")
+    if bases.count() <= MOST_FILES:
+        bases = F.broadcast(bases)
     moved = (F.col("shard") != F.col("old_shard")).alias("moved")
     return found.join(bases, F.col("file") == F.col("of_file")).select("row", "size", "old_shard", "shard", (F.col("base") + F.col("at")).alias("slot"), moved)
 
