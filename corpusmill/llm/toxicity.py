@@ -1,15 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become symbols: insult, threat, target, negation, reported speech, other, and the clause's end. Small transducers
-read them. From right to left, one turns insults and threats before a target into their faced form. From left to right,
-an insult machine and a threat machine turn what comes after a target into its aimed form, negation and reported speech
-turn a pattern that they reach into its weakened form, and the last gives each form its weight. Those from left to right
-are composed into one deterministic table; a clause's weight is the sum along its path. A threat without a target is no
-pattern and weighs next to nothing. An insult is one by itself, as most come from labels, and aimed on either side it
-weighs more. A document's score is the logistic of its heaviest clause and of the sum of its clauses.
-
-Insults are a short list of English words and the words and word beginnings that set toxic documents apart in a bounded
-sample of labelled rows, of which near copies count once; the logistic is fitted on the same rows.
+Words become symbols: insult, threat, target, negation, reported speech, link (articles, forms of to be and the like), other,
+and the clause's end. Small transducers read them. From right to left, one turns an insult or a threat that only links
+part from a target after it into its faced form. From left to right, an insult machine turns one that only links part
+from a target before it into its aimed form, a pair machine one that only links part from another insult into its paired
+form, a threat machine drops threats that face no target, negation and reported speech weaken a pattern that they reach,
+and the last machine gives each form its weight. Those from left to right are composed into one deterministic table; a
+clause's weight is the sum along its path. A word that stands in no pattern weighs a small part of itself, so that it
+makes no document toxic: it takes a pattern, or such words throughout the text.
+
+What a word weighs is how sure it is: half for the short list of English words, and for words and word beginnings that set
+toxic documents apart in a bounded sample of labelled rows (near copies count once), the share of toxic ones among the
+documents that have it. A document's score is the logistic of its heaviest clause and of the sum of its clauses, fitted
+on the same rows and on made-up rows that have one word in no pattern and are clean.
 """
 
 from __future__ import annotations
@@ -28,23 +31,24 @@ from pyspark.sql import types as T
 from . import textcore
 from .common import bounded_batches, staged, text_or_empty
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED, END = range(7)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED, LINK, END = range(8)
 # The words that the grammar knows before it has seen labels.
 WORDS = {
     INSULT: "clown disgusting dumb fool garbage idiot idiots imbecile loser losers moron morons pathetic scum stupid trash ugly useless vermin worthless",
     THREAT: "beat burn destroy hang hurt kill murder punch shoot stab strangle",
     TARGET: "you your yours yourself he him his she her they them their people tu vous toi du dich ihr sie usted ustedes",
     NEGATION: "not never no isn't aren't wasn't weren't don't doesn't didn't cannot can't neither nor nicht kein keine nunca jamais pas",
+    LINK: "is are am was were be been being a an the all such so really just total complete utter big little that and or est es un une le la les et der die das ein eine bist ist sind seid und eres son una el los las y",
     REPORTED: "said says say wrote writes claimed claims quoted reported told according called alleged dit sagte dijo",
 }
 _CLAUSE_END = frozenset(".!?;:")
 _EDGE = " \t\r\n.,;:!?\"'()[]{}<>|*-_#%&/\\«»„“”‘’¿¡"
 
 # Forms of a pattern, and what they weigh of its word's own weight.
-PLAIN, AIMED, WEAK, FACED = range(4)
+PLAIN, AIMED, WEAK, FACED, PAIRED = range(5)
 _WEIGHT = {
-    INSULT: {PLAIN: 1.0, AIMED: 1.4, WEAK: 0.25, FACED: 1.4},
-    THREAT: {PLAIN: 0.05, AIMED: 1.4, WEAK: 0.25, FACED: 1.0},
+    INSULT: {PLAIN: 0.3, AIMED: 1.5, WEAK: 0.1, FACED: 1.5, PAIRED: 1.0},
+    THREAT: {PLAIN: 0.05, AIMED: 0.05, WEAK: 0.1, FACED: 2.0, PAIRED: 0.05},
 }
 
 
@@ -55,20 +59,21 @@ class Transducer:
     moves: list[dict]
 
 
-def _reaching(trigger: int, reach: int, changed: dict) -> Transducer:
-    """After `trigger` and for `reach` symbols, symbols in `changed` come out changed."""
+_ALPHABET = [(s, form) for s in range(8) for form in range(5)]
+
+
+def _reaching(triggers: set[int], reach: int, changed: dict, passing: set[int] | None = None) -> Transducer:
+    """After a trigger and for `reach` symbols, or until one that isn't in `passing`, symbols in `changed` come out changed."""
     moves = []
     for left in range(reach + 1):
         row = {}
         for s in _ALPHABET:
-            row[s] = (0, s) if s[0] == END else (reach, s) if s[0] == trigger else (max(left - 1, 0), changed.get(s, s) if left else s)
+            after = reach if s[0] in triggers else 0 if passing is not None and s[0] not in passing else max(left - 1, 0)
+            row[s] = (0, s) if s[0] == END else (after, changed.get(s, s) if left else s)
         moves.append(row)
     return Transducer(moves)
 
 
-_ALPHABET = [(s, form) for s in range(7) for form in range(4)]
-
-
 def compose(first: Transducer, second: Transducer) -> Transducer:
     """second reads what first writes; only reachable pairs of states."""
     number, moves, todo = {(0, 0): 0}, [], [(0, 0)]
@@ -95,13 +100,16 @@ class Grammar:
 
 
 def grammar() -> Grammar:
-    ahead = _reaching(TARGET, 2, {(s, PLAIN): (s, FACED) for s in (INSULT, THREAT)})
-    insult, threat = (_reaching(TARGET, 4, {(s, f): (s, AIMED) for f in (PLAIN, FACED)}) for s in (INSULT, THREAT))
-    # A threat that stayed plain is no pattern: there is nothing to weaken.
-    weak = {(s, f): (s, WEAK) for s in (INSULT, THREAT) for f in (PLAIN, AIMED, FACED) if (s, f) != (THREAT, PLAIN)}
+    near = {LINK, INSULT, NEGATION}
+    ahead = _reaching({TARGET}, 3, {(s, PLAIN): (s, FACED) for s in (INSULT, THREAT)}, near | {THREAT})
+    insult = _reaching({TARGET}, 5, {(INSULT, f): (INSULT, AIMED) for f in (PLAIN, FACED)}, near)
+    pair = _reaching({INSULT}, 3, {(INSULT, PLAIN): (INSULT, PAIRED)}, near)
+    # A threat that faces no target is no pattern: there is nothing to weaken, nor to pair.
+    threat = Transducer([{s: (0, s if s[0] != THREAT or s[1] == FACED else (OTHER, PLAIN) if s[1] != PLAIN else s) for s in _ALPHABET}])
+    weak = {(s, f): (s, WEAK) for s in (INSULT, THREAT) for f in range(5) if (s, f) != (THREAT, PLAIN)}
     weights = Transducer([{(s, f): (0, _WEIGHT[s][f] if s in _WEIGHT else 0.0) for s, f in _ALPHABET}])
-    table = compose(insult, threat)
-    for machine in (_reaching(NEGATION, 3, weak), _reaching(REPORTED, 12, weak), weights):
+    table = compose(insult, pair)
+    for machine in (threat, _reaching({NEGATION}, 3, weak), _reaching({REPORTED}, 12, weak), weights):
         table = compose(table, machine)
     return Grammar(ahead, table)
 
@@ -112,9 +120,9 @@ class Model:
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
-    bias: float = -2.5
-    heaviest: float = 1.5
-    total: float = 0.5
+    bias: float = -4.0
+    heaviest: float = 4.0
+    total: float = 4.0
 
 
 def _tag(word: str, model: Model, fixed: dict[str, int]) -> tuple[int, float, bool]:
@@ -128,9 +136,10 @@ def _tag(word: str, model: Model, fixed: dict[str, int]) -> tuple[int, float, bo
         for n in range(min(len(bare), STEM_MAX), STEM_MIN - 1, -1):
             if bare[:n] in model.stems:
                 return INSULT, model.stems[bare[:n]], ends
-    return symbol, 3.0 if symbol in (INSULT, THREAT) else 0.0, ends
+    return symbol, PRIOR if symbol in (INSULT, THREAT) else 0.0, ends
 
 
+PRIOR = 0.5  # of the fixed words, before labels say more
 STEM_MIN, STEM_MAX = 3, 8
 _BATCH = 2 << 20
 _FIXED = {w: s for s, ws in WORDS.items() for w in ws.split()}
@@ -240,7 +249,7 @@ def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, lea
     """Lexicon from document counts: all features of clear gain and precision in what taken ones don't match already."""
     base = n_pos / (n_pos + n_neg)
     ranked = sorted(((_gain(p, neg.get(f, 0), base), len(f), f) for f, p in pos.items()), reverse=True)
-    model = Model(words={w: 3.0 for w in WORDS[INSULT].split()})
+    model = Model(words={w: PRIOR for w in WORDS[INSULT].split()})
     covered: dict[str, tuple[int, int]] = {}  # of each word beginning: what taken features that begin with it have counted
     for gain, _, f in ranked:
         if gain < least_gain:
@@ -255,17 +264,20 @@ def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, lea
             continue
         for t in starts:
             covered[t] = tuple(a + b for a, b in zip(covered.get(t, (0, 0)), (p, q), strict=True))
-        weight = min(6.0, math.log((p + 0.5) / (n_pos + 1)) - math.log((q + 0.5) / (n_neg + 1)))
+        weight = (p + 0.5) / (p + q + 1)
         (model.words if f.startswith("=") else model.stems)[bare] = weight
     return model
 
 
+_RIDGE = 0.01
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Coefficients by Newton's steps, with a little ridge."""
     b = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(b)), x.T @ (y - p) - 0.05 * b)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + _RIDGE * np.eye(len(b)), x.T @ (y - p) - _RIDGE * b)
         b += step
         if np.abs(step).max() < 1e-6:
             break
@@ -273,7 +285,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def features_of(heaviest: np.ndarray, total: np.ndarray) -> np.ndarray:
-    return np.stack([np.ones(len(heaviest)), np.minimum(heaviest, 10), np.log1p(total)], 1)
+    return np.stack([np.ones(len(heaviest)), np.minimum(heaviest, 3), np.log1p(total)], 1)
 
 
 def _measuring(model: Model, keep: list[str]):
@@ -298,13 +310,14 @@ def measure(texts: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return texts.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_measuring(model, [f.name for f in kept]), T.StructType([*kept, *made]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, least_gain: float = 18.0, precision: float = 0.4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, least_gain: float = 18.0, precision: float = 0.4, alone: float = 0.05) -> Model:
     """Learns from at most `rows` labelled rows that aren't held out: those of the least hash of doc_id.
 
     The sample's doc_ids, its features of clear support and two numbers of each document come to the driver, all bounded
-    by `rows`. Without labels, or with one class alone, the model is the fixed words with fixed coefficients.
+    by `rows`. Without labels, or with one class alone, the model is the fixed words with fixed coefficients. To each toxic
+    row come `alone` rows with one word in no pattern that are clean.
     """
-    plain = Model(words={w: 3.0 for w in WORDS[INSULT].split()})
+    plain = Model(words={w: PRIOR for w in WORDS[INSULT].split()})
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("labelled"), "labelled").limit(rows)
     joined = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled")).select(text_or_empty().alias("text"), "toxic")
@@ -326,8 +339,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, least_gain: floa
     model = choose(pos, neg, n_pos, n_neg, least_gain, precision)
     seen = measure(kept, model, ["toxic"]).select("toxic", "heaviest_clause", "clause_sum").toPandas()
     if (seen["heaviest_clause"] > 0).any():
-        x = features_of(seen["heaviest_clause"].to_numpy(), seen["clause_sum"].to_numpy())
-        model.bias, model.heaviest, model.total = map(float, _logistic(x, seen["toxic"].to_numpy().astype(float)))
+        one = np.full(math.ceil(alone * n_pos), _WEIGHT[INSULT][PLAIN])
+        x = features_of(np.append(seen["heaviest_clause"], one), np.append(seen["clause_sum"], one))
+        y = np.append(seen["toxic"], 0 * one).astype(float)
+        model.bias, model.heaviest, model.total = map(float, _logistic(x, y))
+        if model.heaviest < 0:  # more of a pattern never makes a text cleaner
+            model.bias, model.total = map(float, _logistic(x[:, [0, 2]], y))
+            model.heaviest = 0.0
     return model
 
 

@@ -594,28 +594,92 @@ def test_repeated_rows_are_dealt_over_blocks(spark):
 
 # ---- 10 toxicity
 
-def clause_weight(text, model=None):
-    model = model or toxicity.Model(words={w: 3.0 for w in toxicity.WORDS[toxicity.INSULT].split()})
-    return toxicity.clause_weights(pa.array([text]), model, toxicity.grammar())[0][0]
+PRIOR = toxicity.PRIOR
+
+
+def plain_model():
+    return toxicity.Model(words={w: PRIOR for w in toxicity.WORDS[toxicity.INSULT].split()})
 
 
-def test_clauses_weigh_by_their_pattern():
+def clause_weight(text, model=None):
+    return toxicity.clause_weights(pa.array([text]), model or plain_model(), toxicity.grammar())[0][0]
+
+
+def brute_weight(symbols):
+    """Of one clause, word by word: which pattern each stands in, by looking at its neighbours."""
+    near = {toxicity.LINK, toxicity.INSULT, toxicity.NEGATION}
+
+    def reached(i, kind, reach, step, passing=None):
+        for j in range(i + step, i + step * (reach + 1), step):
+            if not 0 <= j < len(symbols):
+                return False
+            if symbols[j] == kind:
+                return True
+            if passing is not None and symbols[j] not in passing:
+                return False
+        return False
+
+    total = 0.0
+    for i, s in enumerate(symbols):
+        if s not in (toxicity.INSULT, toxicity.THREAT):
+            continue
+        form = toxicity.FACED if reached(i, toxicity.TARGET, 3, 1, near | {toxicity.THREAT}) else toxicity.PLAIN
+        if s == toxicity.INSULT and reached(i, toxicity.TARGET, 5, -1, near):
+            form = toxicity.AIMED
+        if s == toxicity.INSULT and form == toxicity.PLAIN and reached(i, toxicity.INSULT, 3, -1, near):
+            form = toxicity.PAIRED
+        weakened = reached(i, toxicity.NEGATION, 3, -1) or reached(i, toxicity.REPORTED, 12, -1)
+        if weakened and (s, form) != (toxicity.THREAT, toxicity.PLAIN):
+            form = toxicity.WEAK
+        total += toxicity._WEIGHT[s][form] * PRIOR
+    return total
+
+
+def test_clauses_weigh_what_brute_force_says():
+    word = {toxicity.OTHER: "stone", toxicity.INSULT: "idiot", toxicity.THREAT: "kill", toxicity.TARGET: "you", toxicity.NEGATION: "not", toxicity.REPORTED: "said", toxicity.LINK: "the"}
+    rng = np.random.default_rng(9)
+    short = [list(x) for n in (1, 2, 3, 4) for x in itertools.product(word, repeat=n)]
+    long = [rng.choice(list(word), rng.integers(5, 25), p=[0.25, 0.2, 0.1, 0.1, 0.1, 0.05, 0.2]).tolist() for _ in range(2000)]
+    clauses = short + long
+    found = toxicity.clause_weights(pa.array([" ".join(word[s] for s in c) + "." for c in clauses]), plain_model(), toxicity.grammar())[0]
+    assert found == pytest.approx([brute_weight(c) for c in clauses])
+
+
+def test_scores_are_of_clauses_not_of_words(spark):
+    rows = ["idiot", "the idiot came", "these useless coupons were ugly", "he burned the garbage", "the garbage truck", "kill the process", "she said you are an idiot", "he is not an idiot", "you were never stupid", "I will beat the record",
+            "you idiot", "you are a pathetic loser", "idiot that you are", "I will kill you", "we shall burn all of it and hurt them", "what scum they are", "the worthless, stupid clown"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([], "doc_id int, toxic int"))
+    score = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert all(score[i] < 0.25 for i in range(10)), score
+    assert all(score[i] >= 0.5 for i in range(10, 17)), score
+
+
+def test_clauses_end_at_stops_and_lines():
     plain = clause_weight("the idiot came")
-    assert plain == 3.0
-    assert clause_weight("you idiot") > plain > clause_weight("he is not an idiot") > 0
-    assert clause_weight("she said idiot") < plain
-    assert clause_weight("she said so. Idiot") == plain  # the report ends with its clause
-    assert clause_weight("not so\nidiot") == plain
-    assert clause_weight("I will kill you") == 3.0 and clause_weight("you will kill") > 3.0
+    assert plain == 0.3 * PRIOR
+    assert clause_weight("she said so. Idiot") == clause_weight("not so\nidiot") == plain  # what weakens ends with its clause
     assert clause_weight("") == clause_weight("a fine day") == 0
 
 
-def test_a_threat_needs_a_target_on_either_side():
-    for clause in ("kill the process", "burn the toast", "do not kill the process", "kill the process before you leave"):
-        assert 0 < clause_weight(clause) < 0.2, clause
-    assert clause_weight("kill you") == clause_weight("we will kill all them") == 3.0
-    assert clause_weight("never kill you") == 0.75
-    assert clause_weight("idiot that you are") == clause_weight("you idiot") == pytest.approx(4.2)
+def test_learned_words_and_one_alone(spark):
+    import random
+
+    rng = random.Random(3)
+    prose = lambda n: ["".join(rng.choice("aeioubcd") for _ in range(5)) for _ in range(n)]
+    rows, labels = [], []
+    for d in range(500):
+        w = prose(60)
+        if d % 5 == 0:  # three such words, far from each other
+            for at in (5, 25, 45):
+                w[at] = rng.choice(["vroxlan", "vroxles"])
+        rows.append((d, " ".join(w)))
+        labels.append((d, int(d % 5 == 0)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    asked = spark.createDataFrame([(1, " ".join([*prose(30), "vroxlan", *prose(30)])), (2, "you vroxlan"), (3, " ".join([*prose(20), "vroxlan", *prose(20), "vroxles", *prose(20), "vroxlan"]))], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in toxicity.score(asked, model).collect()}
+    assert score[1] < 0.4 and score[2] > 0.5 and score[3] > 0.9
 
 
 def test_threats_without_a_target_stay(spark):
@@ -626,7 +690,7 @@ def test_threats_without_a_target_stay(spark):
 
 def test_stems_are_word_beginnings():
     model = toxicity.Model(stems={"grob": 4.0})
-    assert clause_weight("ein Grobian, der", model) == 4.0 and clause_weight("un grob", model) == 4.0 and clause_weight("angrob", model) == 0
+    assert clause_weight("ein Grobian, der", model) == clause_weight("xx grob", model) == pytest.approx(1.2) and clause_weight("angrob", model) == 0
 
 
 def test_lexicon_leaves_out_only_what_is_matched():
