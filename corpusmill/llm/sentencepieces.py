@@ -1,12 +1,14 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers over the tropical semiring.
 
-Three machines are compiled from a model: the normaliser (a mark before the text and for each space), the pieces (a trie
-whose final states write a piece), and the byte fallback (a character that no piece spells writes its bytes). Each input
-is composed with them, and its ids are those of the shortest path.
+Three machines are compiled from a model file: the normaliser (the file's character map as longest-match rewriting, its
+rules for spaces, a mark before the text and for each space), the pieces (a trie whose final states write a piece), and
+the byte fallback (a character that no piece spells writes its bytes). A text goes through the first; each segment of what
+comes out is composed with the union of the other two as far as the search asks, and its ids are those of the shortest path.
 
 Weights: a unigram model's arc weighs the piece's negative score. A merge model (BPE) has no additive score, so there the
-machine's states remember the last piece, and the arc to the next weighs 0 if merging the two pieces' characters gives
-just these two, and infinity otherwise. Merging is local, so exactly one path has a finite weight: the merges' result.
+composed machine's states remember the last piece, and the arc to the next weighs 0 if merging the two pieces' characters
+gives just these two, and infinity otherwise. Merging is local, so exactly one path has a finite weight: the merges'
+result. One search serves both: states come out by weight, then the furthest first.
 
 The pieces never cross the place before a mark that follows another character, nor a line break that no piece spells;
 texts are cut there, and each distinct segment is solved once.
@@ -14,8 +16,10 @@ texts are cut there, and each distinct segment is solved once.
 
 from __future__ import annotations
 
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +34,10 @@ _INF = float("inf")
 _BATCH = 2 << 20
 
 
-def model_kind(path: str) -> str:
-    """bpe or unigram, as the model file says; ValueError for a model with other rules than the machines here have.
+def read_model(path: str):
+    """The model file's message; ValueError for a model with other rules than the machines here have.
 
-    Those are: no character map, a mark before the text and for each space, all spaces kept, bytes for unknown
-    characters, and no pieces of the user's own.
+    Those are: marks for spaces, bytes for unknown characters, and no pieces of the user's own.
     """
     from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
@@ -42,19 +45,135 @@ def model_kind(path: str) -> str:
     with open(path, "rb") as file:
         model.ParseFromString(file.read())
     normal, trained, piece = model.normalizer_spec, model.trainer_spec, ModelProto.SentencePiece
+    unigram = trained.model_type == trained.UNIGRAM
     bad = {
-        "a character map": bool(normal.precompiled_charsmap or normal.normalization_rule_tsv or model.denormalizer_spec.precompiled_charsmap),
-        "no mark before the text": not normal.add_dummy_prefix,
-        "extra spaces removed": normal.remove_extra_whitespaces,
+        "rules of its own for decoding": bool(model.denormalizer_spec.precompiled_charsmap),
         "spaces without a mark": not normal.escape_whitespaces,
         "marks after words": trained.treat_whitespace_as_suffix,
         "no bytes for unknown characters": not trained.byte_fallback or sum(x.type == piece.BYTE for x in model.pieces) != 256,
         "user-defined or unused pieces": any(x.type in (piece.USER_DEFINED, piece.UNUSED) for x in model.pieces),
         "neither merges nor additive scores": trained.model_type not in (trained.BPE, trained.UNIGRAM),
+        "scores above 0": unigram and any(x.type == piece.NORMAL and x.score > 0 for x in model.pieces),
     }
     if any(bad.values()):
         raise ValueError(f"{path}: not built for a model with {', '.join(k for k, v in bad.items() if v)}")
-    return "bpe" if trained.model_type == trained.BPE else "unigram"
+    return model
+
+
+def _charsmap(data: bytes) -> dict[bytes, bytes]:
+    """What a precompiled character map rewrites: a double array of 32-bit units, then texts that end in a zero byte."""
+    if not data:
+        return {}
+    size = struct.unpack_from("<I", data)[0]
+    units, texts = np.frombuffer(data, "<u4", size // 4, 4).tolist(), data[4 + size :]
+
+    def children(at: int) -> int:
+        return at ^ (units[at] >> 10 << ((units[at] & 0x200) >> 6))
+
+    found, todo = {}, [(0, b"")]
+    while todo:
+        at, key = todo.pop()
+        base = children(at)
+        if units[at] & 0x100 and key:
+            start = units[base] & 0x7FFFFFFF
+            found[key] = texts[start : texts.index(b"\0", start)]
+        for c in range(1, 256):
+            if base ^ c < len(units) and units[base ^ c] & 0x800000FF == c:
+                todo.append((base ^ c, key + bytes([c])))
+    return found
+
+
+class Normaliser:
+    """A deterministic transducer over bytes: the longest rule that fits is written, else a character as it is.
+
+    Spaces stand for marks until a segment is solved. `squeeze`: runs of spaces are one, and none begins or ends a text.
+    """
+
+    def __init__(self, rules: dict[bytes, bytes], prefix: bool, squeeze: bool):
+        self.prefix, self.squeeze = prefix, squeeze
+        self.trie: list[dict[int, int]] = [{}]
+        self.write: list[bytes | None] = [None]
+        for key, text in rules.items():
+            state = 0
+            for c in key:
+                if c not in self.trie[state]:
+                    self.trie[state][c] = len(self.trie)
+                    self.trie.append({})
+                    self.write.append(None)
+                state = self.trie[state][c]
+            self.write[state] = text
+
+    def _step(self, data: bytes, at: int) -> tuple[bytes, int]:
+        """What is written for the input from `at` on, and where the rest begins."""
+        state, out, stop = 0, None, at
+        for i in range(at, len(data)):
+            state = self.trie[state].get(data[i], -1)
+            if state < 0:
+                break
+            if self.write[state] is not None:
+                out, stop = self.write[state], i + 1
+        if out is None:
+            stop = at + (1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4)
+            out = data[at:stop]
+        return out, stop
+
+    def one(self, data: bytes) -> bytes:
+        out, at, space = [], 0, self.squeeze
+        while at < len(data):
+            text, at = self._step(data, at)
+            while space and text.startswith(b" "):
+                text = text[1:]
+            if text:
+                out.append(text)
+                space = self.squeeze and text.endswith(b" ")
+        text = b"".join(out)
+        if self.squeeze:
+            while text.endswith((b" ", MARK.encode())):
+                text = text[:-1] if text.endswith(b" ") else text[: -len(MARK.encode())]
+            if not text:
+                return b""
+        return b" " + text if self.prefix and data else text
+
+    def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes and offsets of the normalised texts; without rules only the mark before a text is new."""
+        if len(self.trie) == 1 and not self.squeeze:
+            full = (np.diff(at) > 0) & self.prefix
+            return np.insert(data, at[:-1][full], 32), np.append(0, np.cumsum(np.diff(at) + full))
+        texts = [self.one(data[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+        return np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64))
+
+
+State = tuple[int, int | None]  # the place in the segment, and the last piece where the machine remembers it
+
+
+def shortest_path(arcs: Callable[[State], list], end: int, weigh: Callable[[State, int], float] | None = None) -> list[int]:
+    """What the lightest path from (0, None) to a state at `end` writes.
+
+    arcs gives (weight, next state, output) of a state, no weight below 0. Where the true weight is dear, that is a lower
+    bound, and weigh(state, output) gives the truth when the arc's turn comes. Of equal paths that with the longer last
+    piece is taken.
+    """
+    came: dict[State, tuple[State | None, int]] = {}
+    heap: list = [(0.0, 0, 0, (0, -1), None, -1)]
+    while heap:
+        total, depth, at, state, before, out = heappop(heap)
+        if state in came:
+            continue
+        if weigh and before is not None:
+            total += weigh(before, out)
+            if total == _INF:
+                continue
+        came[state] = (before, out)
+        if -depth == end:
+            path = []
+            while before is not None:
+                path.append(out)
+                before, out = came[before]
+            return path[::-1]
+        for weight, to, piece in arcs(state):
+            if to not in came:
+                heappush(heap, (total + weight, -to[0], -depth, to, state, piece))
+    raise ValueError("no path")
 
 
 class Machine:
@@ -62,9 +181,9 @@ class Machine:
 
     _loaded: dict[tuple[str, str | None], "Machine"] = {}
 
-    def __init__(self, pieces: list[tuple[str, float, str]], kind: str):
+    def __init__(self, pieces: list[tuple[str, float, str]], kind: str, normaliser: Normaliser | None = None):
         """pieces: (text, score, type: normal, byte, or anything else for pieces that no text spells), by id."""
-        self.kind = kind
+        self.kind, self.normaliser = kind, normaliser or Normaliser({}, True, False)
         self.trie: list[dict[str, int]] = [{}]
         self.final: list[int] = [-1]
         self.score: dict[str, float] = {}
@@ -98,14 +217,13 @@ class Machine:
     def of(cls, path: str, kind: str | None = None) -> "Machine":
         """From a model file, which also says its kind; ValueError if that isn't the one asked for."""
         if (path, kind) not in cls._loaded:
-            found = model_kind(path)
+            model = read_model(path)
+            found = "unigram" if model.trainer_spec.model_type == model.trainer_spec.UNIGRAM else "bpe"
             if kind not in (None, found):
                 raise ValueError(f"{path}: a {found} model, not {kind}")
-            from sentencepiece import SentencePieceProcessor
-
-            model = SentencePieceProcessor(model_file=path)
-            rest = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
-            cls._loaded[path, kind] = cls([(model.id_to_piece(i), model.get_score(i), "byte" if model.is_byte(i) else "other" if rest(i) else "normal") for i in range(len(model))], found)
+            normal, types = model.normalizer_spec, {1: "normal", 6: "byte"}
+            normaliser = Normaliser(_charsmap(normal.precompiled_charsmap), normal.add_dummy_prefix, normal.remove_extra_whitespaces)
+            cls._loaded[path, kind] = cls([(x.piece, x.score, types.get(x.type, "other")) for x in model.pieces], found, normaliser)
         return cls._loaded[path, kind]
 
     def merged(self, text: str) -> list[str]:
@@ -147,47 +265,14 @@ class Machine:
             found = self.together[before, piece] = self.merged("".join(parts)) == parts
         return found
 
-    def _only_path(self, text: str) -> list[int]:
-        """Weights are 0 or infinity: the first path found, longest pieces first, is the shortest."""
-        n, last, seen = len(text), None, set()
-        todo, path = [self._arcs(text, 0)], []
-        while True:
-            arcs = todo[-1]
-            while arcs:
-                end, piece = arcs.pop()
-                if (end, piece) not in seen and self._follows(last, piece):
-                    seen.add((end, piece))
-                    break
-            else:
-                todo.pop()
-                path.pop()
-                last = path[-1] if path else None
-                continue
-            path.append(piece)
-            if end == n:
-                return path
-            last = piece
-            todo.append(self._arcs(text, end))
-
-    def _lightest_path(self, text: str) -> list[int]:
-        """Weights add up along the path; of equal paths the one with the longer last piece."""
-        n = len(text)
-        best: list[tuple[float, int, int]] = [(_INF, 0, 0)] * n + [(_INF, 0, 0)]
-        best[0] = (0.0, 0, 0)
-        for at in range(n):
-            for end, piece in self._arcs(text, at):
-                total = best[at][0] - (self.score[self.text[piece]] if piece >= 0 else self.lowest)
-                if total < best[end][0]:
-                    best[end] = (total, at, piece)
-        path, at = [], n
-        while at:
-            _, at, piece = best[at]
-            path.append(piece)
-        return path[::-1]
-
     def shortest(self, text: str) -> list[int]:
-        """Ids along the shortest path for a normalised text that isn't empty."""
-        path = self._lightest_path(text) if self.kind == "unigram" else self._only_path(text)
+        """Ids along the shortest path for a normalised segment that isn't empty."""
+        if self.kind == "unigram":
+            weight = lambda p: -self.score[self.text[p]] if p >= 0 else -self.lowest
+            path = shortest_path(lambda s: [(weight(p), (end, -1), p) for end, p in self._arcs(text, s[0])], len(text))
+        else:
+            last = lambda s: s[1] if s[0] else None
+            path = shortest_path(lambda s: [(0.0, x, x[1]) for x in self._arcs(text, s[0])], len(text), lambda s, p: 0.0 if self._follows(last(s), p) else _INF)
         if min(path) >= 0:
             return path
         return [i for p in path for i in ([p] if p >= 0 else self.byte[list(chr(-1 - p).encode())].tolist())]
@@ -199,11 +284,12 @@ class Machine:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids and len+1 offsets; an empty text has none."""
         data, at = textcore.flat(texts)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        data, at = self.normaliser(data, at)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         full = np.diff(at) > 0
-        data = np.insert(data, at[:-1][full], 32)  # the normaliser's mark before a text
-        at = np.append(0, np.cumsum(np.diff(at) + full))
         cut = np.zeros(len(data), bool)
         if not self.inside:
             mark = (data == 0x81) & (np.roll(data, 1) == 0x96) & (np.roll(data, 2) == 0xE2)
@@ -219,9 +305,11 @@ class Machine:
         return out, out_at[np.searchsorted(segment_at, at)]
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of all texts and offsets: what the pieces spell, without the mark before the text."""
+        """Bytes of all texts and offsets: what the pieces spell, without the mark that the normaliser puts before a text."""
         data, data_at = textcore.ragged_take(self.spelled, self.spelled_at, ids)
         text_at = data_at[at]
+        if not (self.normaliser.prefix or self.normaliser.squeeze):
+            return data, text_at
         full = np.flatnonzero(np.diff(text_at))
         drop = text_at[full][data[text_at[full]] == 32]
         keep = np.ones(len(data), bool)
@@ -253,7 +341,7 @@ def encode(docs: DataFrame, model_path: str, kind: str | None = None, keep: tupl
     """The kept columns, and ids: array<int>; with check, also whether the ids decode to the text (`exact`).
 
     Null and empty texts have no ids; repeated rows stay; other columns go. A text with the mark's own character is
-    encoded as the library does it, and decodes to a space there.
+    encoded as the library does it, and decodes to a space there; what a model's normaliser changes stays changed.
     """
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     bounded_batches(docs.sparkSession)

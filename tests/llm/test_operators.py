@@ -138,41 +138,83 @@ def test_additive_weights_take_the_lightest_path():
     assert machine.shortest("▁é") == [1, 7 + 0xC3, 7 + 0xA9]
 
 
-def test_models_with_other_rules_raise(tmp_path):
+def changed_model(folder, name, change):
+    """The public vocabulary with other rules."""
     from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
-    whole = ModelProto()
+    model = ModelProto()
     with open(vocabularies.path("piece_bpe_32k.model"), "rb") as file:
-        whole.ParseFromString(file.read())
+        model.ParseFromString(file.read())
+    change(model)
+    (folder / name).write_bytes(model.SerializeToString())
+    return str(folder / name)
 
-    def changed(name, change):
-        model = ModelProto()
-        model.CopyFrom(whole)
-        change(model)
-        (tmp_path / name).write_bytes(model.SerializeToString())
-        return str(tmp_path / name)
 
+def test_models_with_other_rules_raise(tmp_path):
     for k, (change, says) in enumerate([
-        (lambda m: setattr(m.normalizer_spec, "precompiled_charsmap", b"map"), "character map"), (lambda m: setattr(m.normalizer_spec, "add_dummy_prefix", False), "no mark"),
-        (lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True), "extra spaces"), (lambda m: setattr(m.pieces[300], "type", 4), "user-defined"),
+        (lambda m: setattr(m.denormalizer_spec, "precompiled_charsmap", b"map"), "decoding"), (lambda m: setattr(m.normalizer_spec, "escape_whitespaces", False), "without a mark"),
+        (lambda m: setattr(m.trainer_spec, "treat_whitespace_as_suffix", True), "after words"), (lambda m: setattr(m.pieces[300], "type", 4), "user-defined"),
         (lambda m: setattr(m.trainer_spec, "model_type", 3), "neither"), (lambda m: setattr(m.trainer_spec, "byte_fallback", False), "no bytes"),
     ]):
         with pytest.raises(ValueError, match=says):
-            sentencepieces.Machine.of(changed(f"{k}.model", change))
+            sentencepieces.Machine.of(changed_model(tmp_path, f"{k}.model", change))
     with pytest.raises(ValueError, match="bpe model"):
-        sentencepieces.Machine.of(changed("same.model", lambda m: None), "unigram")
-
+        sentencepieces.Machine.of(changed_model(tmp_path, "same.model", lambda m: None), "unigram")
+
+
+def charsmap_of(rules):
+    """A precompiled character map of these rules: each state's children at a block of 256 units of its own."""
+    trie, texts = {}, b""
+    for key, text in rules.items():
+        state = trie
+        for c in key.encode():
+            state = state.setdefault(c, {})
+        state[0] = len(texts)
+        texts += text.encode() + b"\0"
+    units, todo, free = {0: 0}, [(trie, 0)], 256
+    while todo:
+        state, at = todo.pop()
+        base, free = free, free + 256
+        offset = at ^ base
+        assert offset < 1 << 21
+        units[at] = units.get(at, 0) | offset << 10 | (0x100 if 0 in state else 0)
+        for c, child in state.items():
+            if c:
+                units[base ^ c] = c
+                todo.append((child, base ^ c))
+            else:
+                units[base] = 0x80000000 | child
+    data = np.zeros(free, "<u4")
+    for at, unit in units.items():
+        data[at] = unit
+    return len(data.tobytes()).to_bytes(4, "little") + data.tobytes() + texts
+
+
+RULES = {"ﬁ": "fi", "Ａ": "A", "\u3000": " ", "\t": " ", "e\u0301": "é", "e": "e", "\u200b": "", "½": "1/2", "ａｂ": "AB", "ａ": "a"}
+
+
+@pytest.mark.parametrize("kind", ["bpe", "unigram"])
+@pytest.mark.parametrize(("prefix", "squeeze", "rules"), [(True, False, {}), (False, False, {}), (True, True, {}), (False, True, RULES), (True, True, RULES), (True, False, RULES)])
+def test_other_models_are_the_librarys(tmp_path, docs, kind, prefix, squeeze, rules):
+    from sentencepiece import SentencePieceProcessor
 
-def test_the_file_says_the_kind(tmp_path, docs):
-    from sentencepiece import SentencePieceProcessor, SentencePieceTrainer
+    def change(m):
+        m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = prefix, squeeze
+        m.normalizer_spec.precompiled_charsmap = charsmap_of(rules) if rules else b""
+        if kind == "unigram":  # the vocabulary's ranks as additive scores
+            m.trainer_spec.model_type = 1
+            for x in m.pieces:
+                x.score = -10 - min(abs(x.score), 32000) // 16 / 64  # sums are exact in single precision
 
-    texts = [t for r in docs.limit(40).collect() for t in r.text.split("\n") if t.strip()]
-    SentencePieceTrainer.train(sentence_iterator=iter(texts), model_prefix=str(tmp_path / "uni"), model_type="unigram", vocab_size=600, byte_fallback=True, normalization_rule_name="identity", remove_extra_whitespaces=False, hard_vocab_limit=False)
-    path = str(tmp_path / "uni.model")
+    path = changed_model(tmp_path, "m.model", change)
     machine, library = sentencepieces.Machine.of(path), SentencePieceProcessor(model_file=path)
-    assert machine.kind == "unigram"
-    ids, at = machine.encode(pa.array(texts[:50]))
-    assert [ids[a:b].tolist() for a, b in itertools.pairwise(at)] == [library.encode(t) for t in texts[:50]]
+    assert machine.kind == kind
+    texts = [r.text for r in docs.limit(30).collect()] + ["", " ", "  a  b ", "ﬁne Ａａｂａ\u3000 \t½ e\u0301e", " \u200b ", "a\u200bb \x00", "x\u3000", "▁ a▁b", "é😀\n\n b"]
+    ids, at = machine.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(at)] == [library.encode(t) for t in texts]
+    data, text_at = machine.decode(ids.astype(np.int64), at)
+    decoded = [data[a:b].tobytes().decode(errors="replace") for a, b in itertools.pairwise(text_at)]
+    assert [d for d, t in zip(decoded, texts, strict=True) if "▁" not in t] == [library.decode(library.encode(t)) for t in texts if "▁" not in t]
 
 
 # ---- 3 fingerprints
