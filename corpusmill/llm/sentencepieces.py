@@ -143,36 +143,29 @@ class Normaliser:
         return np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64))
 
 
-State = tuple[int, int | None]  # the place in the segment, and the last piece where the machine remembers it
+def shortest_path(arcs: Callable[[int], list], end: int, weight: Callable[[int], float] | None, follows: Callable[[int | None, int], bool] | None) -> list[int]:
+    """The outputs along the lightest path from place 0 to `end`; arcs gives (place, output) of the arcs at a place.
 
-
-def shortest_path(arcs: Callable[[State], list], end: int, weigh: Callable[[State, int], float] | None = None) -> list[int]:
-    """What the lightest path from (0, None) to a state at `end` writes.
-
-    arcs gives (weight, next state, output) of a state, no weight below 0. Where the true weight is dear, that is a lower
-    bound, and weigh(state, output) gives the truth when the arc's turn comes. Of equal paths that with the longer last
-    piece is taken.
+    An arc weighs weight(output), which is never below 0 (None: 0); with `follows` states remember the last output, and an
+    arc weighs infinity if it may not follow that. As this is dear, it is asked when an arc's turn comes. Of equal paths
+    that with the longer last output is taken.
     """
-    came: dict[State, tuple[State | None, int]] = {}
-    heap: list = [(0.0, 0, 0, (0, -1), None, -1)]
+    came: dict = {}
+    heap: list = [(0.0, 0, 0, None, None)]
     while heap:
-        total, depth, at, state, before, out = heappop(heap)
-        if state in came:
+        total, place, _, out, before = heappop(heap)
+        state = (place, out) if follows else place
+        if state in came or follows and before and not follows(before[1], out):
             continue
-        if weigh and before is not None:
-            total += weigh(before, out)
-            if total == _INF:
-                continue
-        came[state] = (before, out)
-        if -depth == end:
+        came[state] = before, out
+        if -place == end:
             path = []
             while before is not None:
                 path.append(out)
                 before, out = came[before]
             return path[::-1]
-        for weight, to, piece in arcs(state):
-            if to not in came:
-                heappush(heap, (total + weight, -to[0], -depth, to, state, piece))
+        for stop, piece in arcs(-place):
+            heappush(heap, (total + weight(piece) if weight else 0.0, -stop, -place, piece, state))
     raise ValueError("no path")
 
 
@@ -268,11 +261,9 @@ class Machine:
     def shortest(self, text: str) -> list[int]:
         """Ids along the shortest path for a normalised segment that isn't empty."""
         if self.kind == "unigram":
-            weight = lambda p: -self.score[self.text[p]] if p >= 0 else -self.lowest
-            path = shortest_path(lambda s: [(weight(p), (end, -1), p) for end, p in self._arcs(text, s[0])], len(text))
+            path = shortest_path(lambda at: self._arcs(text, at), len(text), lambda p: -self.score[self.text[p]] if p >= 0 else -self.lowest, None)
         else:
-            last = lambda s: s[1] if s[0] else None
-            path = shortest_path(lambda s: [(0.0, x, x[1]) for x in self._arcs(text, s[0])], len(text), lambda s, p: 0.0 if self._follows(last(s), p) else _INF)
+            path = shortest_path(lambda at: self._arcs(text, at), len(text), None, self._follows)
         if min(path) >= 0:
             return path
         return [i for p in path for i in ([p] if p >= 0 else self.byte[list(chr(-1 - p).encode())].tolist())]
