@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import grading
+from corpusmill.operators import grading, retrieval, splitting
+from corpusmill.operators.staging import numbered
 
 MIN_ANCHORS = 2
 GATE_SHARE = 0.8
@@ -132,6 +133,56 @@ def generator(client: Callable[[list[str]], list[str]]) -> Callable[[Column], Co
     return generate
 
 
+def dispatched(backend: str, clients: dict[str, Callable[[str, list[str]], list[str]]]) -> Callable[[list[str]], list[str]]:
+    """The client of a backend `provider:model`: clients maps a provider to a function of the model and prompts. ValueError for an unknown one."""
+    provider, _, model = backend.partition(":")
+    if provider not in clients:
+        raise ValueError(f"unknown backend provider: {provider!r} (known: {', '.join(sorted(clients))})")
+    return lambda prompts: clients[provider](model, prompts)
+
+
+def authored(cached: DataFrame, fresh: DataFrame, again: bool = False) -> DataFrame:
+    """Items by building: the cached ones where a building has any (unless `again`), else the fresh ones."""
+    if again:
+        return fresh
+    return cached.unionByName(fresh.join(cached.select("building").distinct(), "building", "left_anti"))
+
+
+def grounded_training(items: DataFrame, chunks: DataFrame, heads: DataFrame, system_prompt: str, generate: Callable[[Column], Column], budget: int = retrieval.BUDGET) -> DataFrame:
+    """Authored items (building, id, intent, persona, source, question, anchors) to demonstrations: the slice of its
+    building that each question needs, the gates and the generated answer. Ids are unique."""
+    asked = items.select(F.col("id").alias("question_id"), F.col("building").alias("corpus_id"), "question")
+    slices = retrieval.retrieve(asked, chunks, heads, budget).select(F.col("question_id").alias("id"), "slice")
+    found = grounding_gate(items.join(slices, "id"), system_prompt, generate)
+    return found.join(items.select("id", "building"), "id")
+
+
+def gate_counts(items: DataFrame, kept: DataFrame) -> DataFrame:
+    """(building, authored, kept, dropped)."""
+    every = items.groupBy("building").agg(F.count(F.lit(1)).alias("authored"))
+    left = kept.groupBy("building").agg(F.count(F.lit(1)).alias("kept"))
+    both = every.join(left, "building", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    return both.withColumn("dropped", F.col("authored") - F.col("kept"))
+
+
+_QUIZ = "q string, choices array<string>, answer string"
+
+
+def corpus_quiz(docs: DataFrame, generate: Callable[[Column], Column], n: int = 40, windows: int = 1, strict: bool = False) -> DataFrame:
+    """(id, topic, q, choices, answer, src): questions on passages of a sample of (id, topic, text); replies without four choices and a letter go."""
+    picked = splitting.quiz_windows(splitting.systematic_sample(docs, n, F.col("id")), windows)
+    asked = picked.withColumn("reply", generate(F.concat(F.lit("PASSAGE:\n"), F.col("passage"))))
+    read = asked.withColumn("v", F.from_json(T.json_object_text(F.col("reply")), _QUIZ))
+    valid = read.where(F.col("v").isNotNull() & grading.choices_valid(F.col("v.choices"), F.col("v.answer"), strict))
+    return valid.select(quiz_id(F.col("j"), F.col("w")).alias("id"), "topic", "v.q", "v.choices", "v.answer", F.col("id").alias("src"))
+
+
+def augment(docs: DataFrame, generate: Callable[[Column], Column], n: int | None = None) -> DataFrame:
+    """`augmented` of the first n of (id, topic, text) by id (None or 0: all), with the generator's replies to their bodies."""
+    rows = numbered(docs, F.col("id")).where(F.col("i") < n).drop("i") if n else docs
+    return augmented(rows.withColumn("reply", generate(T.strip(T.after_header(F.col("text"))))))
+
+
 def echo_client(prompts: list[str]) -> list[str]:
     """A deterministic stand-in: the prompt's last 200 characters before its question, as JSON-free text."""
     return [p.rsplit("--- END BUILDING DATA ---", 1)[0][-200:].strip() for p in prompts]

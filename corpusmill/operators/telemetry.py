@@ -71,6 +71,17 @@ def latest_meta(updates: DataFrame) -> DataFrame:
     return updates.groupBy(*RUN).agg(F.max_by(F.struct(*rest), "updated").alias("m")).select(*RUN, "m.*")
 
 
+def finished(updates: DataFrame) -> DataFrame:
+    """The meta rows that end runs, from (…, baseline, after, ended): done, with delta (to 4 places) where both numbers are there."""
+    delta = F.bround(F.col("after") - F.col("baseline"), 4)
+    return updates.withColumn("status", F.lit("done")).withColumn("delta", delta)
+
+
+def run_details(meta: DataFrame, events: DataFrame) -> DataFrame:
+    """Each run's meta beside its events, joined by both keys; a run without events has one row without a step."""
+    return meta.join(events, list(RUN), "left")
+
+
 def run_events(events: DataFrame, exp: str, run_id: str) -> DataFrame:
     """The events of one run, by both of its keys as values; a run that isn't there has none."""
     return events.where((F.col("exp") == exp) & (F.col("run_id") == run_id))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +15,21 @@ SKIPPED = (".pdf", ".png", ".jpg", ".jpeg", ".pptx", ".docx")
 META = "exp string, run_id string, model string, pack string, metric string, baseline double, before double, after double, delta double, status string, started double, ended double"
 
 
+def found_paths(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path or pattern of paths names any file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
+
+
 def strict_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line; blank lines are nothing, a malformed one raises."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def tolerant_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Malformed lines go."""
+    """Malformed lines go; a missing file has no rows."""
+    if not found_paths(spark, path):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
@@ -44,8 +54,9 @@ def valid_text(content: Column) -> Column:
 
 def folder_files(spark: SparkSession, root: str) -> DataFrame:
     """(building, rel_path, content) of all files below root, a building for each direct subfolder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.regexp_extract(F.col("path"), f"{root.rstrip('/').split('://')[-1]}/(.*)$", 1)
+    root = root.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(re.sub(r"([][{}*?\\])", r"\\\1", root))
+    base = F.regexp_extract(F.col("path"), f"\\Q{root.split('://')[-1]}\\E/(.*)$", 1)
     return files.select(F.substring_index(base, "/", 1).alias("building"), F.regexp_extract(base, "^[^/]*/(.*)$", 1).alias("rel_path"), "content").where("rel_path <> ''")
 
 
@@ -81,11 +92,18 @@ def building_names(files: DataFrame) -> DataFrame:
 
 
 def run_metas(spark: SparkSession, root: str) -> DataFrame:
-    """Meta rows of root/*/runs/*/meta.json, with their path; those that can't be read go."""
+    """Meta rows of root/*/runs/*/meta.json, with their path; those that can't be read go, and without any there are no rows."""
+    if not found_paths(spark, f"{root}/*/runs/*/meta.json"):
+        return spark.createDataFrame([], f"{META}, path string")
     metas = spark.read.schema(f"{META}, _corrupt_record string").option("multiLine", True).json(f"{root}/*/runs/*/meta.json")
     return metas.withColumn("path", F.col("_metadata.file_path")).where("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
+def run_event_files(spark: SparkSession, root: str, exp: str, run_id: str, schema: str) -> DataFrame:
+    """The events of one run's file, in its own schema; a run without the file has none, and malformed lines go."""
+    return tolerant_json_lines(spark, f"{root}/{exp}/runs/{run_id}/events.jsonl", schema)
+
+
 def manifest_documents(manifest: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, topic, text) of the manifest's good rows; a text (text_path, text) that isn't there raises when read."""
     good = manifest.where("status = 'ok' AND coalesce(text_path, '') <> ''").select("id", "topic", F.col("text_path").alias("wanted"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,6 +29,14 @@ def _unescaped(s: str) -> str:
     return re.sub(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", lambda m: chr(int(m[1][1:], 16)) if m[1][0] in "uU" and len(m[1]) > 1 else _ESCAPES.get(m[1], m[1]), s, flags=re.S)
 
 
+def resolved(base: str, relative: str) -> str:
+    """A relative IRI against its base, by the rules for http, whatever the base's scheme."""
+    scheme, mark, rest = base.partition(":")
+    if not relative:
+        return base.partition("#")[0]
+    return scheme + urljoin(f"http:{rest}", relative).removeprefix("http") if mark else relative
+
+
 class Turtle:
     """A reader of one document."""
 
@@ -87,7 +96,7 @@ class Turtle:
 
     def _iri(self, word: str) -> str:
         bare = _unescaped(word[1:-1])
-        return bare if re.match(r"[A-Za-z][\w+.\-]*:", bare) else self.base + bare
+        return bare if re.match(r"[A-Za-z][\w+.\-]*:", bare) else resolved(self.base, bare)
 
     def _predicates(self, subject: str) -> None:
         while self._peek()[1] not in (".", "]"):
