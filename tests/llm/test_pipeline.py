@@ -1,6 +1,9 @@
 """The queries and the pipeline on the smallest tables."""
 
+import hashlib
+import math
 import os
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -9,6 +12,8 @@ import corpus_pipeline
 from corpusmill.llm.common import staged
 from corpusmill.llm.queries import ORACLES, QUERIES
 
+from test_operators import WORDS, brute_components, brute_spans, brute_targets
+
 
 @pytest.fixture(scope="module")
 def duck(small):
@@ -57,12 +62,57 @@ def test_secrets_are_gone(spark, small):
     assert same == docs.count() - before
 
 
-def test_stages_take_odd_rows(spark, odd, small):
-    docs = odd
+def test_stages_take_odd_rows_and_none(spark, odd, none, small):
     for name, stage in corpus_pipeline.STAGES:
-        docs = staged(stage(spark, docs, small), f"odd-{name}")
-    assert docs.count() > 0
-
-
-def test_run_equals_its_stages(spark, small):
-    assert corpus_pipeline.run(spark, small).count() > 0
+        odd, none = staged(stage(spark, odd, small), f"odd-{name}"), staged(stage(spark, none, small), f"none-{name}")
+        assert none.count() == 0
+    # 1 stands for 2, 3 and the null id's copy, 8 for 9; rows 12 and 17 lose their secrets.
+    rows = odd.collect()
+    assert {r.doc_id for r in rows}.isdisjoint({2, 3, 9}) and {r.doc_id for r in rows} <= {None, *range(1, 18)}
+    assert all(r.exact for r in rows if r.doc_id != 13) and all(len(r.ids) == r.n_pieces for r in rows)
+
+
+def brute_pipeline(rows, scores, library):
+    """(doc_id, ids) of the stages, one after another, in plain Python; rows are (doc_id, text, source), scores the toxicity model's."""
+    kept = [r for r in rows if scores[r[0]] < 0.5]
+    group = brute_components([r[:2] for r in kept], 5, 80)
+    kept = [r for r, (d, n, least) in zip(kept, group, strict=True) if not n or d == least]
+
+    def redacted(text):
+        out, at, spans = "", 0, []
+        for a, _, b in brute_spans(text):
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], b)
+            else:
+                spans.append([a, b])
+        for a, b in spans:
+            out, at = out + text[at:a] + "[secret]", b
+        return out + text[at:]
+
+    kept = [(d, redacted(t), s) for d, t, s in kept]
+    size = {d: len(WORDS.findall(t)) for d, t, _ in kept}
+    sizes = defaultdict(int)
+    for d, _, s in kept:
+        sizes[s] += size[d]
+    target, mixed = brute_targets(sizes, (3, 1, 2), 1.5, 2.0), []
+    for s in sizes:
+        u = int(hashlib.md5(f"7:{s}".encode()).hexdigest()[:8], 16) / 2**32
+        each = target[s] / sizes[s] if sizes[s] else 0.0
+        for k, (d, t, _) in enumerate(sorted((r for r in kept if r[2] == s), key=lambda r: (size[r[0]], r[0])), 1):
+            mixed += [(d, t)] * (math.floor(u + k * each) - math.floor(u + (k - 1) * each))
+    return Counter((d, tuple(library.encode(t))) for d, t in mixed)
+
+
+def test_run_equals_brute_force(spark, small):
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+
+    from corpusmill.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    library = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    wanted = brute_pipeline([(r.doc_id, r.text, r.source) for r in docs.collect()], scores, library)
+    found = corpus_pipeline.run(spark, small).collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in found) == wanted
+    assert all(r.exact and r.n_pieces == len(r.ids) for r in found)
