@@ -137,7 +137,7 @@ def spans_of(text: Column, number: int, rule: Rule) -> Column:
 
 
 def build_index(docs: DataFrame, trigrams: list[str], blocks: int) -> DataFrame:
-    """Postings from (key, text): block, trigram (its number), keys. A key is a 64-bit hash; equal keys share postings."""
+    """Postings from (key, text): block, trigram (its number), keys. A key is a 64-bit hash of doc_id and text; equal rows share postings."""
     low = F.lower("text")
     present = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams))))
     rows = docs.select("key", F.explode(present).alias("trigram"))
@@ -174,7 +174,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     queries = {n: trigram_query(r.regex) for n, r in enumerate(rules)}
     trigrams = sorted({t for q in queries.values() for c in q for t in c})
     number = {t: i for i, t in enumerate(trigrams)}
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("doc_id").alias("key"), text_or_empty().alias("text"))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("doc_id", "text").alias("key"), text_or_empty().alias("text"))
     blocks = max(1, -(-docs.count() // BLOCK))
     index = staged(build_index(keyed.select("key", "text"), trigrams, blocks), "trigram-index")
     asked = candidates(index, [(n, [[number[t] for t in c] for c in q]) for n, q in queries.items() if q])
