@@ -1,7 +1,8 @@
 """N-gram Jaccard join by prefix trees: which documents' word n-gram sets are alike, and what hangs together.
 
-Global order: a counting sketch of fixed size over all documents tells frequent n-grams from others; n-grams stand by
-frequency class, then by hash, so that the frequent ones come last in every set. Sets that reach the threshold share an
+Global order: each task counts its n-grams in a table of fixed size and reports its fullest counters; their sums tell
+frequent n-grams from others, by their share of the documents and so at any size. N-grams stand by frequency class, then
+by hash, so that the frequent ones come last in every set. Sets that reach the threshold share an
 n-gram among the first of this order (the prefix filter), so the documents of each such n-gram, cut where sizes differ
 too much, are one star around its least member. Stars fall apart where parity bitmaps of the sets (about a bit for each
 n-gram) differ in more places than linked sets can; most chance meetings end here, before any text is sent.
@@ -23,10 +24,12 @@ from pyspark.sql import functions as F
 from . import textcore
 from .common import bounded_batches, staged, text_or_empty, utf8_total
 
-SKETCH_BITS = 18
+SKETCH_BITS = 21
 SLICES = 16
+REPORTED = 1 << 16  # counters that a task reports at most
 _BYTES = 2 << 20
 _ODD = np.uint64(0xD6E8FEB86659FD93)
+_COUNT = np.dtype([("at", "<u4"), ("n", "<i8")])
 
 
 def ngram_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -72,11 +75,11 @@ def least_overlap(size: int, percent: int) -> int:
 
 
 def _surveying(k: int):
-    """Of each batch: a row per document, and its part of the sketch in slices."""
+    """Of each batch: a row per document; of each task: its fullest counters, in slices."""
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("bits", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             n, sig = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             bits: list[bytes] = [b""] * len(batch)
@@ -91,37 +94,64 @@ def _surveying(k: int):
                 total += np.bincount(_counter(np.concatenate(held)), minlength=len(total))
             none = pa.nulls(len(batch), pa.int32())
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["key"], pa.array(n), pa.array(sig), pa.array(bits, pa.binary()), none, pa.nulls(len(batch), pa.binary())], schema=schema)
-        parts = [x.astype("<i8").tobytes() for x in np.split(total, SLICES)]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, pa.int64()) for _ in range(4)), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+        full = fullest(total)
+        parts = np.searchsorted(full["at"], np.arange(SLICES + 1) * (len(total) // SLICES))
+        data = [full[a:b].tobytes() for a, b in zip(parts[:-1], parts[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, pa.int64()) for _ in range(4)), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(data, pa.binary())], schema=schema)
 
     return run
 
 
+def fullest(counters: np.ndarray, most: int = REPORTED) -> np.ndarray:
+    """The counters of 2 and more, in order of place; of over `most` those that are fuller than the rest."""
+    at = np.flatnonzero(counters > 1)
+    if len(at) > most:
+        at = at[counters[at] > np.partition(counters[at], -most - 1)[-most - 1]]
+    out = np.empty(len(at), _COUNT)
+    out["at"], out["n"] = at, counters[at]
+    return out
+
+
 def _counter(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def _summing(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), "<i8") for x in table["counts"])
+    parts = np.concatenate([np.frombuffer(x.as_py(), _COUNT) for x in table["counts"]])
+    at, place = np.unique(parts["at"], return_inverse=True)
+    total = np.empty(len(at), _COUNT)
+    total["at"], total["n"] = at, np.bincount(place, parts["n"], len(at))
     return pa.table({"slice": table["slice"].slice(0, 1).cast(pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
+def _classing(table: pa.Table) -> pa.Table:
+    """Of a slice: the counters that exceed what chance gives twice or more, each with that power of two as its number."""
+    total = np.frombuffer(_summing(table)["counts"][0].as_py(), _COUNT)
+    mean = total["n"].sum() / ((1 << SKETCH_BITS) // SLICES)
+    power = np.floor(np.log2(np.maximum(total["n"] / (mean + 8 * np.sqrt(mean) + 8), 1)))
+    out = total[power > 0].copy()
+    out["n"] = np.minimum(power[power > 0], 31)
+    return pa.table({"slice": table["slice"].slice(0, 1).cast(pa.int32()), "counts": pa.array([out.tobytes()], pa.binary())})
+
+
 def frequency_classes(rows: DataFrame) -> np.ndarray:
-    """Of each counter of the sketch: 0, or the power of two by which it exceeds what chance gives. 2**SKETCH_BITS numbers."""
+    """(at, n) of each counter whose n-grams are frequent: the power of two by which it exceeds what chance gives."""
     parts = rows.where("slice IS NOT NULL").select("slice", "counts", (F.monotonically_increasing_id() % 64).alias("salt"))
     some = parts.groupBy("slice", "salt").applyInArrow(_summing, "slice int, counts binary")
-    sums = some.groupBy("slice").applyInArrow(_summing, "slice int, counts binary").collect()
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in sums:
-        part = np.frombuffer(r["counts"], "<i8")
-        counts[r["slice"] * len(part) :][: len(part)] = part
-    mean = counts.mean()
-    return np.clip(np.floor(np.log2(np.maximum(counts / (mean + 8 * np.sqrt(mean) + 8), 1))), 0, 31).astype(np.uint64)
+    found = some.groupBy("slice").applyInArrow(_classing, "slice int, counts binary").collect()
+    return np.concatenate([np.zeros(0, _COUNT), *(np.frombuffer(r["counts"], _COUNT) for r in found)])
+
+
+def dense(classes: np.ndarray) -> np.ndarray:
+    """The class of every counter, as `ordered` takes it."""
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    out[classes["at"]] = classes["n"]
+    return out
 
 
 def ordered(grams: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """The set in global order, each n-gram as its rank: class in 5 bits, then 59 bits of its hash."""
-    return np.sort(classes[_counter(grams)] << np.uint64(59) | textcore.mix(grams) >> np.uint64(5))
+    return np.sort(classes[_counter(grams)].astype(np.uint64) << np.uint64(59) | textcore.mix(grams) >> np.uint64(5))
 
 
 _ENTRY = np.dtype([("token", "<u8"), ("sig", "<i8"), ("n", "<i4")])
@@ -131,6 +161,7 @@ def _prefixing(k: int, percent: int, classes: np.ndarray, buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class_of = dense(classes)
         held: list[tuple[np.ndarray, int, int]] = []
         seen: set[int] = set()
         count = 0
@@ -153,7 +184,7 @@ def _prefixing(k: int, percent: int, classes: np.ndarray, buckets: int):
                     if sig in seen:
                         continue
                     seen.add(sig)
-                    prefix = ordered(grams, classes)[: len(grams) - least_overlap(len(grams), percent) + 1]
+                    prefix = ordered(grams, class_of)[: len(grams) - least_overlap(len(grams), percent) + 1]
                     held.append((prefix, sig, len(grams)))
                     count += len(prefix)
                     if count > 1 << 20:
@@ -308,15 +339,19 @@ class Trie:
 
 
 def _joining(k: int, percent: int, classes: np.ndarray):
+    kept: list[np.ndarray] = []  # one for all groups of a task
+
     def run(table: pa.Table) -> pa.Table:
-        trie, sigs, seen = Trie(percent), [], set()
+        if not kept:
+            kept.append(dense(classes))
+        trie, sigs, seen, class_of = Trie(percent), [], set(), kept[0]
         wanted = table["sig"].to_numpy()
         members = []
         for i, grams in ngram_sets(table["text"].combine_chunks(), k):
             sig = signature(grams)
             if sig == wanted[i] and sig not in seen:  # else another row with the same key
                 seen.add(sig)
-                members.append((sig, ordered(grams, classes)))
+                members.append((sig, ordered(grams, class_of)))
         for sig, grams in sorted(members, key=lambda m: (len(m[1]), m[0])):
             trie.add(grams)
             sigs.append(sig)

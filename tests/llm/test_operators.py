@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -290,6 +291,16 @@ def test_spans_are_all_matches(spark, docs, odd, odd_rows, none):
     assert set(secrets.scan(odd).select("row.*").columns) == set(odd.columns)
 
 
+def test_one_pass_finds_all_trigrams(spark):
+    trigrams = sorted({t for r in secrets.BASE + secrets.MORE for c in secrets.trigram_query(r.regex) for t in c} | {"a.b", "é\\$", "aaa", "aab", "😀[^"})
+    rng = random.Random(8)
+    texts = ["", "-----BEGIN", "aaab", "A.B", "acb", "É\\$ 😀[^", "\n".join(trigrams), *("".join(rng.choice(trigrams)[: rng.randint(1, 3)] for _ in range(40)) for _ in range(200))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    found = secrets.build_index(rows, trigrams, 3).collect()
+    assert {(k, r.trigram) for r in found for k in r["keys"]} == {(i, n) for i, t in enumerate(texts) for n, x in enumerate(trigrams) if x in t.lower()}
+    assert sum(len(r["keys"]) for r in found) == len({(k, r.trigram) for r in found for k in r["keys"]})
+
+
 def test_trigram_queries_are_demanded_by_every_match():
     assert secrets.trigram_query("[0-9a-f]{24,}") == [] and secrets.trigram_query("ab|cdef") == [] and secrets.trigram_query("(abc)?d") == []
     assert secrets.trigram_query("AKIA[A-Z0-9]{16,}") == [["aki", "kia"]]
@@ -361,6 +372,18 @@ def test_near_copies_in_blocks_and_chains(spark):
         assert bag((r.doc_id, r.n_shingles, r.component_id) for r in found) == bag(brute_components(rows, 4, 85))
 
 
+def test_an_ngram_of_every_second_text_is_frequent_among_millions():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 40, 60_000).tolist())) + " this stands in every second text" * (i % 2) for i in range(120)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array([i]), "key": pa.array([i]), "text": pa.array([t])}) for i, t in enumerate(texts)]
+    told = pa.Table.from_batches([list(triejoin._surveying(5)(iter(batches)))[-1]])
+    found = [triejoin._classing(told.slice(i, 1).select(["slice", "counts"])) for i in range(len(told))]
+    class_of = triejoin.dense(np.concatenate([np.frombuffer(x["counts"][0].as_py(), triejoin._COUNT) for x in found]))
+    common = [g for _, g in triejoin.ngram_sets(pa.array(["this stands in every second text"]), 5)][0]
+    assert len(common) == 2 and class_of[triejoin._counter(common)].min() >= 1
+    assert np.count_nonzero(class_of) < 50 and triejoin.fullest(np.array([3, 1, 2, 2, 9, 3], np.int32), 3).tolist() == [(0, 3), (4, 9), (5, 3)]
+
+
 def test_one_of_each_component_stays(odd, odd_rows, none):
     kept = triejoin.one_of_each(odd).collect()
     assert kept and set(kept[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "row", "size", "key", "label", "shard", "copies", "a.b", "range", "_mid", "ids"}
