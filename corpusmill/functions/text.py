@@ -105,8 +105,10 @@ def plain_norm(s: Column) -> Column:
 
 def anchor_norm(s: Column) -> Column:
     """Lower case, underscores as spaces, and one space for each run of what is not a-z, 0-9 or one of ./:-"""
-    kept = F.regexp_replace(F.replace(F.lower(s), F.lit("_"), F.lit(" ")), r"[^a-z0-9./:\- ]+", " ")
-    return F.trim(F.regexp_replace(kept, r"\s+", " "))
+    # The two letters beyond ASCII that have an ASCII lower case go first; what is then kept is ASCII, of which lower() is
+    # much faster. A space between two kept characters stays as it is, so that most words cost no replacement.
+    ascii_able = F.replace(F.replace(s, F.lit("\u212a"), F.lit("k")), F.lit("\u0130"), F.lit("i "))
+    return F.trim(F.lower(F.regexp_replace(ascii_able, r"[^A-Za-z0-9./:\- ][^A-Za-z0-9./:\-]*+| [^A-Za-z0-9./:\-]++", " ")))
 
 
 def last_part(s: Column, mark: str) -> Column:
@@ -118,15 +120,25 @@ def local_name(uri: Column) -> Column:
     return last_part(last_part(uri, "#"), "/")
 
 
-def anchor_in(anchor: Column, text: Column) -> Column:
-    """Whether a text states an anchor: a bare number as a number of its own, a path also by its base name, anything else by its normal form or by its first and all but one of its words."""
-    a = strip(anchor)
-    na, nt = anchor_norm(a), anchor_norm(text)
+def anchor_in(anchor: Column, text: Column, normal: Column | None = None) -> Column:
+    """Whether a text states an anchor: a bare number as a number of its own, a path also by its base name, anything else by its normal form or by its first and all but one of its words.
+
+    normal is the text's normal form, where many anchors share it.
+    """
+    if normal is None:
+        return bound(anchor_norm(text), lambda nt: anchor_in(anchor, text, nt))
+    return bound(strip(anchor), lambda a: bound(anchor_norm(a), lambda na: _stated(a, na, text, normal)))
+
+
+def _stated(a: Column, na: Column, text: Column, nt: Column) -> Column:
     number = F.rlike(text, F.concat(F.lit(r"(?<![\d.])"), F.replace(a, F.lit("."), F.lit("\\.")), F.lit(r"(?![\d.])")))
     base = anchor_norm(last_part(a, "/"))
-    words = F.filter(F.split(na, " "), lambda w: F.length(w) >= 2)
-    found = F.size(F.filter(words, lambda w: F.contains(nt, w)))
-    by_words = (F.size(words) >= 2) & F.contains(nt, F.coalesce(F.get(words, F.lit(0)), F.lit("\0"))) & (found >= F.greatest(F.lit(2), F.size(words) - 1))
+
+    def most_of(words: Column) -> Column:
+        found = F.size(F.filter(words, lambda w: F.contains(nt, w)))
+        return (F.size(words) >= 2) & F.contains(nt, F.coalesce(F.get(words, F.lit(0)), F.lit("\0"))) & (found >= F.greatest(F.lit(2), F.size(words) - 1))
+
+    by_words = bound(F.filter(F.split(na, " "), lambda w: F.length(w) >= 2), most_of)
     is_path = a.contains("/") | any_of(a.endswith(e) for e in PATH_ENDINGS)
     return (
         F.when(na == "", False)
@@ -137,7 +149,8 @@ def anchor_in(anchor: Column, text: Column) -> Column:
 
 
 def anchors_in(anchors: Column, text: Column) -> Column:
-    return F.filter(anchors, lambda a: anchor_in(a, text))
+    """The anchors that a text states; its normal form is computed once for them all."""
+    return bound(anchor_norm(text), lambda nt: F.filter(anchors, lambda a: anchor_in(a, text, nt)))
 
 
 def last_match(s: Column, pattern: str) -> Column:

@@ -28,13 +28,20 @@ def grounded(in_slice: Column, answer: Column, least: int = MIN_ANCHORS, share:
     return F.coalesce(T.strip(answer) != "", F.lit(False)) & (F.size(T.anchors_in(in_slice, answer)) >= wanted)
 
 
+def with_in_slice(rows: DataFrame) -> DataFrame:
+    """The rows whose slice states enough of their anchors, and these as in_slice.
+
+    As a generator's column it is computed once: a filter on a plain column is pushed below it and computes it again.
+    """
+    return rows.select("*", F.explode(F.array(T.anchors_in(F.col("anchors"), F.col("slice")))).alias("in_slice")).where(enough_in_slice(F.col("in_slice")))
+
+
 def grounding_gate(rows: DataFrame, system_prompt: str, generate: Callable[[Column], Column] | None = None) -> DataFrame:
     """From (id, intent, persona, source, question, anchors, slice[, answer]): the kept demonstrations as messages.
 
     generate maps the prompt to the answer's column; without it the rows bring their answers.
     """
-    kept = rows.withColumn("in_slice", T.anchors_in(F.col("anchors"), F.col("slice"))).where(enough_in_slice(F.col("in_slice")))
-    kept = kept.withColumn("prompt", T.grounded_prompt(F.col("slice"), F.col("question")))
+    kept = with_in_slice(rows).withColumn("prompt", T.grounded_prompt(F.col("slice"), F.col("question")))
     if generate:
         kept = kept.withColumn("answer", generate(F.col("prompt")))
     kept = kept.where(grounded(F.col("in_slice"), F.col("answer")))

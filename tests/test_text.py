@@ -1,5 +1,7 @@
 """Goldens of the rules, worked out by hand."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +99,25 @@ def test_number_text(spark, x, text):
 def test_duration_text(spark, x, text):
     row = spark.createDataFrame([(x,)], "x double")
     assert row.select(telemetry.duration_text(F.col("x")).alias("t")).first().t == text
+
+
+def test_a_slice_is_normalised_once_for_all_its_anchors(spark, small):
+    from corpusmill.plans.catalogue import QUERIES
+
+    for name in ("grounding_gate",):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("replace(slice#") == 1 and "lower(slice#" not in plan, name
+
+
+def test_normal_forms_and_anchors_of_odd_texts(spark):
+    def plain(t):
+        kept = re.sub(r"[^a-z0-9./:\- ]+", " ", t.lower().replace("_", " "))
+        return re.sub(r" +", " ", kept).strip(" ")
+
+    texts = ["", " ", "a  b", " _a_ _b_", "A\n\nb", "a \n b", "é é", "a. b", "x_y__z", "!?", "a !b", "a! b", "  -1 :/", "one two\tthree ", "a\x0bb", "\u212aelvin \u0130x", "ÀÉ Sſ Ωa"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    found = {r.id: r.n for r in rows.select("id", T.anchor_norm(F.col("t")).alias("n")).collect()}
+    assert found == {i: plain(t) for i, t in enumerate(texts)}
+    rows = spark.createDataFrame([(1, ["one", "absent", None, "two words", "words two"], "One, two\n words"), (2, ["x"], None), (3, None, "x"), (4, [], "x")], "id int, anchors array<string>, t string")
+    got = {r.id: r.found for r in rows.select("id", T.anchors_in(F.col("anchors"), F.col("t")).alias("found")).collect()}
+    assert got == {1: ["one", "two words", "words two"], 2: [], 3: None, 4: []}
