@@ -51,7 +51,7 @@ def grounding_gate(rows: DataFrame, system_prompt: str, generate: Callable[[Colu
 
 def reward_rows(rows: DataFrame, system_prompt: str) -> DataFrame:
     """(id, messages, anchors) for reward training: questions with anchors, enough of which their slice states."""
-    kept = rows.where(F.size("anchors") > 0).withColumn("in_slice", T.anchors_in(F.col("anchors"), F.col("slice"))).where(enough_in_slice(F.col("in_slice")))
+    kept = with_in_slice(rows)
     chat = T.messages(system=F.lit(system_prompt), user=T.grounded_prompt(F.col("slice"), F.col("question")))
     return kept.select("id", chat.alias("messages"), F.col("in_slice").alias("anchors"))
 

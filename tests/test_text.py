@@ -104,7 +104,7 @@ def test_duration_text(spark, x, text):
 def test_a_slice_is_normalised_once_for_all_its_anchors(spark, small):
     from corpusmill.plans.catalogue import QUERIES
 
-    for name in ("grounding_gate",):
+    for name in ("grounding_gate", "reward_rows"):
         plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("replace(slice#") == 1 and "lower(slice#" not in plan, name
 
